@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, simhash
+from . import bpe, chat, decontaminate, langid, simhash
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -33,6 +33,38 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+ESCAPED_CHAT = "\\### Assistant: </turn> ok"
+
+
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", ESCAPED_CHAT), (-7, 1, "assistant", ESCAPED_CHAT)], turns.schema)
+    rendered = chat.render(chat.reconstruct(chat.turn_events(turns.union(extra))))
+    sizes = rendered.select("conv_id", F.length("formatted").cast("long").alias("formatted_chars"))
+    found = chat.summary(rendered)
+    return found.join(sizes, found["conv_id"].eqNullSafe(sizes["conv_id"])).select(found["conv_id"], "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
+_OP5_SQL = r"""
+with turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '\### Assistant: </turn> ok'
+  union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), sized as (
+  select *, length(replace(replace(replace(text, '\', '\0'), '</turn>', '\1/turn>'), '###', '\2')) as n,
+    case when role in ('user', 'system', 'assistant') then length(role)
+      else 1 + length(replace(replace(replace(replace(role, '\', '\0'), '</turn>', '\1/turn>'), '###', '\2'), ':', '\3')) end as m
+  from turns
+)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  cast(sum(4 + m + 2 + n + 8) as bigint) as formatted_chars
+from sized group by conv_id
+"""
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode(_table(spark, sf_dir, "documents"), tokenizer_path())
     return coded.select("doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -46,9 +78,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
+    "op5_chat": op5_chat,
     "op6_bpe": op6_bpe,
     "op10_decontaminate": op10_decontaminate,
     "op7_simhash": op7_simhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_chat": _OP5_SQL}
