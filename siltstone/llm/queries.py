@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, html_extract, langid, simhash
+from . import bpe, chat, decontaminate, html_extract, langid, simhash, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -75,6 +75,26 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    folder = warc.archive_folder(pages)
+    found = warc.read(warc.write(pages, folder), folder, payloads=False)
+    return found.select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")
+
+
+_OP8_SQL = """
+with d as (
+  select page_id, cast(strlen(coalesce(html, '')) as bigint) as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages
+), k as (
+  select payload_digest as kd, max(page_id) as keeper from d where payload_bytes >= 1000 group by 1 having count(*) > 1
+)
+select page_id, payload_bytes, payload_digest,
+  case when keeper <> page_id then 'revisit' else 'response' end as record_type,
+  case when keeper <> page_id then keeper end as refers_to
+from d left join k on kd = payload_digest
+"""
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     listed = F.sha2(F.array_join("item_ids", ","), 256)
@@ -88,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_bpe": op6_bpe,
     "op10_decontaminate": op10_decontaminate,
     "op7_simhash": op7_simhash,
+    "op8_warc": op8_warc,
 }
 
-ORACLES: dict[str, str] = {"op5_chat": _OP5_SQL}
+ORACLES: dict[str, str] = {"op5_chat": _OP5_SQL, "op8_warc": _OP8_SQL}
