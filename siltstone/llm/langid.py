@@ -155,15 +155,15 @@ class Model:
 
 
 def training_rows(docs: DataFrame, per_lang: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """(lang, x): feature vectors of the per_lang texts of each language with the smallest hashes."""
+    """(lang, h, x): feature vectors of the texts with the smallest hashes, about 1.2 times per_lang a language."""
     labelled = docs.select(
         F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(text_col).cast("string").alias("text"), (~held_out(id_col) & F.col(id_col).isNotNull()).alias("learn")
     ).where("learn and lang is not null and text is not null")
-    ranked = labelled.select("lang", "h").withColumn("r", F.expr("row_number() over (partition by lang order by h)")).where(F.col("r") <= per_lang)
-    last = ranked.groupBy("lang").agg(F.max("h").alias("last")).collect()  # one row a language
+    # Hashes are even, so a share of their range is a share of the rows; a fifth more than needed is looked at.
     bound = F.lit(None).cast("long")
-    for row in last:
-        bound = F.when(F.col("lang") == row["lang"], F.lit(row["last"])).otherwise(bound)
+    for row in labelled.groupBy("lang").count().collect():  # one row a language
+        share = min(1.0, 1.2 * per_lang / row["count"])
+        bound = F.when(F.col("lang") == row["lang"], F.lit(min(int(share * 2**64) - 2**63, 2**63 - 1))).otherwise(bound)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,12 +172,15 @@ def training_rows(docs: DataFrame, per_lang: int, id_col: str, text_col: str, la
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed], ["lang", "h", "x"])
 
     chosen = labelled.where(F.col("h") <= bound).select("lang", "h", "text").mapInArrow(run, "lang string, h long, x binary").where("x is not null")
-    return chosen.groupBy("lang", "h").agg(F.min("x").alias("x"))
+    return chosen.groupBy("lang", "h").agg(F.min("x").alias("x"))  # repeated rows once
 
 
 def fit(docs: DataFrame, per_lang: int = PER_LANG, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """Train on the rows that are not held out; None if no row has a label and letters."""
-    rows = training_rows(docs, per_lang, id_col, text_col, lang_col).orderBy("lang", "h").collect()  # at most per_lang a language
+    found: dict[str, list] = {}
+    for row in sorted(training_rows(docs, per_lang, id_col, text_col, lang_col).collect(), key=lambda r: (r["lang"], r["h"])):  # about 1.2 times per_lang a language
+        found.setdefault(row["lang"], []).append(row)
+    rows = [r for lang in found.values() for r in lang[:per_lang]]
     x = np.array([np.frombuffer(r["x"], dtype="<f2") for r in rows], dtype=np.float32).reshape(len(rows), -1)
     return Model.train(x, [r["lang"] for r in rows])
 
