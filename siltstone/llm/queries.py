@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, html_extract, langid, simhash, warc
+from . import ann, bpe, chat, decontaminate, html_extract, langid, simhash, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -38,6 +38,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 ESCAPED_CHAT = "\\### Assistant: </turn> ok"
 
 
@@ -104,6 +108,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extract": op1_html_extract,
     "op3_language_id": op3_language_id,
+    "op4_ann": op4_ann,
     "op5_chat": op5_chat,
     "op6_bpe": op6_bpe,
     "op10_decontaminate": op10_decontaminate,
