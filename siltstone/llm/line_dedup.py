@@ -38,7 +38,11 @@ _VARIABLE = r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*"
 
 def pattern_of(line: Column) -> Column:
     """Tokens joined by one space, those with a digit as FIELD."""
-    folded = F.trim(F.regexp_replace(line, r"[ \t\r\f\x0B]+", " "))
+    # Plain searches first: most lines need no regular expression.
+    uneven = F.contains(line, F.lit("  "))
+    for space in "\t\r\f\x0b":
+        uneven = uneven | F.contains(line, F.lit(space))
+    folded = F.trim(F.when(uneven, F.regexp_replace(line, r"[ \t\r\f\x0B]+", " ")).otherwise(line))
     return F.when(folded.rlike("[0-9]"), F.regexp_replace(folded, _VARIABLE, FIELD)).otherwise(folded)
 
 
@@ -48,8 +52,9 @@ def _doc_key(id_col: str, text_col: str) -> Column:
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, min_tokens: int) -> DataFrame:
     """doc, doc_id, line, pattern, tokens, leaf of every line long enough for a template."""
-    rows = docs.where(F.col(text_col).isNotNull()).select(_doc_key(id_col, text_col).alias("doc"), F.col(id_col).alias("doc_id"), F.posexplode(F.split(text_col, "\n")).alias("line", "raw"))
-    rows = rows.select("doc", "doc_id", "line", pattern_of(F.col("raw")).alias("pattern"))
+    # The key first, in a step of its own: beside the generator it would be computed for every line.
+    rows = docs.where(F.col(text_col).isNotNull()).select(_doc_key(id_col, text_col).alias("doc"), F.col(id_col).alias("doc_id"), F.split(text_col, "\n").alias("raw"))
+    rows = rows.select("doc", "doc_id", F.posexplode(F.transform("raw", pattern_of)).alias("line", "pattern"))
     rows = rows.withColumn("tokens", F.length("pattern") - F.length(F.replace("pattern", F.lit(" "), F.lit(""))) + 1)
     leaf = F.xxhash64("tokens", F.substring_index("pattern", " ", DEPTH))
     return rows.where(F.col("tokens") >= min_tokens).withColumn("leaf", leaf)
@@ -65,7 +70,7 @@ def templates(lines: DataFrame, index: DataFrame, min_docs: int, similar: float)
     several = patterns.groupBy("leaf").agg(F.count("*").alias("patterns")).where("patterns > 1").select("leaf")
 
     wanted = patterns.join(several, "leaf", "left_semi").select("shape", "docs", "leaf_docs")
-    texts = lines.select(F.unhex(F.md5("pattern")).alias("shape"), "pattern", "leaf", "tokens").join(several, "leaf", "left_semi")
+    texts = lines.select("pattern", "leaf", "tokens").join(several, "leaf", "left_semi").withColumn("shape", F.unhex(F.md5("pattern")))
     texts = texts.groupBy("shape").agg(F.first("pattern").alias("pattern"), F.first("leaf").alias("leaf"), F.first("tokens").alias("tokens"))
     texts = stored(texts.join(wanted, "shape"), "pattern-texts")
     tokens = texts.select("leaf", "docs", "leaf_docs", F.posexplode(F.split("pattern", " ")).alias("at", "token"))
