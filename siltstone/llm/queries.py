@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, decontaminate, html_extract, langid, line_dedup, simhash, warc
+from . import ann, bpe, chat, decontaminate, html_extract, langid, line_dedup, simhash, substring, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -104,6 +104,10 @@ from d left join k on kd = payload_digest
 """
 
 
+def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     listed = F.sha2(F.array_join("item_ids", ","), 256)
@@ -120,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontaminate": op10_decontaminate,
     "op7_simhash": op7_simhash,
     "op8_warc": op8_warc,
+    "op9_substring": op9_substring,
 }
 
 ORACLES: dict[str, str] = {"op5_chat": _OP5_SQL, "op8_warc": _OP8_SQL}
