@@ -29,9 +29,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_128_digest
 
-from .common import stored
+from .common import row_key, stored
 
 WINDOW = 10
 RADIUS = WINDOW - 1
@@ -48,7 +47,7 @@ def words(text: bytes | None) -> list[bytes]:
 
 
 def _pruned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), row_key(id_col, text_col).alias("key"))
 
 
 def _term_counts(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
@@ -72,12 +71,10 @@ def _postings(docs: DataFrame, vocabulary: dict[bytes, int], anchors: np.ndarray
         get = vocabulary.get
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())
-            keys, sizes = [], []
+            keys, sizes = batch.column(2).to_pylist(), []
             rows, terms, places, around = [], [], [], []
             for i, value in enumerate(texts):
-                text = value.as_py()
-                found = words(text)
-                keys.append(xxh3_128_digest(b"%r|" % (ids[i],) + (b"-" if text is None else b"+" + text)))
+                found = words(value.as_py())
                 sizes.append(len(found))
                 code = np.full(len(found) + 2 * RADIUS, _OUTSIDE_DOC, dtype=np.int32)
                 code[RADIUS : RADIUS + len(found)] = np.fromiter((get(w, -1) for w in found), dtype=np.int32, count=len(found))
@@ -199,6 +196,13 @@ def _spans(rows: DataFrame, found: DataFrame) -> DataFrame:
     return rows.select("key", "doc_id").join(spans, "key").drop("key")
 
 
+def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of docs, all columns, that hold no benchmark window; the name ``_dc_key`` is reserved."""
+    _, found = _matches(docs, items, id_col, text_col, block_words, None)
+    dirty = found.select(F.col("key").alias("_dc_key")).distinct()
+    return docs.withColumn("_dc_key", row_key(id_col, text_col)).join(dirty, "_dc_key", "left_anti").drop("_dc_key")
+
+
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_hit (words inside a matched window), item_ids (sorted strings)."""
     rows, found = _matches(docs, items, id_col, text_col, block_words, None)

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import skew_lookup, stored
+from .common import row_key, skew_lookup, stored
 
 DEPTH = 3
 MIN_TOKENS = 4
@@ -46,14 +46,10 @@ def pattern_of(line: Column) -> Column:
     return F.when(folded.rlike("[0-9]"), F.regexp_replace(folded, _VARIABLE, FIELD)).otherwise(folded)
 
 
-def _doc_key(id_col: str, text_col: str) -> Column:
-    return F.unhex(F.md5(F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.col(text_col))))
-
-
 def _lines(docs: DataFrame, id_col: str, text_col: str, min_tokens: int) -> DataFrame:
     """doc, doc_id, line, pattern, tokens, leaf of every line long enough for a template."""
     # The key first, in a step of its own: beside the generator it would be computed for every line.
-    rows = docs.where(F.col(text_col).isNotNull()).select(_doc_key(id_col, text_col).alias("doc"), F.col(id_col).alias("doc_id"), F.split(text_col, "\n").alias("raw"))
+    rows = docs.where(F.col(text_col).isNotNull()).select(row_key(id_col, text_col).alias("doc"), F.col(id_col).alias("doc_id"), F.split(text_col, "\n").alias("raw"))
     rows = rows.select("doc", "doc_id", F.posexplode(F.transform("raw", pattern_of)).alias("line", "pattern"))
     rows = rows.withColumn("tokens", F.length("pattern") - F.length(F.replace("pattern", F.lit(" "), F.lit(""))) + 1)
     leaf = F.xxhash64("tokens", F.substring_index("pattern", " ", DEPTH))
@@ -100,7 +96,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     met = skew_lookup(index.select("doc", "line", "shape"), recurring, "shape", "n", F.xxhash64("doc", "line"))
     dropped = met.where(F.col("first_doc").isNotNull() & ~((F.col("doc") == F.col("first_doc")) & (F.col("line") == F.col("first_line"))))
     dropped = dropped.groupBy(F.col("doc").alias("_ld_doc")).agg(F.collect_set("line").alias("_ld_drop"))
-    keyed = docs.withColumn("_ld_doc", _doc_key(id_col, text_col))
+    keyed = docs.withColumn("_ld_doc", row_key(id_col, text_col))
     kept = F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains("_ld_drop", i))
     text = F.when(F.col("_ld_drop").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
     out = keyed.join(dropped, "_ld_doc", "left").withColumn("_ld_text", text)
