@@ -61,7 +61,6 @@ def templates(lines: DataFrame, index: DataFrame, min_docs: int, similar: float)
     by_doc = index.groupBy("leaf", "shape", "doc").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "doc", "line")).alias("first"))
     patterns = by_doc.groupBy("leaf", "shape").agg(F.count("*").alias("docs"), F.sum("n").alias("n"), F.min("first").alias("first"))
     leaves = index.select("leaf", "doc").distinct().groupBy("leaf").agg(F.count("*").alias("leaf_docs"))
-    # A leaf in fewer documents than a recurring template needs can hold none.
     patterns = stored(patterns.join(leaves.where(F.col("leaf_docs") >= min_docs), "leaf"), "line-patterns")
     several = patterns.groupBy("leaf").agg(F.count("*").alias("patterns")).where("patterns > 1").select("leaf")
 
@@ -92,6 +91,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs with recurring lines dropped from text, and _ld_lines, _ld_dropped: lines before, lines dropped."""
     lines = _lines(docs, id_col, text_col, min_tokens)
     index = stored(lines.select("doc", "doc_id", "line", "leaf", F.unhex(F.md5("pattern")).alias("shape")), "line-index")
+    # A leaf with fewer lines than a recurring template needs documents can hold none: most lines go here.
+    busy = index.groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf")
+    index = stored(index.join(busy, "leaf", "left_semi"), "busy-lines")
     recurring = stored(templates(lines, index, min_docs, similar), "line-templates")
     met = skew_lookup(index.select("doc", "line", "shape"), recurring, "shape", "n", F.xxhash64("doc", "line"))
     dropped = met.where(F.col("first_doc").isNotNull() & ~((F.col("doc") == F.col("first_doc")) & (F.col("line") == F.col("first_line"))))
