@@ -96,11 +96,15 @@ def ratio(part: Column, whole: Column) -> Column:
     return F.try_divide(part.cast("double"), whole.cast("double"))
 
 
-def js_distance(p: Column, q: Column) -> Column:
-    """Aggregate: Jensen-Shannon distance (natural log) of two aligned distributions, 0 where it is undefined."""
+def js_divergence(p: Column, q: Column) -> Column:
+    """Aggregate: Jensen-Shannon divergence (natural log) summed over aligned categories; 0 for no rows."""
     m = (p + q) / 2
     term = lambda x: F.when(x > 0, x * F.ln(x / F.greatest(m, F.lit(1e-12)))).otherwise(F.lit(0.0))
-    return F.sqrt(F.greatest(F.lit(0.0), F.coalesce(F.sum(term(p) / 2 + term(q) / 2), F.lit(0.0))))
+    return F.coalesce(F.sum(term(p) / 2 + term(q) / 2), F.lit(0.0))
+
+
+def js_distance(p: Column, q: Column) -> Column:
+    return F.sqrt(F.greatest(F.lit(0.0), js_divergence(p, q)))
 
 
 def token_cost(provider: Column, rate_in: Column, rate_cached: Column, rate_out: Column, uncached: Column, cached: Column, output: Column, written: Column, batch: Column, discount: float = 0.5) -> Column:

@@ -1,16 +1,18 @@
 """Category-mix drift: monthly distances to a pool, a threshold from the last months, a walk, and the first fire.
 
-Categories that neither side has add nothing to the distance, so a sparse full
-outer join replaces a dense vector over the universe.
+Categories that neither side has add nothing to the distance, so sparse joins
+replace dense vectors over the universe.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.exprs import js_distance, month_series, shift_month, windows_at
+from ..functions.exprs import js_divergence, month_series, shift_month, windows_at
 
 LAST_N = 24
 PRIOR_MONTHS = 240
@@ -26,12 +28,13 @@ def pool_mix(census: DataFrame, start: str, end: str) -> DataFrame:
 def distances(census: DataFrame, totals: DataFrame, pool: DataFrame) -> DataFrame:
     """(ym, n, distance) per month with rows: the Jensen-Shannon distance of its mix to the pool's; 0 for an empty pool."""
     months = totals.where("n > 0").select("ym", F.col("n").alias("month_n"))
-    grid = months.join(F.broadcast(pool.select("category", "q")))  # months x categories: the size of the census
-    p = census.select("ym", "category", "n")
-    both = p.join(months, "ym").join(pool.select("category", "q"), "category", "left").select("ym", "month_n", (F.col("n") / F.col("month_n")).alias("p"), F.coalesce("q", F.lit(0.0)).alias("q"))
-    only_pool = grid.join(p.select("ym", "category"), ["ym", "category"], "left_anti").select("ym", "month_n", F.lit(0.0).alias("p"), F.coalesce("q", F.lit(0.0)).alias("q"))
-    out = both.unionByName(only_pool).groupBy("ym", F.col("month_n").alias("n")).agg(js_distance(F.col("p"), F.col("q")).alias("distance"), F.sum("q").alias("pool"))
-    return out.select("ym", "n", F.when(F.col("pool") > 0, F.col("distance")).otherwise(F.lit(0.0)).alias("distance"))
+    rows = census.join(months, "ym").join(pool.select("category", "q"), "category", "left")
+    rows = rows.select("ym", "month_n", (F.col("n") / F.col("month_n")).alias("p"), F.coalesce("q", F.lit(0.0)).alias("q"))
+    met = rows.groupBy("ym", F.col("month_n").alias("n")).agg(js_divergence(F.col("p"), F.col("q")).alias("js"), F.sum("q").alias("met"))
+    # A category of the pool that a month lacks adds q / 2 * ln 2, so no month needs to be paired with all categories.
+    whole = pool.agg(F.coalesce(F.sum("q"), F.lit(0.0)).alias("whole"))  # one row: 1, or 0 for an empty pool
+    distance = F.sqrt(F.greatest(F.lit(0.0), F.col("js") + F.lit(math.log(2) / 2) * (F.col("whole") - F.col("met"))))
+    return met.join(F.broadcast(whole)).select("ym", "n", F.when(F.col("whole") > 0, distance).otherwise(F.lit(0.0)).alias("distance"))
 
 
 def threshold(dist: DataFrame, start: str, end: str, sigmas: float = SIGMAS) -> DataFrame:

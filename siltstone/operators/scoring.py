@@ -11,6 +11,7 @@ from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer, StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.exprs import ratio, top_k
 
@@ -65,7 +66,7 @@ def call_labeller(rows: DataFrame, client: Callable[[list[str]], list[str | None
 
     A batch that fails is tried again up to ``retries`` times, then its rows carry the error.
     """
-    schema = rows.schema.add("reply", "string").add("error", "string")
+    schema = T.StructType([*rows.schema, T.StructField("reply", T.StringType()), T.StructField("error", T.StringType())])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
