@@ -76,11 +76,12 @@ def reconstruct(events: DataFrame) -> DataFrame:
     text, role = F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("role").cast("string")
     log = events.select("conv_id", "seq", F.col("turn").cast("long").alias("turn"), F.coalesce("kind", F.lit("message")).alias("kind"), role.alias("role"), text.alias("text"))
     log = log.withColumn("cut", F.max(F.when(F.col("kind") == "regenerate", F.col("seq"))).over(earlier_turns))
-    log = log.withColumn("reset", F.max(F.when(F.col("kind") != "delta", F.col("seq"))).over(message))
+    # A later event may leave the role out: the last one named counts, whatever became of its text.
+    named = F.max(F.when(F.col("role").isNotNull(), F.struct("seq", "role"))).over(message)
+    log = log.withColumn("named", named).withColumn("reset", F.max(F.when(F.col("kind") != "delta", F.col("seq"))).over(message))
     valid = log.where("(reset is null or seq >= reset) and (cut is null or seq > cut)")
     parts = F.array_sort(F.collect_list(F.struct("seq", "text")))
-    roles = F.max(F.when(F.col("role").isNotNull(), F.struct("seq", "role")))
-    folded = valid.groupBy("conv_id", "turn").agg(parts.alias("parts"), roles.alias("named"))
+    folded = valid.groupBy("conv_id", "turn").agg(parts.alias("parts"), F.first("named").alias("named"))
     return folded.select("conv_id", "turn", F.coalesce("named.role", F.lit("")).alias("role"), F.array_join(F.transform("parts", lambda p: p["text"]), "").alias("text"))
 
 

@@ -113,7 +113,7 @@ class Votes:
             rows = (y == labels[a]) | (y == labels[b])
             weights.append(train_svm(x[rows], np.where(y[rows] == labels[a], 1.0, -1.0)))
             pairs.append((a, b))
-        return cls(labels, np.array(pairs, dtype=np.int64).reshape(-1, 2), np.array(weights, dtype=np.float32).reshape(len(pairs), -1))
+        return cls(labels, np.array(pairs, dtype=np.int64).reshape(-1, 2), np.array(weights, dtype=np.float32).reshape(len(pairs), x.shape[1] + 1))
 
     def predict(self, x: np.ndarray) -> tuple[str, float]:
         """The label with most votes (ties: larger sum of margins, then label order), and its weakest confidence."""
@@ -137,9 +137,7 @@ class Model:
     languages: dict[str, Votes]
 
     @classmethod
-    def train(cls, x: np.ndarray, langs: list[str]) -> Model | None:
-        if not len(langs):
-            return None
+    def train(cls, x: np.ndarray, langs: list[str]) -> Model:
         y = np.array(langs, dtype=object)
         family = np.array([_FAMILY_OF.get(v, v) for v in langs], dtype=object)
         within = {f: Votes.train(x[family == f], y[family == f]) for f in sorted(set(family.tolist()))}
@@ -181,7 +179,9 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG, id_col: str = "doc_id", text_
     for row in sorted(training_rows(docs, per_lang, id_col, text_col, lang_col).collect(), key=lambda r: (r["lang"], r["h"])):  # about 1.2 times per_lang a language
         found.setdefault(row["lang"], []).append(row)
     rows = [r for lang in found.values() for r in lang[:per_lang]]
-    x = np.array([np.frombuffer(r["x"], dtype="<f2") for r in rows], dtype=np.float32).reshape(len(rows), -1)
+    if not rows:
+        return None
+    x = np.array([np.frombuffer(r["x"], dtype="<f2") for r in rows], dtype=np.float32)
     return Model.train(x, [r["lang"] for r in rows])
 
 
