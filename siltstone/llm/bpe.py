@@ -22,6 +22,7 @@ import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 300_000
 #: Rows of an output batch hold at most about so many characters of input.
 SLICE_CHARS = 2_000_000
 # Fixed values of the format: White_Space, the separators that str.split() adds to it, and the pieces.
@@ -66,13 +67,13 @@ class PairIndexBpe:
         keys = self.left * self.size + self.right
         self.by_key = np.argsort(keys, kind="stable")
         self.keys = keys[self.by_key]
-        self.memory: dict[str, int] = {}
         self._forget()
 
     def _forget(self) -> None:
-        self.memory.clear()
-        self.ids: list[bytes] = []
-        self.texts: list[bytes] = []
+        """Empty the memories: ids and text of chunks (special tokens under a leading blank, which no chunk has), and of pieces."""
+        self.ids = {" " + t: i.to_bytes(4, "little") for t, i in self.special.items()}
+        self.texts = {" " + t: t.encode() for t in self.special}
+        self.pieces: dict[str, tuple[bytes, bytes]] = {}
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair, -1 where it never merges."""
@@ -140,30 +141,30 @@ class PairIndexBpe:
 
     def learn(self, chunks: set[str]) -> None:
         """Encode chunks that are not yet in memory."""
-        new = [c for c in chunks if c not in self.memory]
+        known, ids, texts = self.pieces, self.ids, self.texts
+        new = [c for c in chunks if c not in ids]
         if not new:
             return
-        parts = [[p.encode() for p in _PIECE.findall(c)] for c in new]
-        distinct = sorted({p for ps in parts for p in ps})
-        number = {p: i for i, p in enumerate(distinct)}
-        ids, offset = self.merge(distinct)
-        packed = ids.astype("<u4").tobytes()
-        words = [self.tokens[i] for i in ids.tolist()]
-        offsets = offset.tolist()
-        piece_ids = [packed[4 * s : 4 * e] for s, e in zip(offsets[:-1], offsets[1:], strict=True)]
-        piece_text = [b" ".join(words[s:e]) for s, e in zip(offsets[:-1], offsets[1:], strict=True)]
+        parts = list(map(_PIECE.findall, new))
+        missing = list(set(chain.from_iterable(parts)).difference(known))
+        if missing:
+            found, offset = self.merge([p.encode() for p in missing])
+            packed, words, ends = found.astype("<u4").tobytes(), list(map(self.tokens.__getitem__, found.tolist())), offset.tolist()
+            for piece, s, e in zip(missing, ends[:-1], ends[1:], strict=True):
+                known[piece] = packed[4 * s : 4 * e], b" ".join(words[s:e])
         for c, ps in zip(new, parts, strict=True):
-            self.memory[c] = len(self.ids)
-            at = [number[p] for p in ps]
-            self.ids.append(b"".join([piece_ids[i] for i in at]))
-            self.texts.append(b" ".join([piece_text[i] for i in at]))
+            if len(ps) == 1:
+                ids[c], texts[c] = known[ps[0]]
+            else:
+                both = [known[p] for p in ps]
+                ids[c], texts[c] = b"".join([x for x, _ in both]), b" ".join([t for _, t in both])
 
-    def chunks(self, text: str) -> list[str | int]:
-        """White-space separated chunks of the normalised text; a special token stands as its id."""
+    def chunks(self, text: str) -> list[str]:
+        """White-space separated chunks of the normalised text; a special token is one of its own."""
         if self.special_split and "<|" in text:
-            out: list[str | int] = []
+            out: list[str] = []
             for k, part in enumerate(self.special_split.split(text)):
-                out += [self.special[part]] if k % 2 else self._plain(part)
+                out += [" " + part] if k % 2 else self._plain(part)
             return out
         return self._plain(text)
 
@@ -179,24 +180,12 @@ class PairIndexBpe:
 
     def encode(self, texts: list[str | None]) -> tuple[list[bytes], list[bytes]]:
         """Per text: its ids as little-endian unsigned 32-bit integers, and the decoded text in UTF-8."""
-        split = [self.chunks(t) if t else [] for t in texts]
-        if len(self.memory) > CACHE_CHUNKS:
+        if len(self.ids) > CACHE_CHUNKS:
             self._forget()
-        chunks: set[str | int] = set()
-        chunks.update(*split)
-        numbers = {c for c in chunks if isinstance(c, int)}
-        self.learn(chunks - numbers)
-        memory, ids, decoded = self.memory, self.ids, self.texts
-        out_ids, out_texts = [], []
-        for cs in split:
-            if numbers and any(isinstance(c, int) for c in cs):
-                out_ids.append(b"".join([c.to_bytes(4, "little") if isinstance(c, int) else ids[memory[c]] for c in cs]))
-                out_texts.append(b" ".join([self.tokens[c] if isinstance(c, int) else decoded[memory[c]] for c in cs]))
-            else:
-                at = [memory[c] for c in cs]
-                out_ids.append(b"".join([ids[i] for i in at]))
-                out_texts.append(b" ".join([decoded[i] for i in at]))
-        return out_ids, out_texts
+        split = [self.chunks(t) if t else [] for t in texts]
+        self.learn(set(chain.from_iterable(split)))
+        ids, decoded = self.ids.__getitem__, self.texts.__getitem__
+        return [b"".join(map(ids, cs)) for cs in split], [b" ".join(map(decoded, cs)) for cs in split]
 
 
 def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
