@@ -37,6 +37,40 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", F.col("_ld_lines").alias("n_lines"), F.col("_ld_dropped").alias("n_dropped"))
 
 
+_OP2_SQL = r"""
+with x as (
+  select doc_id, unnest(string_split(text, chr(10))) as raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line from documents where text is not null
+), z as (
+  select doc_id, line, raw, list_transform(string_split(trim(regexp_replace(raw, '[ \t\r\f\x0B]+', ' ', 'g'), ' '), ' '), lambda t: case when regexp_matches(t, '[0-9]') then '<*>' else t end) as toks from x
+), p as (
+  select doc_id, line, toks, len(toks) as n, array_to_string(toks, ' ') as pattern, concat(len(toks), '|', array_to_string(toks[1:3], ' ')) as leaf from z where len(toks) >= 4
+), leafs as (
+  select leaf, count(distinct doc_id) as leaf_docs, count(distinct pattern) as patterns from p group by 1
+), pat as (
+  select leaf, pattern, any_value(toks) as toks, any_value(n) as n, count(distinct doc_id) as docs from p group by 1, 2
+), tok as (
+  select leaf, i as pos, toks[i] as token, sum(docs) as docs from (select leaf, toks, docs, unnest(range(1, n + 1)) as i from pat) group by 1, 2, 3
+), top as (
+  select leaf, pos, max_by(token, struct_pack(d := docs, t := token)) as token, max(docs) as docs from tok group by 1, 2
+), tmpl as (
+  select leaf, list(case when top.docs * 2 >= leaf_docs then token end order by pos) as template from top join leafs using (leaf) where patterns > 1 group by 1
+), named as (
+  select pat.leaf, pattern, case when template is not null and len(list_filter(range(1, n + 1), lambda i: coalesce(template[i] = toks[i], false))) >= n * cast(0.7 as double) then concat('g', pat.leaf) else concat('p', pattern) end as tid
+  from pat left join tmpl using (leaf)
+), occ as (
+  select doc_id, line, tid from p join named using (leaf, pattern)
+), rec as (
+  select tid, min(struct_pack(d := doc_id, l := line)) as f from occ group by 1 having count(distinct doc_id) >= 3
+), gone as (
+  select doc_id, line from occ join rec using (tid) where doc_id <> f.d or line <> f.l
+), back as (
+  select z.doc_id, count(*) as n_lines, count(gone.line) as n_dropped, coalesce(string_agg(raw, chr(10) order by z.line) filter (gone.line is null), '') as text
+  from z left join gone on gone.doc_id = z.doc_id and gone.line = z.line group by 1
+)
+select d.doc_id, back.text, coalesce(n_lines, 0) as n_lines, coalesce(n_dropped, 0) as n_dropped from documents d left join back using (doc_id)
+"""
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = langid.classify(docs, langid.fit(docs), ["doc_id"])
@@ -114,6 +148,30 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), listed.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_OP10_SQL = f"""
+with i as (
+  select item_id, {_WORDS} as w from benchmark
+), iw as (
+  select distinct item_id, least(10, len(w)) as n, array_to_string(w[s : s + least(10, len(w)) - 1], ' ') as k
+  from (select item_id, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) as s from i where len(w) > 0)
+), d as (
+  select doc_id, {_WORDS} as w from documents
+), dw as (
+  select doc_id, n, s, array_to_string(w[s : s + n - 1], ' ') as k
+  from (select doc_id, w, n, unnest(range(1, greatest(len(w) - n + 2, 1))) as s from d cross join (select distinct n from iw))
+), m as (
+  select doc_id, item_id, s, n from dw join iw using (n, k)
+), h as (
+  select doc_id, count(distinct pos) as n_hit from (select doc_id, unnest(range(s, s + n)) as pos from m) group by 1
+), t as (
+  select doc_id, count(*) as n_items, string_agg(id, ',' order by id) as ids from (select distinct doc_id, cast(item_id as varchar) as id from m) group by 1
+)
+select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+  sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join h using (doc_id) left join t using (doc_id)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extract": op1_html_extract,
     "op2_line_dedup": op2_line_dedup,
@@ -127,4 +185,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_substring": op9_substring,
 }
 
-ORACLES: dict[str, str] = {"op5_chat": _OP5_SQL, "op8_warc": _OP8_SQL}
+ORACLES: dict[str, str] = {"op2_line_dedup": _OP2_SQL, "op10_decontaminate": _OP10_SQL, "op5_chat": _OP5_SQL, "op8_warc": _OP8_SQL}

@@ -15,6 +15,8 @@ from siltstone.llm import bpe, decontaminate, langid, line_dedup, queries, subst
 
 PATH = public_tokenizers.path(queries.TOKENIZER)
 
+SCHEMA_TEXTS = "doc_id long, text string, lang string, source string, n_chars long"
+
 
 def key(x):
     return (x is None, x or 0)
