@@ -50,8 +50,10 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, min_tokens: int) -> Data
     """doc, doc_id, line, pattern, tokens, leaf of every line long enough for a template."""
     # The key first, in a step of its own: beside the generator it would be computed for every line.
     rows = docs.where(F.col(text_col).isNotNull()).select(row_key(id_col, text_col).alias("doc"), F.col(id_col).alias("doc_id"), F.split(text_col, "\n").alias("raw"))
-    rows = rows.select("doc", "doc_id", F.posexplode(F.transform("raw", pattern_of)).alias("line", "pattern"))
-    rows = rows.withColumn("tokens", F.length("pattern") - F.length(F.replace("pattern", F.lit(" "), F.lit(""))) + 1)
+    # Tokens are counted in bytes, once, inside the generator; a filter above it would count them again.
+    blanks = lambda p: F.octet_length(p) - F.octet_length(F.replace(p, F.lit(" "), F.lit("")))
+    parsed = F.transform(F.transform("raw", pattern_of), lambda p: F.struct(p.alias("pattern"), (blanks(p) + 1).alias("tokens")))
+    rows = rows.select("doc", "doc_id", F.posexplode(parsed).alias("line", "p")).select("doc", "doc_id", "line", "p.pattern", "p.tokens")
     leaf = F.xxhash64("tokens", F.substring_index("pattern", " ", DEPTH))
     return rows.where(F.col("tokens") >= min_tokens).withColumn("leaf", leaf)
 
@@ -79,8 +81,9 @@ def templates(lines: DataFrame, index: DataFrame, min_docs: int, similar: float)
 
     grouped = patterns.join(general, "shape", "left").withColumn("template", F.when(F.col("general"), F.hex(F.col("leaf"))).otherwise(F.hex("shape")))
     # Documents of a general template are counted once, whichever of its patterns they hold.
-    merged = grouped.where("general").select("shape", "template")
-    docs_of = index.select("shape", "doc").distinct().join(merged, "shape").select("template", "doc").distinct().groupBy("template").agg(F.count("*").alias("template_docs"))
+    merged = stored(grouped.where("general").select("shape", "template", "docs"), "general-patterns")
+    held = skew_lookup(index.select("shape", "doc").distinct(), merged, "shape", "docs", F.xxhash64("doc")).where("template is not null")
+    docs_of = held.select("template", "doc").distinct().groupBy("template").agg(F.count("*").alias("template_docs"))
     alone = grouped.where("general is null and docs >= " + str(min_docs)).select("shape", "n", "first")
     firsts = grouped.where("general").groupBy("template").agg(F.min("first").alias("template_first"))
     shared = grouped.where("general").join(docs_of.where(F.col("template_docs") >= min_docs), "template").join(firsts, "template").select("shape", "n", F.col("template_first").alias("first"))
@@ -92,8 +95,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = _lines(docs, id_col, text_col, min_tokens)
     index = stored(lines.select("doc", "doc_id", "line", "leaf", F.unhex(F.md5("pattern")).alias("shape")), "line-index")
     # A leaf with fewer lines than a recurring template needs documents can hold none: most lines go here.
-    busy = index.groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf")
-    index = stored(index.join(busy, "leaf", "left_semi"), "busy-lines")
+    busy = stored(index.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).withColumn("busy", F.lit(True)), "busy-leaves")
+    index = stored(skew_lookup(index, busy, "leaf", "n", F.xxhash64("doc", "line")).where("busy").drop("busy"), "busy-lines")
     recurring = stored(templates(lines, index, min_docs, similar), "line-templates")
     met = skew_lookup(index.select("doc", "line", "shape"), recurring, "shape", "n", F.xxhash64("doc", "line"))
     dropped = met.where(F.col("first_doc").isNotNull() & ~((F.col("doc") == F.col("first_doc")) & (F.col("line") == F.col("first_line"))))
