@@ -66,6 +66,26 @@ def run_census(stream: DataFrame, census: VersionedTable, totals: VersionedTable
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+class GateClosed(RuntimeError):
+    """The canary chunk did not pass; later chunks are not labelled."""
+
+
+def run_chunks(stream: DataFrame, label: Callable[[DataFrame], DataFrame], gate: Callable[[DataFrame], bool], folder: str, checkpoint: str) -> StreamingQuery:
+    """Label a stream of chunk files, one micro-batch each, resumable: finished chunks are in the checkpoint.
+
+    The first chunk is the canary: where its labelled rows do not pass the gate, the
+    query fails before the next chunk is paid for.  A chunk that runs again overwrites its own output.
+    """
+
+    def step(chunk: DataFrame, batch_id: int) -> None:
+        spark, path = chunk.sparkSession, f"{folder.rstrip('/')}/chunk={batch_id}"
+        label(chunk).write.mode("overwrite").parquet(path)
+        if batch_id == 0 and not gate(spark.read.parquet(path)):
+            raise GateClosed(path)
+
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def windowed_counts(events: DataFrame, ts: str, group: str, watermark: str = "1 day", width: str = "1 day") -> DataFrame:
     """Counts per time window and group with a watermark, for feeds of single events; works on batches too."""
     source = events.withWatermark(ts, watermark) if events.isStreaming else events

@@ -167,6 +167,24 @@ def test_ledger_and_census_stream_like_batch(spark, tmp_path):
     assert {tuple(r) for r in census.current().collect()} == {tuple(r) for r in want.collect()}
 
 
+def test_chunks_resume_and_canary_gate(spark, tmp_path):
+    from siltstone.streaming.incremental import run_chunks
+
+    schema = "text string"
+    read = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    label = lambda rows: rows.withColumn("label", F.upper("text"))
+    for i in range(2):
+        spark.createDataFrame([(f"t{i}",)], schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"c{i}"))
+    run_chunks(read(), label, lambda d: True, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    spark.createDataFrame([("t2",)], schema).coalesce(1).write.parquet(str(tmp_path / "in" / "c2"))
+    run_chunks(read(), label, lambda d: True, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert {r["label"] for r in got} == {"T0", "T1", "T2"} and len({r["chunk"] for r in got}) == 3
+    with pytest.raises(Exception, match="GateClosed"):
+        run_chunks(read(), label, lambda d: False, str(tmp_path / "out2"), str(tmp_path / "cp2")).awaitTermination()
+    assert len(list((tmp_path / "out2").glob("chunk=*"))) == 1
+
+
 def test_current_sample_and_decision(spark, dump):
     rows = dump(*[complaint(i, day="20260901", code=("TIRES" if i < 10 else "SEATS")) for i in range(40)])
     out = jobs.sample_current(rows, [spark.createDataFrame([("0",)], "id string")], "20260826", ["TIRES"], n=5, n_boost=3)
