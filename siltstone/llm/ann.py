@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import stored
 
@@ -45,7 +46,9 @@ _ENTRY = "file int, block int, chunk int, uid long, vec_id long, vector binary,
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(uid, vec_id, vector) of the rows that take part, stored so that uid stays what it is."""
     v = F.col("vector")
-    rows = vectors.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
+    single = isinstance(vectors.schema[vector_col].dataType, T.ArrayType) and isinstance(vectors.schema[vector_col].dataType.elementType, T.FloatType)
+    cast = F.col(vector_col).cast("array<float>" if single else "array<double>")  # single precision is shuffled as such, and widened to compute
+    rows = vectors.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("vec_id"), cast.alias("vector"))
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = stored(rows.where(v.isNotNull() & F.coalesce(finite, F.lit(False)) & F.coalesce(F.exists(v, lambda x: x != 0), F.lit(False))), "vectors")
     lengths = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
@@ -65,10 +68,15 @@ def draw_pivots(rows: DataFrame, pivots: int = PIVOTS, sample: int = SAMPLE) ->
     return np.array(distinct) if distinct else draw_pivots(rows, pivots, total)
 
 
+def _place_type(pivots: int) -> type:
+    return np.uint8 if pivots <= 256 else np.uint32
+
+
 def permutations(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """The pivots of each row of x from nearest to farthest; ties by pivot number."""
+    x = x.astype(np.float64)
     square = (x * x).sum(axis=1)[:, None] + (pivots * pivots).sum(axis=1)[None] - 2 * x @ pivots.T
-    return np.argsort(square, axis=1, kind="stable").astype(np.int16)
+    return np.argsort(square, axis=1, kind="stable").astype(_place_type(len(pivots)))
 
 
 def _post(rows: DataFrame, pivots: np.ndarray, count: int, blocks: dict[int, int], chunks: dict[int, int], query: bool) -> DataFrame:
@@ -131,20 +139,23 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
     blocks = {f: max(1, -(-n // block)) for f, n in _file_sizes(rows, centres, post).items()}
     chunks = {f: max(1, -(-n // query_block)) for f, n in _file_sizes(queries, centres, visit).items()}
 
+    number = np.float32 if rows.schema["vector"].dataType.elementType == T.FloatType() else np.float64
+    place_type = _place_type(len(centres))
+
     def run(posted: pa.Table, asked: pa.Table) -> pa.Table:
         out: list[list] = [[], [], [], []]
         if len(posted) and len(asked):
             file = posted["file"][0].as_py()
             uid, vec_id = posted["uid"].to_numpy(), np.array(posted["vec_id"].to_pylist(), dtype=object)
-            x, order = _matrix(posted["vector"], np.float64), _matrix(posted["permutation"], np.int16)
+            x, order = _matrix(posted["vector"], number).astype(np.float64), _matrix(posted["permutation"], place_type)
             size = order.shape[1]
-            place = np.empty_like(order)
-            np.put_along_axis(place, order, np.arange(size, dtype=np.int16)[None].repeat(len(order), 0), 1)
+            place = np.empty(order.shape, dtype=np.int32)
+            np.put_along_axis(place, order.astype(np.int64), np.arange(size, dtype=np.int32)[None].repeat(len(order), 0), 1)
             files_of = order[:, :post]
             by_id = np.array([(1, 0) if i is None else (0, i) for i in vec_id], dtype=np.int64)
-            for q_uid, q_id, q, q_order in zip(asked["uid"].to_pylist(), asked["vec_id"].to_pylist(), _matrix(asked["vector"], np.float64), _matrix(asked["permutation"], np.int16), strict=True):
-                q_place = np.empty(size, dtype=np.int16)
-                q_place[q_order] = np.arange(size, dtype=np.int16)
+            for q_uid, q_id, q, q_order in zip(asked["uid"].to_pylist(), asked["vec_id"].to_pylist(), _matrix(asked["vector"], number).astype(np.float64), _matrix(asked["permutation"], place_type), strict=True):
+                q_place = np.empty(size, dtype=np.int32)
+                q_place[q_order] = np.arange(size, dtype=np.int32)
                 here = np.flatnonzero((q_place[files_of].min(axis=1) == q_place[file]) & (uid != q_uid))
                 if not len(here):
                     continue
