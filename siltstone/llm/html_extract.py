@@ -57,7 +57,7 @@ _CLOSES = {
     "option": frozenset(["option"]),
 }
 _SCOPE = frozenset("table ul ol dl body html td th article section div main".split())
-_TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|([^\s=/\"'>]+)")
 _WORD = re.compile(r"[A-Za-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -180,8 +180,10 @@ def _measure(node: Node) -> None:
         up = n.parent if n.tag in PARAGRAPHS else n
         level = 0
         while up is not None:
-            up.points += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
-            up, level = up.parent, level + 1
+            if up.tag in BLOCK or up.parent is None:  # inline elements, often unclosed, hold no article
+                up.points += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
+                level += 1
+            up = up.parent
 
 
 def _score(node: Node) -> float:

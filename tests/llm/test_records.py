@@ -20,6 +20,7 @@ PAGES = {
     "cut": ("<article><p>Cut off <a href='x", "Cut off"),
     "list": ("<article><ul><li>a<li>b</ul><table><tr><td>c<td>d</table></article>", "a\nb\nc\nd"),
     "header": ("<header><h1>Site</h1></header><article><header><h1>Head</h1></header><p>Body</p></article>", "Head\nBody"),
+    "unclosed": ("<b>one <b>two<p>Three", "one two\nThree"),
     "blank": (" \n ", ""),
 }
 
