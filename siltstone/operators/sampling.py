@@ -31,23 +31,30 @@ def shuffled(rows: DataFrame, key: str, seed: int) -> DataFrame:
 
 
 def train_val_split(rows: DataFrame, label: str, key: str, seed: int, val_share: float = 0.15) -> DataFrame:
-    """Column split: val for the first val_share of every class in hash order, by rounding up; a class of one row trains."""
-    by_class = Window.partitionBy(label)
-    rank = F.row_number().over(by_class.orderBy(hash_order(F.col(key), seed), F.col(key)))
-    size = F.count("*").over(by_class)
-    return rows.withColumn("split", F.when((size > 1) & (rank <= F.ceil(size * F.lit(val_share))), F.lit("val")).otherwise(F.lit("train")))
+    """Column split: val for the first val_share of every class in hash order, by rounding up; a class of one row trains.
+
+    A class is ranked in 4096 pieces by the head of its hashes, so no task sees a whole class.
+    """
+    h = hash_order(F.col(key), seed)
+    tagged = rows.withColumn("_h", h).withColumn("_b", F.substring("_h", 1, 3))
+    sizes = tagged.groupBy(label, "_b").agg(F.count("*").alias("_n"))
+    by_label = Window.partitionBy(label)
+    before = F.coalesce(F.sum("_n").over(by_label.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select(F.col(label).alias("_label"), F.col("_b").alias("_bucket"), before.alias("_before"), F.sum("_n").over(by_label).alias("_size"))
+    ranked = tagged.withColumn("_rn", F.row_number().over(Window.partitionBy(label, "_b").orderBy("_h", key)))
+    placed = ranked.join(offsets, ranked[label].eqNullSafe(offsets["_label"]) & (ranked["_b"] == offsets["_bucket"]))
+    is_val = (F.col("_size") > 1) & (F.col("_before") + F.col("_rn") <= F.ceil(F.col("_size") * F.lit(val_share)))
+    return placed.withColumn("split", F.when(is_val, F.lit("val")).otherwise(F.lit("train"))).select(*rows.columns, "split")
 
 
 def readable_sample(rows: DataFrame, text: str, n: int, key: str, seed: int, low: int = 150, high: int = 450, group: str | None = None) -> DataFrame:
     """n rows (of every group) of readable length; of any length where fewer than n are readable."""
-    groups = [group] if group else []
     readable = F.coalesce(F.length(text).between(low, high), F.lit(False))
-    enough = F.sum(readable.cast("int")).over(Window.partitionBy(*groups or [F.lit(1)])) >= n if group else None
-    if enough is None:
-        if rows.where(readable).limit(n).count() >= n:
-            rows = rows.where(readable)
-        return uniform_sample(rows, n, key, seed)
-    pool = rows.withColumn("_enough", enough).where(~F.col("_enough") | readable).drop("_enough")
+    if group is None:
+        enough = rows.where(readable).limit(n).count() >= n
+        return uniform_sample(rows.where(readable) if enough else rows, n, key, seed)
+    counts = rows.groupBy(F.col(group).alias("_group")).agg((F.count_if(readable) >= n).alias("_enough"))
+    pool = rows.join(counts, rows[group].eqNullSafe(counts["_group"])).where(~F.col("_enough") | readable).drop("_enough", "_group")
     return stratified_sample(pool, group, n, key, seed)
 
 

@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def new_rows(batch: DataFrame, ledger: DataFrame, key: str) -> DataFrame:
@@ -49,13 +48,20 @@ def require_exact_exclusion(report: DataFrame) -> None:
         raise AssertionError(f"exclusion leaks: {row.asDict()}")
 
 
-def first_per_key(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """The first row of each key; order must be unique within a key for a reproducible result."""
-    return rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rn = 1").drop("_rn")
+def _one_per_key(rows: DataFrame, keys: list[str], pick) -> DataFrame:
+    return rows.groupBy(*keys).agg(pick.alias("_one")).select("_one.*")
+
+
+def first_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The first row of each key, aggregated map-side, so a key may hold much of the table.
+
+    order must be unique within a key for a reproducible result.
+    """
+    return _one_per_key(rows, keys, F.min_by(F.struct(*rows.columns), F.struct(*order)))
 
 
 def last_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    return first_per_key(rows, keys, [F.desc(c) for c in order])
+    return _one_per_key(rows, keys, F.max_by(F.struct(*rows.columns), F.struct(*order)))
 
 
 def overlay(base: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
