@@ -515,6 +515,16 @@ def alert_rules(spark, sf):
     return evaluation.alerts(signals).select("lang", "mix_alert", "unknown_alert", "check_alert")
 
 
+@query(f"""with {_EVAL}, s as (select doc_id, case when pred = 'xx' then null else pred end raw, lang from e), b as (select *, case when raw in ('en', 'es') then raw else 'OTHER' end bucket from s)
+select doc_id cmplid, raw raw_component, case when raw is null then null when raw = lang then raw else bucket end pred, coalesce(raw is not null and (raw = lang or bucket = lang), false) correct, raw not in ('en', 'es', 'de') off_list from b""")
+def gold_scoring(spark, sf):
+    e = _results(spark, sf)
+    reply = F.when(F.col("pred") == "xx", "cannot tell").otherwise(F.concat(F.lit('Answer: {"component": "'), F.col("pred"), F.lit('"} done')))
+    gold = e.select(F.col("doc_id").alias("cmplid"), F.array("lang").alias("accept"))
+    found = evaluation.score_replies(e.select(F.col("doc_id").alias("cmplid"), reply.alias("reply")), gold, primary=("en", "es"), rare=("de",))
+    return found.select("cmplid", "raw_component", "pred", "correct", "off_list")
+
+
 # Cascade --------------------------------------------------------------------------------
 
 _RES = """m as (select l_orderkey || '-' || l_linenumber cmplid, unnest([{'m': 'cheap-a', 'c': l_quantity > 10, 't': 900, 'o': 60}, {'m': 'cheap-b', 'c': l_discount > 0.03, 't': 700, 'o': 50}, {'m': 'smart', 'c': l_quantity > 4, 't': 1500, 'o': 200}]) r, case when l_quantity > 30 then 'high' when l_quantity > 12 then 'medium' else 'low' end confidence, l_returnflag pred from lineitem),
@@ -673,6 +683,69 @@ def text_helpers(spark, sf):
     return d.select("doc_id", X.after_last(F.col("source"), "c").alias("suffix"), X.shortened(F.col("text"), 100, "...").alias("shown"), file.alias("file"), joined.alias("joined"))
 
 
+# Whole jobs -----------------------------------------------------------------------------
+
+
+def complaint_file(spark: SparkSession, sf: str) -> DataFrame:
+    """orders under the complaint file's column names, all strings."""
+    o = complaints(spark, sf)
+    text = F.concat(F.col("code"), F.lit(" received on "), F.col("day"))
+    kind = F.when(F.col("status") == "F", "V").otherwise("C")
+    return o.select(
+        F.col("id").cast("string").alias("CMPLID"), F.col("incident").cast("string").alias("ODINO"), F.col("day").alias("LDATE"), F.col("code").alias("COMPDESC"), text.alias("CDESCR"), kind.alias("PROD_TYPE"),
+        F.lit("m").alias("MAKETXT"), F.col("status").alias("MODELTXT"), F.substring("day", 1, 4).alias("YEARTXT"),
+    )
+
+
+_C = f"{_O}, cf as (select cast(id as varchar) CMPLID, cast(incident as varchar) ODINO, day LDATE, code COMPDESC, code || ' received on ' || day CDESCR, case when status = 'F' then 'V' else 'C' end PROD_TYPE, status, incident from o)"
+_KEY = "sha256(ODINO || '||' || CDESCR)"
+
+
+@query(f"""with {_C}, v as (select * from cf where PROD_TYPE = 'V'), h as (select COMPDESC, count(*) n from v group by 1), c as (select *, row_number() over (order by n desc, COMPDESC) r, sum(n) over (order by n desc, COMPDESC rows unbounded preceding) / cast(sum(n) over () as double) cum from h)
+select CMPLID, case when r <= least(35, (select count(*) from c where cum < 0.99) + 1) then v.COMPDESC else 'OTHER' end COMPDESC_LABEL, count(*) over (partition by ODINO) odino_group_size, count(*) over (partition by ODINO) > 1 odino_multi_row from v join c using (COMPDESC)""")
+def job_prepare(spark, sf):
+    clean, _ = jobs.prepare_training_data(complaint_file(spark, sf))
+    return clean.select("CMPLID", "COMPDESC_LABEL", "odino_group_size", "odino_multi_row")
+
+
+@query(f"""with {_C}, gold as (select cast(doc_id as varchar) id from labels), k as (select * from cf where PROD_TYPE = 'V' and CMPLID not in (select id from gold))
+select CMPLID, COMPDESC from k qualify row_number() over (partition by COMPDESC order by md5(concat(CMPLID, '|42')), CMPLID) <= 40""")
+def job_training_sample(spark, sf):
+    clean, _ = jobs.prepare_training_data(complaint_file(spark, sf))
+    gold = table(spark, sf, "labels").select(F.col("doc_id").alias("id"))
+    return jobs.build_training_sample(clean, gold, cap=40).select("CMPLID", "COMPDESC")
+
+
+@query(f"""with {_C}, v as (select *, {_KEY} as key from cf where PROD_TYPE = 'V'), seen as (select distinct v.key from v join customer on c_custkey = incident where c_acctbal > 5000)
+select CMPLID from v where LDATE > '19991231' and key not in (select key from seen)""")
+def job_nightly_new(spark, sf):
+    dump = complaint_file(spark, sf)
+    known = table(spark, sf, "customer").where("c_acctbal > 5000").select(F.col("c_custkey").cast("string").alias("ODINO"))
+    seen = jobs.vehicles(dump).join(known, "ODINO", "left_semi").select(X.fingerprint_hash(F.col("ODINO"), F.col("CDESCR")).alias("key")).distinct()
+    none = census.month_census(complaints(spark, sf)).where("false")
+    totals = census.month_totals(complaints(spark, sf), day="dd").where("false")
+    return jobs.nightly(dump, none, totals, seen, "19991231", AS_OF)["new"].select("CMPLID")
+
+
+@query(f"""with {_C}, p as (select * from cf where PROD_TYPE = 'V' and LDATE > '19971231' and length(CDESCR) >= 20 and CMPLID not in (select cast(doc_id as varchar) from labels)),
+a as (select * from p order by md5(concat(CMPLID, '|{SEED}')), CMPLID limit 150), b as (select * from p where COMPDESC like '1-%' and CMPLID not in (select CMPLID from a) order by md5(concat(CMPLID, '|{SEED}')), CMPLID limit 50)
+select CMPLID cmplid, LDATE ldate, COMPDESC compdesc, ODINO odino from (select * from a union all select * from b)""")
+def job_current_sample(spark, sf):
+    blocked = table(spark, sf, "labels").select(F.col("doc_id").alias("id"))
+    dump = complaint_file(spark, sf)
+    boosted = [r[0] for r in dump.where(F.col("COMPDESC").startswith("1-")).select("COMPDESC").distinct().collect()]  # a handful of codes
+    return jobs.sample_current(dump, [blocked], "19971231", boosted)["sealed"].select("cmplid", "ldate", "compdesc", "odino")
+
+
+@query(f"""with {_C}, l as (select * from cf where PROD_TYPE = 'V' and LDATE > '19971231' and CMPLID not in (select cast(doc_id as varchar) from labels))
+select l.CMPLID, left(LDATE, 6) ym, t.c_mktsegment teacher_label from l left join (select cast(c_custkey as varchar) CMPLID, c_mktsegment from customer) t using (CMPLID)
+qualify row_number() over (partition by left(LDATE, 6) order by md5(concat(l.CMPLID, '|42')), l.CMPLID) <= 2000""")
+def job_replay_monthly(spark, sf):
+    teacher = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("cmplid"), F.col("c_mktsegment").alias("component_label"))
+    gold = table(spark, sf, "labels").select(F.col("doc_id").alias("id"))
+    return jobs.replay_prepare(teacher, complaint_file(spark, sf), gold, "19971231")["monthly"].select("CMPLID", "ym", "teacher_label")
+
+
 # Streams and models ----------------------------------------------------------------------
 
 
