@@ -516,13 +516,13 @@ def alert_rules(spark, sf):
 
 
 @query(f"""with {_EVAL}, s as (select doc_id, case when pred = 'xx' then null else pred end raw, lang from e), b as (select *, case when raw in ('en', 'es') then raw else 'OTHER' end bucket from s)
-select doc_id cmplid, raw raw_component, case when raw is null then null when raw = lang then raw else bucket end pred, coalesce(raw is not null and (raw = lang or bucket = lang), false) correct, raw not in ('en', 'es', 'de') off_list from b""")
+select doc_id cmplid, raw raw_component, case when raw is null then null when raw = lang then raw else bucket end pred, coalesce(raw is not null and (raw = lang or bucket = lang), false) correct, coalesce(raw not in ('en', 'es', 'de'), false) off_list from b""")
 def gold_scoring(spark, sf):
     e = _results(spark, sf)
     reply = F.when(F.col("pred") == "xx", "cannot tell").otherwise(F.concat(F.lit('Answer: {"component": "'), F.col("pred"), F.lit('"} done')))
     gold = e.select(F.col("doc_id").alias("cmplid"), F.array("lang").alias("accept"))
     found = evaluation.score_replies(e.select(F.col("doc_id").alias("cmplid"), reply.alias("reply")), gold, primary=("en", "es"), rare=("de",))
-    return found.select("cmplid", "raw_component", "pred", "correct", "off_list")
+    return found.select("cmplid", "raw_component", "pred", "correct", F.coalesce("off_list", F.lit(False)).alias("off_list"))
 
 
 # Cascade --------------------------------------------------------------------------------
