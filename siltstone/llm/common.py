@@ -7,6 +7,8 @@ import functools
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 # more than HOT_SHARE hot keys and broadcasting them is bounded.
 HOT_SHARE = 1000
 SALTS = 64
+ARROW_ROWS = 2000
 
 
 @functools.cache
@@ -41,8 +44,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return _stored_at(df, fresh_path(df.sparkSession, name))
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Rows go to Python in batches of at most ARROW_ROWS: long texts then take little memory on either side."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if 0 < int(before) <= ARROW_ROWS:
+        yield
+        return
+    spark.conf.set(name, str(ARROW_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _stored_at(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -27,10 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from .common import components, skew_lookup, stored
+from .common import components, row_key, skew_lookup, stored
 
 MAX_DISTANCE = 3
 SHINGLE = 3
@@ -62,22 +61,16 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed 64-bit integer, one row per row of docs."""
-    pruned = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return with_fingerprint(pruned, "text", "fp").drop("text")
-
-
-def with_fingerprint(docs: DataFrame, text_col: str, out: str) -> DataFrame:
-    """docs with the fingerprint of each row's text as one more column."""
-    names, at = docs.columns, docs.columns.index(text_col)
+    """(key, doc_id, fp) per row of docs: the row's key and its fingerprint as a signed 64-bit integer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(at).cast(pa.binary())
+            texts = batch.column(2).cast(pa.binary())
             found = np.fromiter((fingerprint(x.as_py()) for x in texts), dtype=np.uint64, count=len(texts)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], [*names, out])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int64())], ["key", "doc_id", "fp"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField(out, T.LongType())]))
+    pruned = docs.select(row_key(id_col, text_col).alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return pruned.mapInArrow(run, "key binary, doc_id long, fp long")
 
 
 def _field(x: Column, position: int, bits: int) -> Column:
@@ -126,7 +119,7 @@ def links(fps: DataFrame, list_limit: int = LIST_LIMIT) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of docs: doc_id, fp (signed), fingerprint (16 hex digits) and component_id, the smallest doc_id reachable."""
+    """Per row of docs: key, doc_id, fp (signed), fingerprint (16 hex digits) and component_id, the smallest doc_id reachable."""
     rows = stored(fingerprints(docs, id_col, text_col), "fingerprints")
     classes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "classes")
     roots = components(links(classes.select("fp")))
@@ -134,14 +127,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
     table = joined.join(least, "root").select("fp", "component_id", "n")
     out = skew_lookup(rows, table, "fp", "n", F.xxhash64("doc_id"))
-    return out.select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return out.select("key", "doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of every component of docs, all columns: the one with the smallest id; names that begin with ``_sh_`` are reserved."""
-    rows = stored(near_duplicates(docs, id_col, text_col), "near-duplicates")
+    rows = stored(near_duplicates(docs, id_col, text_col).drop("fingerprint"), "near-duplicates")
     group = F.coalesce(F.concat(F.lit("i"), F.col("component_id")), F.concat(F.lit("f"), F.col("fp")))
-    kept = rows.groupBy(group.alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("k")).select("k.doc_id", "k.fp")
-    marked = with_fingerprint(docs, text_col, "_sh_fp").withColumn("_sh_id", F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("-")))
-    kept = kept.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).alias("_sh_id"), F.col("fp").alias("_sh_fp"))
-    return marked.join(kept, ["_sh_id", "_sh_fp"], "left_semi").dropDuplicates(["_sh_id", "_sh_fp"]).select(*docs.columns)
+    kept = rows.groupBy(group.alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("k")).select(F.col("k.key").alias("_sh_key"))
+    marked = docs.withColumn("_sh_key", row_key(id_col, text_col))
+    # Rows alike in id and text share a key; one of them stays.
+    return marked.join(kept, "_sh_key", "left_semi").dropDuplicates(["_sh_key"]).select(*docs.columns)
