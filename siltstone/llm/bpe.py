@@ -26,11 +26,12 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 200_000
 #: Rows of an output batch hold at most about so many characters of input.
 SLICE_CHARS = 2_000_000
 # Fixed values of the format: White_Space, the separators that str.split() adds to it, and the pieces.
@@ -188,16 +189,16 @@ class PairIndexBpe:
         return [b"".join(map(ids, cs)) for cs in split], [b" ".join(map(decoded, cs)) for cs in split]
 
 
-def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+def _slices(sizes: list[int | None]) -> Iterator[tuple[int, int]]:
     """Consecutive runs of about SLICE_CHARS characters."""
     start = held = 0
-    for i, t in enumerate(texts):
-        held += len(t or "")
+    for i, size in enumerate(sizes):
+        held += size or 0
         if held >= SLICE_CHARS:
             yield start, i + 1
             start, held = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -206,9 +207,8 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = PairIndexBpe(vocabulary)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in _slices(texts):
-                ids, decoded = coder.encode(texts[a:b])
+            for a, b in _slices(pc.utf8_length(batch.column(1)).to_pylist()):
+                ids, decoded = coder.encode(batch.column(1).slice(a, b - a).to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary()).cast(pa.string())], ["doc_id", "ids", "decoded"])
 
     pruned = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
