@@ -9,7 +9,7 @@ of this template belongs to it, the others stand for themselves.
 
 A template that occurs in at least MIN_DOCS documents is recurring.  Its first
 occurrence (smallest doc_id, then line number) stays, the others are dropped.  Lines with fewer than
-MIN_TOKENS tokens are too short for a template and stay.
+MIN_TOKENS tokens are too short for a template and stay; with ``short`` they recur as they are, digits included.
 
 Only hashes, ids and line numbers of lines are shuffled, plus the patterns of leaves with more
 than one; a line that fills a third of the corpus is dealt over many tasks.
@@ -36,26 +36,37 @@ FIELD = "<*>"
 _VARIABLE = r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*"
 
 
-def pattern_of(line: Column) -> Column:
-    """Tokens joined by one space, those with a digit as FIELD."""
+def folded_of(line: Column) -> Column:
+    """Tokens joined by one space."""
     # Plain searches first: most lines need no regular expression.
     uneven = F.contains(line, F.lit("  "))
     for space in "\t\r\f\x0b":
         uneven = uneven | F.contains(line, F.lit(space))
-    folded = F.trim(F.when(uneven, F.regexp_replace(line, r"[ \t\r\f\x0B]+", " ")).otherwise(line))
+    return F.trim(F.when(uneven, F.regexp_replace(line, r"[ \t\r\f\x0B]+", " ")).otherwise(line))
+
+
+def pattern_of(line: Column) -> Column:
+    """Tokens joined by one space, those with a digit as FIELD."""
+    folded = folded_of(line)
     return F.when(folded.rlike("[0-9]"), F.regexp_replace(folded, _VARIABLE, FIELD)).otherwise(folded)
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str, min_tokens: int) -> DataFrame:
-    """doc, doc_id, line, pattern, tokens, leaf of every line long enough for a template."""
+def _lines(docs: DataFrame, id_col: str, text_col: str, min_tokens: int, short: bool = False) -> DataFrame:
+    """doc, doc_id, line, pattern, tokens, leaf of every line long enough for a template, and with short of all shorter ones but blanks."""
     # The key first, in a step of its own: beside the generator it would be computed for every line.
     rows = docs.where(F.col(text_col).isNotNull()).select(row_key(id_col, text_col).alias("doc"), F.col(id_col).alias("doc_id"), F.split(text_col, "\n").alias("raw"))
     # Tokens are counted in bytes, once, inside the generator; a filter above it would count them again.
     blanks = lambda p: F.octet_length(p) - F.octet_length(F.replace(p, F.lit(" "), F.lit("")))
     parsed = F.transform(F.transform("raw", pattern_of), lambda p: F.struct(p.alias("pattern"), (blanks(p) + 1).alias("tokens")))
+    if short:
+        # A short line's pattern is the line itself; its leaf then holds no other.
+        parsed = F.zip_with(parsed, "raw", lambda p, x: F.struct(F.when(p["tokens"] < min_tokens, folded_of(x)).otherwise(p["pattern"]).alias("pattern"), p["tokens"].alias("tokens")))
     rows = rows.select("doc", "doc_id", F.posexplode(parsed).alias("line", "p")).select("doc", "doc_id", "line", "p.pattern", "p.tokens")
     leaf = F.xxhash64("tokens", F.substring_index("pattern", " ", DEPTH))
-    return rows.where(F.col("tokens") >= min_tokens).withColumn("leaf", leaf)
+    if short:
+        leaf = F.when(F.col("tokens") < min_tokens, F.xxhash64("tokens", "pattern")).otherwise(leaf)
+    wanted = F.col("pattern") != "" if short else F.col("tokens") >= min_tokens
+    return rows.where(wanted).withColumn("leaf", leaf)
 
 
 def templates(lines: DataFrame, index: DataFrame, min_docs: int, similar: float) -> DataFrame:
@@ -90,9 +101,9 @@ def templates(lines: DataFrame, index: DataFrame, min_docs: int, similar: float)
     return alone.unionByName(shared).select("shape", "n", F.col("first.doc").alias("first_doc"), F.col("first.line").alias("first_line"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS, similar: float = SIMILAR) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS, similar: float = SIMILAR, short: bool = False) -> DataFrame:
     """docs with recurring lines dropped from text, and _ld_lines, _ld_dropped: lines before, lines dropped."""
-    lines = _lines(docs, id_col, text_col, min_tokens)
+    lines = _lines(docs, id_col, text_col, min_tokens, short)
     index = stored(lines.select("doc", "doc_id", "line", "leaf", F.unhex(F.md5("pattern")).alias("shape")), "line-index")
     # A leaf with fewer lines than a recurring template needs documents can hold none: most lines go here.
     busy = stored(index.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).withColumn("busy", F.lit(True)), "busy-leaves")
