@@ -70,6 +70,14 @@ def row_key(id_col: str, text_col: str) -> Column:
     return F.unhex(F.md5(F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.col(text_col).cast("string"), F.col(text_col).isNull().cast("string"))))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name beginning with name that df does not have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)

@@ -29,7 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import components, row_key, skew_lookup, stored
+from . import near_copies
+from .common import components, free_name, row_key, skew_lookup, stored
 
 MAX_DISTANCE = 3
 SHINGLE = 3
@@ -130,11 +131,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("key", "doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of every component of docs, all columns: the one with the smallest id; names that begin with ``_sh_`` are reserved."""
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
+    """One row of every component of docs, all columns: the one with the smallest id.
+
+    With ``similarity``, texts are linked by the Jaccard similarity of their five-word shingles
+    instead of MAX_DISTANCE bits: positions are then buckets of shingles (near_copies), tallied and verified likewise.
+    """
+    if similarity is not None:
+        return near_copies.deduplicate(docs, id_col, text_col, similarity=similarity)
     rows = stored(near_duplicates(docs, id_col, text_col).drop("fingerprint"), "near-duplicates")
     group = F.coalesce(F.concat(F.lit("i"), F.col("component_id")), F.concat(F.lit("f"), F.col("fp")))
-    kept = rows.groupBy(group.alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("k")).select(F.col("k.key").alias("_sh_key"))
-    marked = docs.withColumn("_sh_key", row_key(id_col, text_col))
+    name = free_name(docs, "key")
+    kept = rows.groupBy(group.alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("k")).select(F.col("k.key").alias(name))
+    marked = docs.withColumn(name, row_key(id_col, text_col))
     # Rows alike in id and text share a key; one of them stays.
-    return marked.join(kept, "_sh_key", "left_semi").dropDuplicates(["_sh_key"]).select(*docs.columns)
+    return marked.join(kept, name, "left_semi").dropDuplicates([name]).select(*docs.columns)

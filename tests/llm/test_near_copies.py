@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 from siltstone.llm import near_copies, simhash
 
 
@@ -42,6 +43,52 @@ def test_stage_finds_every_pair_at_jaccard_08(spark):
     assert simhash.deduplicate(docs).count() > len(kept)
 
 
+def test_large_sets_against_brute_force(spark):
+    """Pairs at 0.8 and above among texts of 150 to 3,000 words that share a third of their words with all others."""
+    rng = random.Random(11)
+    own = lambda n: [f"w{rng.randint(0, 10**9)}" for _ in range(n)]
+    common, rows = own(1000), []
+    for g, n in enumerate((150, 170, 260, 400, 700, 1500, 3000)):
+        for b in range(4):
+            base = own(n) + common[: n // 3]
+            rows.append((100 * g + 10 * b, " ".join(base)))
+            for c in range(1, 4):
+                words = list(base)
+                for at in rng.sample(range(n), int(len(base) * 0.0095 * c)):
+                    words[at] = own(1)[0]
+                if c == 3:
+                    words += own(len(base) // 12)
+                rows.append((100 * g + 10 * b + c, " ".join(words)))
+    sets = {d: grams(t) for d, t in rows}
+    close = {(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    group = {d: d for d in sets}
+    for i, j in sorted(close) * 4:
+        group[i] = group[j] = min(group[i], group[j])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert len(close) > 50 and min(len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i, j in close) < 0.85
+    assert {r["doc_id"] for r in near_copies.deduplicate(docs).collect()} == set(group.values())
+
+
+def test_positions_that_pairs_at_the_threshold_share():
+    """Simulated pairs of similarity 0.8: fewer than LEAST shared positions never happen, EXPECTED are usual."""
+    rng = np.random.default_rng(2)
+    for n in (129, 200, 333, 1000, 5000):
+        for _ in range(60):
+            m = int(rng.integers(max(n, 129), int(n / 0.8) + 1))
+            shared = int(np.ceil(0.8 / 1.8 * (n + m)))
+            h = rng.integers(0, 2**64, n + m - shared, dtype=np.uint64)
+            a, b = np.sort(h[:n]), np.sort(h[n - shared :])
+            assert len(np.intersect1d(near_copies.positions(a, 0.8), near_copies.positions(b, 0.8))) >= near_copies.LEAST
+
+
+def test_clashing_names_and_empty_tables(spark, no_docs):
+    docs = spark.createDataFrame([(1, "a b c", "k", 1), (2, "a b c", "k", 2)], "doc_id long, text string, key string, `key_` int")
+    got = simhash.deduplicate(docs, similarity=0.8).collect()
+    assert [tuple(r) for r in got] == [(1, "a b c", "k", 1)]
+    assert [tuple(r) for r in simhash.deduplicate(docs).collect()] == [(1, "a b c", "k", 1)]
+    assert simhash.deduplicate(no_docs, similarity=0.8).count() == 0
+
+
 def test_rows_without_id_and_repeats(spark, no_docs):
     docs = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (None, "x y z")], "doc_id long, text string")
     assert sorted(map(repr, near_copies.deduplicate(docs).collect())) == ["Row(doc_id=3, text='a b c d e f')", "Row(doc_id=None, text='x y z')"]
