@@ -2,22 +2,31 @@
 
 A tolerant tokenizer builds the element tree (void elements, implied end tags,
 unclosed elements, comments and raw-text elements are understood; what cannot be
-a tag is text).  Elements that are never part of an article (menus, page
-headers, footers, sidebars, notices, adverts, forms, scripts, comments of
-readers) are set aside by their tag, role, visibility or the words of their class
-and id.  Every remaining paragraph-like element passes points to its ancestors,
-for its length and its commas: all of them to its parent, half to its
-grandparent, and ever less further up.  An element's points are discounted by
-its link density; the best one is the container.  A container inside <article>
-or <main> stands for that element.  Siblings of the container are kept when they
-score well beside it or read like prose.
-
-The text of each block has its white space folded and its character references
-decoded; blocks are joined by a newline in page order.  The whole page is read.
+a tag is text; character references are decoded in each text on its own).
+
+1. Elements that are never an article by their tag, role or visibility (menus, page
+   headers, footers, sidebars, dialogs) are set aside; so are forms that hold less than
+   NOTABLE of the page's unlinked characters.
+2. An element one of whose class or id names is a word for such parts (whole names only)
+   is set aside if it holds less than NOTABLE of the page's unlinked characters
+   (ALL_BUT for readers' comments); else its scores count a fifth.
+3. Every paragraph-like element passes points to its ancestors, for its length and its
+   commas: all of them to its parent, half to its grandparent, and ever less further up.
+   <article> gets the points of all its paragraphs whole and ARTICLE_POINTS more, <main> at least half of them.
+   An element's points are discounted by its link density; the best one is the container.
+4. Siblings of the container are kept when they score well beside it or read like
+   prose; beside an <article>, the other articles that are not mostly links.  Of a whole page
+   without containers, lists of nothing but links at its top level go.
+
+Inside what is kept nothing but the elements set aside is dropped: lists of linked
+sources, sections, formulas and a button within a sentence stay.
+
+The text of each block has its white space folded; blocks are joined by a newline in page
+order.  The whole page is read.
 
 Edge cases: null and empty pages give an empty text, as do pages without text;
 a page without any paragraph gives what remains after setting elements aside;
-repeated rows are extracted each; an empty table gives an empty result; other
+ties go to the element that opens first; repeated rows are extracted each; an empty table gives an empty result; other
 columns are ignored.
 """
 
@@ -33,18 +42,25 @@ from pyspark.sql import functions as F
 
 # Element names of HTML by what they do here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea iframe title svg math object canvas select".split())
+RAW = frozenset("script style noscript template textarea iframe title svg canvas select".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PARAGRAPHS = frozenset("p pre td blockquote li dd".split())
-SET_ASIDE = frozenset("nav footer aside form button dialog head menu fieldset".split())
-SET_ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
-SET_ASIDE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices pager pagination paywall popup promo promotion recommended related replies respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget".split()
+SET_ASIDE = frozenset("nav footer aside dialog head menu".split())
+FORMS = frozenset("form fieldset".split())
+SET_ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
+SET_ASIDE_NAMES = frozenset(
+    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs consent cookie cookies footer gdpr masthead menu modal nav navbar navigation newsletter notice notices pager pagination paywall popup promo promotion recommended related share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget"
+    " ad-banner ad-slot cookie-banner cookie-bar cookie-consent cookie-notice main-nav main-menu page-footer page-header related-articles related-posts share-buttons site-footer site-header site-nav skip-link social-links social-share".split()
 )
-_NEVER_BY_WORDS = frozenset("html body article main".split())
+COMMENT_NAMES = frozenset("comment comments commentlist comment-form comment-list comments-area comments-section disqus disqus_thread replies respond".split())
+_NEVER_BY_NAME = frozenset("html body article main".split())
+#: Share of the page's unlinked characters with which an element stays whatever its names; for readers' comments.
+NOTABLE, ALL_BUT = 0.4, 0.9
+ARTICLE_POINTS = 25.0
+PENALTY = 0.2
 #: An end is implied for an open element of the value when an element of the key starts.
 _CLOSES = {
     "li": frozenset(["li"]),
@@ -59,57 +75,64 @@ _CLOSES = {
 _SCOPE = frozenset("table ul ol dl body html td th article section div main".split())
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|([^\s=/\"'>]+)")
-_WORD = re.compile(r"[A-Za-z]+")
+_SENTENCE_END = re.compile(r"[.!?…。！？][\"'»”’)\]]*$")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW}
 
 
+NONE, NAMED, COMMENTS, FORM, ASIDE = range(5)
+
+
 class Node:
-    __slots__ = ("tag", "parent", "children", "chars", "linked", "commas", "points", "aside")
+    __slots__ = ("tag", "parent", "children", "kind", "aside", "chars", "linked", "commas", "points", "tail")
 
-    def __init__(self, tag: str, parent: Node | None, aside: bool = False):
-        self.tag, self.parent, self.aside = tag, parent, aside
+    def __init__(self, tag: str, parent: Node | None, kind: int = NONE):
+        self.tag, self.parent, self.kind, self.aside = tag, parent, kind, kind == ASIDE
         self.children: list[Node | str] = []
         self.chars = self.linked = self.commas = 0
         self.points = 0.0
+        self.tail = ""
 
 
-def _aside(tag: str, attributes: str, inside_article: bool) -> bool:
-    """Whether an element with these attributes is never part of an article."""
+def _kind(tag: str, attributes: str, inside_article: bool) -> int:
+    """What an element with these attributes may be, other than a part of an article."""
     if tag in SET_ASIDE or (tag == "header" and not inside_article):
-        return True
+        return ASIDE
+    kind = FORM if tag in FORMS else NONE
     if not attributes or attributes.isspace():
-        return False
+        return kind
     for name, a, b, c, bare in _ATTRIBUTE.findall(attributes):
-        key, value = (name or bare).lower(), a or b or c
-        if key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and _HIDDEN.search(value)):
-            return True
-        if tag in _NEVER_BY_WORDS:
+        key, value = (name or bare).lower(), (a or b or c).lower()
+        if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and _HIDDEN.search(value)):
+            return ASIDE
+        if tag in _NEVER_BY_NAME:
             continue
-        if key == "role" and value.lower() in SET_ASIDE_ROLES:
-            return True
-        if key in ("class", "id") and tag not in HEADINGS and _set_aside_words(value, inside_article):
-            return True
-    return False
-
-
-def _set_aside_words(value: str, inside_article: bool) -> bool:
-    words = {w.lower() for w in _WORD.findall(value)}
-    return not SET_ASIDE_WORDS.isdisjoint(words) or (not inside_article and "header" in words)
+        if key == "role":
+            if value in SET_ASIDE_ROLES:
+                return ASIDE
+            if value == "form":
+                kind = FORM
+        elif key in ("class", "id") and tag not in HEADINGS and kind in (NONE, NAMED):
+            names = value.split()
+            if not COMMENT_NAMES.isdisjoint(names):
+                kind = COMMENTS
+            elif not SET_ASIDE_NAMES.isdisjoint(names) or (not inside_article and "header" in names):
+                kind = NAMED
+    return kind
 
 
 def parse(html: str) -> Node:
-    """The element tree of a page; text is kept as it stands, references undecoded."""
+    """The element tree of a page; character references are decoded in each run of text."""
     root = node = Node("#root", None)
     at, end, article = 0, len(html), 0
     match = _TOKEN.search
     while at < end:
         token = match(html, at)
         if token is None:
-            node.children.append(html[at:])
+            node.children.append(unescape(html[at:]))
             break
         if token.start() > at:
-            node.children.append(html[at : token.start()])
+            node.children.append(unescape(html[at : token.start()]))
         at = token.end()
         name = token[2] or token[5]
         if not name:
@@ -127,7 +150,7 @@ def parse(html: str) -> Node:
                 node.children.append(Node("br", node))
             continue
         if tag in RAW:
-            if not attributes.endswith("/") or tag not in ("svg", "math"):
+            if not attributes.endswith("/") or tag != "svg":
                 closing = _RAW_END[tag].search(html, at)
                 at = closing.end() if closing else end
             continue
@@ -143,7 +166,7 @@ def parse(html: str) -> Node:
                 up = up.parent
             if last is not None:
                 node = last.parent
-        child = Node(tag, node, _aside(tag, attributes, article > 0))
+        child = Node(tag, node, _kind(tag, attributes, article > 0))
         node.children.append(child)
         if tag not in VOID:  # a slash before the end does not close an HTML element
             node = child
@@ -151,29 +174,67 @@ def parse(html: str) -> Node:
     return root
 
 
-def _measure(node: Node) -> None:
-    """Characters, linked characters and commas of every element, without what is set aside; points to ancestors."""
+def _kept(node: Node) -> list[Node]:
+    """The elements that are not set aside, each before what it holds, in page order."""
     order, stack = [], [node]
     while stack:
         n = stack.pop()
-        if n.aside:
-            continue
-        order.append(n)
-        stack += [c for c in n.children if type(c) is Node]
+        if not n.aside:
+            order.append(n)
+            stack += [c for c in reversed(n.children) if type(c) is Node]
+    return order
+
+
+def _count(order: list[Node]) -> None:
+    """Characters, linked characters and commas of every element, without what is set aside."""
     for n in reversed(order):
+        n.chars = n.linked = n.commas = 0
         for c in n.children:
             if type(c) is str:
                 text = c.strip()
-                n.chars += len(text)
-                n.commas += text.count(",") + text.count("،") + text.count("、") + text.count("，")
+                if text:
+                    n.chars += len(text)
+                    n.commas += text.count(",") + text.count("،") + text.count("、") + text.count("，")
+                    n.tail = text
             elif not c.aside:
                 n.chars += c.chars
                 n.linked += c.linked
                 n.commas += c.commas
+                n.tail = c.tail or n.tail
         if n.tag == "a":
             n.linked = n.chars
+
+
+def _set_aside(order: list[Node]) -> bool:
+    """Set aside forms and named elements that hold too little of the page; whether there were any."""
+    total, found = order[0].chars - order[0].linked, False
     for n in order:
-        own = n.tag in PARAGRAPHS or (n.tag in ("div", "section", "article", "main", "body", "#root") and any(type(c) is str and len(c.strip()) > 20 for c in n.children))
+        if n.kind != NONE and n.chars - n.linked < (ALL_BUT if n.kind == COMMENTS else NOTABLE) * total or (n.kind != NONE and not n.chars - n.linked):
+            n.aside = found = True
+    return found
+
+
+def _button(n: Node) -> bool:
+    """Whether a button is no part of a sentence."""
+    up = n.parent
+    while up.tag not in BLOCK and up.parent is not None:
+        up = up.parent
+    return up.tag not in PARAGRAPHS or up.chars <= n.chars
+
+
+def _measure(root: Node) -> list[Node]:
+    """Set elements aside, count what is left and pass points to ancestors; the elements that stay."""
+    order = _kept(root)
+    _count(order)
+    changed = _set_aside(order)
+    for n in order:
+        if n.tag == "button" and _button(n):
+            n.aside = changed = True
+    if changed:
+        order = _kept(root)
+        _count(order)
+    for n in order:
+        own = n.tag in PARAGRAPHS or (n.tag in ("div", "section", "article", "main", "form", "body", "#root") and any(type(c) is str and len(c.strip()) > 20 for c in n.children))
         if not own or n.chars < 1:
             continue
         points = (min(1.0, n.chars / 25) + n.commas + min(n.chars / 100, 30.0)) * (1 - n.linked / n.chars)
@@ -181,59 +242,57 @@ def _measure(node: Node) -> None:
         level = 0
         while up is not None:
             if up.tag in BLOCK or up.parent is None:  # inline elements, often unclosed, hold no article
-                up.points += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
+                share = 1.0 if level == 0 else 0.5 if level == 1 else 1 / (3 * level)
+                up.points += points * (1.0 if up.tag == "article" else max(0.5, share) if up.tag == "main" else share)
                 level += 1
             up = up.parent
+    for n in order:
+        n.points += ARTICLE_POINTS if n.tag == "article" and n.points else 0.0
+        if n.kind in (NAMED, COMMENTS):
+            n.points *= PENALTY
+    return order
 
 
 def _score(node: Node) -> float:
     return node.points * (1 - node.linked / node.chars) if node.chars else 0.0
 
 
-def _container(root: Node) -> list[Node]:
-    """The kept elements: the best container (or the article around it) and its siblings worth keeping."""
-    best, stack = None, [root]
-    while stack:
-        n = stack.pop()
-        if n.aside:
-            continue
-        if n.points and (best is None or _score(n) > _score(best)):
-            best = n
-        stack += [c for c in reversed(n.children) if type(c) is Node]
-    if best is None:
-        return [root]
-    up, outer = best, None
-    while up is not None:
-        if up.tag in ("article", "main"):
-            outer = up if outer is None or up.tag == "article" else outer
-        up = up.parent
-    if outer is not None:
-        best = outer
+def _container(root: Node, order: list[Node]) -> list[Node | str]:
+    """What is kept: the best container and its siblings worth keeping, in page order."""
+    best = max((n for n in order if n.points), key=_score, default=root)
     if best.parent is None:
         return [best]
-    least = max(10.0, 0.2 * _score(best))
-    kept = []
+    least = max(10.0, PENALTY * _score(best))
+    kept: list[Node | str] = []
     for c in best.parent.children:
-        if type(c) is str or c.aside:
-            continue
-        density = c.linked / c.chars if c.chars else 1.0
-        prose = c.tag == "p" and c.chars > 80 and density < 0.25
-        if c is best or (outer is None and (_score(c) >= least or prose or (c.tag in HEADINGS and density < 0.5))) or (outer is not None and c.tag == outer.tag and _score(c) >= least):
+        if c is best:
             kept.append(c)
+        elif type(c) is str:
+            if best.tag != "article" and len(c.strip()) > 25:
+                kept.append(c)
+        elif not c.aside and c.kind == NONE and c.chars:
+            density = c.linked / c.chars
+            if best.tag == "article":
+                wanted = c.tag == "article" and density < 0.5
+            else:
+                prose = c.tag == "p" and density < 0.25 and (c.chars > 80 or _SENTENCE_END.search(c.tail) is not None)
+                wanted = _score(c) >= least or prose or (c.tag in HEADINGS and density < 0.5)
+            if wanted:
+                kept.append(c)
     return kept
 
 
-def _blocks(node: Node) -> list[str]:
+def _blocks(kept: list[Node | str]) -> list[str]:
     out: list[str] = []
     inline: list[str] = []
 
     def flush() -> None:
-        text = " ".join(unescape("".join(inline)).split())
+        text = " ".join("".join(inline).split())
         if text:
             out.append(text)
         inline.clear()
 
-    stack: list[Node | str | None] = [node]
+    stack: list[Node | str | None] = [x for k in reversed(kept) for x in (None, k)]
     while stack:
         n = stack.pop()
         if n is None:
@@ -245,7 +304,7 @@ def _blocks(node: Node) -> list[str]:
         elif n.tag == "br":
             inline.append(" ")
         else:
-            if n.tag in ("ul", "ol", "div", "dl", "table") and n.chars and n.linked >= 0.8 * n.chars and _links(n) >= 3:
+            if n.parent is not None and (n.parent.tag == "#root" or n.parent.tag == "body") and n.tag in _LISTS and n.chars and n.linked >= 0.8 * n.chars and _links(n) >= 3:
                 continue  # a menu without a name
             if n.tag in BLOCK:
                 flush()
@@ -255,6 +314,9 @@ def _blocks(node: Node) -> list[str]:
     return out
 
 
+_LISTS = frozenset("ul ol div dl table".split())
+
+
 def _links(node: Node) -> int:
     count, stack = 0, [node]
     while stack:
@@ -267,9 +329,8 @@ def _links(node: Node) -> int:
 def main_text(html: str | None) -> str:
     if not html:
         return ""
-    root = parse(html.replace("\x00", "�"))
-    _measure(root)
-    return "\n".join(b for n in _container(root) for b in _blocks(n))
+    root = parse(html.replace("\x00", "\ufffd"))
+    return "\n".join(_blocks(_container(root, _measure(root))))
 
 
 def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), html_col: str = "html") -> DataFrame:

@@ -25,6 +25,26 @@ PAGES = {
 }
 
 
+LONG = ("A long, long, long text. " * 18).strip()
+PAGES |= {
+    "named page": (f"<body><div class='page with-sidebar'><div class='post'><p>{LONG}</p><p>End.</p></div></div>", f"{LONG}\nEnd."),
+    "named widget": (f"<div class='elementor-widget text'><p>{LONG}</p></div>", LONG),
+    "exactly a widget": (f"<div class='widget'><p>{LONG}</p></div>", LONG),
+    "no comments": (f"<div class='entry no-comments'><p>{LONG}</p></div>", LONG),
+    "sections": (f"<article><p>{LONG}</p><section class='related-work'><p>Work</p></section><p class='social-science'>Science</p></article>", f"{LONG}\nWork\nScience"),
+    "sources": (f"<article><p>{LONG}</p><ul><li><a href=1>one</a><li><a href=2>two</a><li><a href=3>three</a></ul></article>", f"{LONG}\none\ntwo\nthree"),
+    "formula": ("<article><p>Be <math><mi>x</mi></math>, press <button>OK</button> and see <object data=x>a figure</object>.</p><button>Menu</button></article>", "Be x, press OK and see a figure."),
+    "second article": (f"<article><p>{LONG}</p></article><article><p>Brief.</p></article>", f"{LONG}\nBrief."),
+    "split reference": ("<article><p>a &am<b>p;</b> &lt;b></p></article>", "a &amp; <b>"),
+    "whole page is a form": (f"<form><div><p>{LONG}</p></div><input></form>", LONG),
+    "advert longer than the article": (f"<div class=ad>{LONG}</div><article><p>Short, and, sweet.</p></article>", "Short, and, sweet."),
+    "comments longer than the article": (f"<article><p>{LONG}</p><div id=comments><p>{LONG * 3}</p></div></article>", LONG),
+    "teaser article": (f"<main><div><p>{LONG}</p><p>{LONG}</p></div><article><p>Tease, a, bit.</p></article></main>", f"{LONG}\n{LONG}\nTease, a, bit."),
+    "loose text": (f"<div><p>{LONG}</p></div>And a loose sentence beside it.<nav>x</nav>", f"{LONG}\nAnd a loose sentence beside it."),
+    "menu without a name": (f"<body><ul><li><a href=1>one</a><li><a href=2>two</a><li><a href=3>three</a></ul><p>{LONG}</p>", LONG),
+}
+
+
 @pytest.mark.parametrize("name", PAGES)
 def test_main_text(name):
     html, want = PAGES[name]
@@ -39,6 +59,119 @@ def test_extract_table(spark):
     assert html_extract.extract(pages.where("false")).count() == 0
 
 
+def random_page(rng):
+    """A page of nested elements with prose, links, named parts and articles, as nested tuples (tag, attributes, children)."""
+
+    def text(n):
+        return " ".join(rng.choice(["word", "and, so", "on", "of", "place.", "time"]) for _ in range(n))
+
+    def node(depth, inside):
+        kind = rng.choice(["p", "p", "p", "links", "div", "div", "section", "article", "h2", "nav", "form"] if depth < 4 else ["p", "links", "h2"])
+        if kind == "p":
+            return ("p", "", [text(rng.randint(1, 60))])
+        if kind == "h2":
+            return ("h2", "", [text(3)])
+        if kind == "links":
+            return (rng.choice(["ul", "div"]), "", [("a", " href=x", [text(1)]) for _ in range(rng.randint(1, 4))])
+        tag = kind if kind != "article" or not inside else "section"
+        name = rng.choice(["", "", "", " class='ad'", " class='ad-like page'", " id=comments"]) if tag in ("div", "section") else ""
+        return (tag, name, [node(depth + 1, inside or tag == "article") for _ in range(rng.randint(1, 4))])
+
+    return ("body", "", [node(0, False) for _ in range(rng.randint(1, 5))])
+
+
+def html_of(n):
+    return n if isinstance(n, str) else f"<{n[0]}{n[1]}>{''.join(map(html_of, n[2]))}</{n[0]}>"
+
+
+def slow_main_text(page):
+    """The rules of html_extract restated by recursion over a well-formed page of random_page()."""
+    gone, blocks = set(), html_extract.BLOCK
+    kids = lambda n: [c for c in n[2] if isinstance(c, str) or id(c) not in gone]
+    size = lambda n: len(n.strip()) if isinstance(n, str) else sum(map(size, kids(n)))
+    linked = lambda n: 0 if isinstance(n, str) else size(n) if n[0] == "a" else sum(map(linked, kids(n)))
+    commas = lambda n: n.count(",") if isinstance(n, str) else sum(map(commas, kids(n)))
+    own = lambda n: size(n) - linked(n)
+    named = lambda n: "ad'" in n[1].replace("ad-like", "") or "comments" in n[1]
+
+    def walk(n, up=()):
+        if not isinstance(n, str) and id(n) not in gone:
+            yield n, up
+            for c in n[2]:
+                yield from walk(c, (n, *up))
+
+    gone |= {id(n) for n, _ in walk(page) if n[0] == "nav"}
+    total = own(page)
+    cut = lambda n: (n[0] == "form" or named(n)) and (own(n) < (0.9 if "comments" in n[1] else 0.4) * total or not own(n))
+    gone |= {id(n) for n, _ in [*walk(page)] if cut(n)}
+    points = {}
+    for n, up in walk(page):
+        if n[0] == "p" and size(n):
+            base = (min(1, size(n) / 25) + commas(n) + min(size(n) / 100, 30)) * (1 - linked(n) / size(n))
+            for level, a in enumerate([a for a in up if a[0] in blocks] + ["root"]):
+                share = [1, 0.5][level] if level < 2 else 1 / (3 * level)
+                points[id(a)] = points.get(id(a), 0) + base * (1 if a[0] == "article" else share)
+    for n, _ in walk(page):
+        if id(n) in points:
+            points[id(n)] = (points[id(n)] + 25 * (n[0] == "article" and points[id(n)] > 0)) * (0.2 if named(n) else 1)
+    score = lambda n: points.get(id(n), 0) * (own(n) / size(n)) if size(n) else 0
+    scored = [(n, up) for n, up in walk(page) if points.get(id(n))]
+    best, up = max(scored, key=lambda x: score(x[0]), default=(page, ()))
+    root = (points.get(id("root"), 0)) * (own(page) / size(page)) if size(page) else 0
+    keep = [page]
+    if scored and root < score(best) and up:
+        keep = []
+        for c in up[0][2]:
+            if c is best:
+                keep.append(c)
+            elif id(c) not in gone and c[0] != "form" and not named(c) and size(c):
+                density = linked(c) / size(c)
+                if best[0] == "article":
+                    wanted = c[0] == "article" and density < 0.5
+                else:
+                    prose = c[0] == "p" and density < 0.25 and (size(c) > 80 or c[2][-1].endswith("."))
+                    wanted = score(c) >= max(10, 0.2 * score(best)) or prose or (c[0] == "h2" and density < 0.5)
+                keep += [c] if wanted else []
+    lines = []
+
+    def write(n, top):
+        if isinstance(n, str):
+            lines[-1] += n
+        elif id(n) not in gone and not (top and n[0] in ("ul", "div") and size(n) and linked(n) >= 0.8 * size(n) and sum(x[0] == "a" for x, _ in walk(n)) >= 3):
+            block = n[0] in blocks
+            lines.extend([""] * block)
+            for c in n[2]:
+                write(c, n is page)
+            lines.extend([""] * block)
+
+    for k in keep:
+        lines.append("")
+        write(k, up[:1] == (page,) if k is not page else False)
+    return "\n".join(" ".join(x.split()) for x in lines if x.strip())
+
+
+def test_main_text_against_brute_force():
+    rng = random.Random(12)
+    kept = 0
+    for _ in range(400):
+        page = random_page(rng)
+        got = html_extract.main_text(html_of(page))
+        assert got == slow_main_text(page), html_of(page)
+        kept += bool(got)
+    assert kept > 300
+
+
+def test_extract_whole_articles_among_other_parts():
+    """Whatever stands around and inside it, all blocks of an article come out, and nothing else."""
+    rng = random.Random(13)
+    parts = ["<nav><ul><li><a href=1>Home</a><li><a href=2>News</a></ul></nav>", "<div class='ad'>Buy, now, all of it.</div>", "<footer>&copy; us</footer>", "<aside><p>More, on, the side.</p></aside>", "<div id='comments'><p>Me, too.</p></div>", "<form>Name <input></form>", "<script>var p = '<p>';</script>", "<!-- x -->"]
+    for _ in range(200):
+        blocks = [" ".join(rng.choice(["one", "two,", "three.", "four"]) for _ in range(rng.randint(1, 80))) for _ in range(rng.randint(1, 12))]
+        inner = "".join(rng.choice(["<p>{}</p>", "<section class='related-work'><p>{}</p></section>", "<h2>{}</h2>", "<ul><li>{}</li></ul>", "<blockquote>{}</blockquote>"]).format(b) + (rng.choice(parts) if rng.random() < 0.2 else "") for b in blocks)
+        page = "<html><head><title>T</title></head><body>" + "".join(rng.sample(parts, 4)) + f"<article>{inner}</article>" + "".join(rng.sample(parts, 3))
+        assert html_extract.main_text(page) == "\n".join(blocks)
+
+
 def page_rows():
     same, small = "<p>equal</p>" * 200, "<p>tiny</p>"
     rows = [(1, "a", same), (2, "b", same), (9, "c", same), (3, "d", small), (4, "e", small), (5, None, None), (6, "f%\r\nx", "café" * 400), (7, "g", "café" * 400), (None, "h", same), (10, "i", "z" * 300_000), (11, "j", "")]
