@@ -20,14 +20,16 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
+import sys
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,9 +37,64 @@ CACHE_CHUNKS = 200_000
 #: Rows of an output batch hold at most about so many characters of input.
 SLICE_CHARS = 2_000_000
 # Fixed values of the format: White_Space, the separators that str.split() adds to it, and the pieces.
-_SPACE = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-_ODD_SPACE = regex.compile(r"[\x1c-\x1f]")
-_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\p{L}\p{N}]+")
+_CLITICS = "'s|'t|'re|'ve|'m|'ll|'d"
+_SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+_SPACE = re.compile(f"[{_SPACES}]+")
+_ODD_SPACE = re.compile(r"[\x1c-\x1f]")
+
+
+# Letters and digits (first and last) that Unicode 16 adds to 15.1, and lower case that Unicode 16 and 17 add.
+_NEW_LETTERS = """
+1C89-1C8A A7CB-A7CD A7DA-A7DC 105C0-105F3 10D4A-10D65 10D6F-10D85 10EC2-10EC4 11380-11389 1138B-1138B 1138E-1138E
+11390-113B5 113B7-113B7 113D1-113D1 113D3-113D3 11BC0-11BE0 13460-143FA 16100-1611D 16D40-16D6C 18CFF-18CFF 1E5D0-1E5ED 1E5F0-1E5F0
+"""
+_NEW_DIGITS = "10D40-10D49 116D0-116E3 11BF0-11BF9 16130-16139 16D70-16D79 1CCF0-1CCF9 1E5F1-1E5FA"
+_NEW_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+_NEW_LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+
+# Marks that take no part in the library's NFC, which is that of Unicode 9, and U+11930, which composes with nothing there.
+_LATER_MARKS = """
+07FD-07FD 0898-089F 08CA-08D3 09FE-09FE 0C3C-0C3C 0D3B-0D3C 0EBA-0EBA 1715-1715 1ABF-1ACE 1DF6-1DFA A82C-A82C 10D24-10D27
+10EAB-10EAC 10EFD-10EFF 10F46-10F50 10F82-10F85 11070-11070 1133B-1133B 1145E-1145E 11839-1183A 11930-11930 1193D-1193E
+11943-11943 119E0-119E0 11A34-11A34 11A47-11A47 11A99-11A99 11D42-11D42 11D44-11D45 11D97-11D97 11F41-11F42 16FF0-16FF1
+1E08F-1E08F 1E130-1E136 1E2AE-1E2AE 1E2EC-1E2EF 1E4EC-1E4EF
+"""
+
+
+def _ranges(table: str) -> list[tuple[int, int]]:
+    return [(int(first, 16), int(last, 16)) for first, last in (r.split("-") for r in table.split())]
+
+
+def _bracketed(ranges: list[tuple[int, int]]) -> str:
+    """The inside of a character class."""
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges)
+
+
+_LATER_MARK = re.compile(f"([{_bracketed(_ranges(_LATER_MARKS))}])")
+
+
+def composed(text: str) -> str:
+    """NFC as the library has it."""
+    if _LATER_MARK.search(text):
+        return "".join(unicodedata.normalize("NFC", part) for part in _LATER_MARK.split(text))
+    return unicodedata.normalize("NFC", text)
+
+
+def _class_of(major: str, added: str) -> str:
+    """The code points of a general category, as Unicode 16 (the library's version) has it, as ranges of a character class."""
+    new = {c for first, last in _ranges(added) for c in range(first, last + 1)}
+    inside = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c))[0] == major or c in new]
+    starts = [c for c, before in zip(inside, [-2, *inside], strict=False) if c != before + 1]
+    ends = [c for c, after in zip(inside, [*inside[1:], -2], strict=True) if c + 1 != after]
+    return _bracketed(list(zip(starts, ends, strict=True)))
+
+
+@cache
+def piece_pattern() -> re.Pattern:
+    """Clitics, letter runs, single digits and other runs."""
+    letters, digits = _class_of("L", _NEW_LETTERS), _class_of("N", _NEW_DIGITS)
+    return re.compile(f"{_CLITICS}|[{letters}]+|[{digits}]|[^{_SPACES}{letters}{digits}]+")
 
 
 def byte_letters() -> list[str]:
@@ -56,7 +113,7 @@ class PairIndexBpe:
         vocab, self.suffix = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t.encode() for t, i in [*vocab.items(), *self.special.items()]}
-        self.special_split = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
+        self.special_split = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         letters = byte_letters()
         self.inner = np.array([vocab[c] for c in letters], dtype=np.int64)
         self.final = np.array([vocab[c + self.suffix] for c in letters], dtype=np.int64)
@@ -146,7 +203,7 @@ class PairIndexBpe:
         new = [c for c in chunks if c not in ids]
         if not new:
             return
-        parts = list(map(_PIECE.findall, new))
+        parts = [piece_pattern().findall(c if c.isascii() else c.translate(_NEW_LOWER)) for c in new]
         missing = list(set(chain.from_iterable(parts)).difference(known))
         if missing:
             found, offset = self.merge([p.encode() for p in missing])
@@ -171,7 +228,7 @@ class PairIndexBpe:
 
     def _plain(self, text: str) -> list[str]:
         if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
+            text = composed(text)
             if "Σ" in text:  # lower() would look at its place in the word
                 text = text.replace("Σ", "σ")
         text = text.lower()

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import unicodedata
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -45,6 +46,45 @@ def test_bpe_odd_texts():
         assert np.frombuffer(i, "<u4").tolist() == want and d.decode() == library.decode(want, skip_special_tokens=False)
 
 
+def differing(texts):
+    """Those of texts whose ids or decoded text are not the library's."""
+    library, coder = Tokenizer.from_file(PATH), bpe.PairIndexBpe(PATH)
+    library.no_truncation()
+    library.no_padding()
+    ids, decoded = coder.encode(texts)
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    back = library.decode_batch(want, skip_special_tokens=False)
+    return [t for t, i, d, w, b in zip(texts, ids, decoded, want, back, strict=True) if np.frombuffer(i, "<u4").tolist() != w or d.decode() != b]
+
+
+@pytest.mark.parametrize("before,after", [("a", "b"), ("1", "!"), (" ", "\u0301")])
+def test_bpe_every_code_point(before, after):
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 100_000):
+        assert differing([before + c + after for c in points[at : at + 100_000]]) == []
+
+
+def test_bpe_order_of_marks():
+    """Every mark among others of another class, and every decomposed letter."""
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    marks = [c for c in points if unicodedata.combining(c)]
+    rng = random.Random(15)
+    mixed = ["".join(rng.choice("aqe\u05d0\u0915") + "".join(rng.choices(marks, k=rng.randint(1, 4))) for _ in range(4)) for _ in range(20_000)]
+    assert differing([t for m in marks for t in ("q\u0323" + m + "\u0327\u0301z", "q" + m + "\u0323\u0301z", "q\u031b" + m)] + mixed) == []
+    assert differing([unicodedata.normalize("NFD", c) + "x" for c in points if unicodedata.decomposition(c)]) == []
+
+
+def test_bpe_random_scripts():
+    rng = random.Random(14)
+    blocks = [(0x20, 0x7F), (0xA0, 0x250), (0x300, 0x370), (0x370, 0x600), (0x600, 0x700), (0x900, 0xE00), (0xE00, 0x1200), (0x1E00, 0x2100), (0x2000, 0x2C00), (0x3000, 0x3200), (0x4E00, 0x5200), (0xAC00, 0xB000), (0xFB00, 0x10000), (0x10300, 0x10A00), (0x1D400, 0x1D800), (0x1F300, 0x1FA00)]
+    word = lambda: "".join(chr(rng.randrange(*rng.choice(chosen))) for _ in range(rng.randint(1, 12)))
+    texts = []
+    for _ in range(4000):
+        chosen = rng.sample(blocks, 2)
+        texts.append(" ".join(word() for _ in range(rng.randint(1, 8))))
+    assert differing(texts) == []
+
+
 def test_bpe_empty(no_docs):
     assert bpe.encode(no_docs, PATH).count() == 0
 
