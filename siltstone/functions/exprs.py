@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
-from datetime import date
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,7 +13,8 @@ from ..schema import CACHE_WRITE_FACTOR, OTHER, PRIMARY_CATEGORIES
 WS_RE2 = r"[ \t\n\f\r]+"
 WS_UNICODE = r"[\s\x0b\x1c-\x1f\x85\p{Z}]+"
 FINGERPRINT_CHARS = 400
-#: U: word boundaries know all of Unicode's letters, whatever the Java version.
+# U: word boundaries know all of Unicode's letters, whatever the Java version.
+#: Fixed value: the words that tell of a fire.
 FIRE_WORDS = r"(?iU)\b(fire|flame|caught on fire|smoke|burn(?:ed|ing)?)\b"
 Z95 = 1.96
 
@@ -117,7 +117,7 @@ def token_cost(provider: Column, rate_in: Column, rate_cached: Column, rate_out:
 
 
 def prompt_text(make: Column, model: Column, year: Column, narrative: Column) -> Column:
-    """Model input; blanks stay, so an empty field leaves its blank behind."""
+    """Model input (the wording is a fixed value); blanks stay, so an empty field leaves its blank behind."""
     return F.concat(F.lit("Make/Model/Year: "), make, F.lit(" "), model, F.lit(" "), year, F.lit("\nNarrative: "), narrative)
 
 
@@ -164,9 +164,17 @@ def changed(a: Column, b: Column) -> Column:
     return ~a.eqNullSafe(b)
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def softmax(v: Column) -> Column:
-    e = F.transform(v, lambda x: F.exp(x.cast("double") - F.array_max(v).cast("double")))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y))
+    """Maximum, exponentials and their sum are each computed once, so the work is linear in the dimension."""
+    top = F.struct(v.alias("v"), F.array_max(v).cast("double").alias("m"))
+    exponentials = _bound(top, lambda t: F.transform(t["v"], lambda x: F.exp(x.cast("double") - t["m"])))
+    summed = _bound(exponentials, lambda e: F.struct(e.alias("e"), F.aggregate(e, F.lit(0.0), lambda a, y: a + y).alias("s")))
+    return _bound(summed, lambda t: F.transform(t["e"], lambda x: x / t["s"]))
 
 
 def top_k(probabilities: Column, k: int = 3) -> Column:
@@ -196,7 +204,3 @@ def windows_at(as_of: str, last_n: int = 24, prior_months: int = 240) -> dict[st
     """The drift windows that end at a month: the last months, and the pool before them."""
     last_start = shift_month(as_of, 1 - last_n)
     return {"last_start": last_start, "last_end": as_of, "pool_start": shift_month(last_start, -prior_months), "pool_end": shift_month(last_start, -1)}
-
-
-def today() -> str:
-    return date.today().strftime("%Y%m%d")

@@ -12,6 +12,12 @@ from ..schema import PRICE_SCHEMA, PRICES, PRIMARY_CATEGORIES, RARE_CATEGORIES
 #: Only this confidence escalates; a low one does not.
 ESCALATE = "medium"
 CANARY_MAX_ERRORS, CANARY_MIN_PARSED = 0.05, 0.95
+#: Rows that a stage is tried on first.
+CANARY_ROWS, SMART_CANARY_ROWS = 250, 50
+
+
+class GateClosed(RuntimeError):
+    """A canary did not pass; nothing more is called."""
 #: Which confidences each backtest policy sends to the second model.
 POLICIES = (("medium", ("medium",)), ("low_and_medium", ("low", "medium")))
 
@@ -39,17 +45,16 @@ def with_cost(calls: DataFrame, price_table: DataFrame) -> DataFrame:
     return priced.withColumn("cost_usd", cost)
 
 
-def merge_stages(first: DataFrame, second: DataFrame, key: str = "cmplid") -> DataFrame:
-    """(key, component, confidence, error, escalated, cost_usd): the second stage wins where it has an error-free answer.
+def merge_stages(first: DataFrame, second: DataFrame, key: str = "cmplid", fields: tuple[str, ...] = ("component",)) -> DataFrame:
+    """(key, the fields, confidence, error, escalated, cost_usd): the second stage wins where it has an error-free answer.
 
-    The first stage's cost always counts, the second's only where its answer is used.
-    Both have key, component, confidence, error, cost_usd.
+    The first stage's cost always counts, the second's only where its answer is used; the confidence is the first stage's.
+    Both have key, the fields, confidence, error, cost_usd.
     """
-    b = second.select(key, *[F.col(c).alias(f"_2_{c}") for c in ("component", "error", "cost_usd")], F.lit(True).alias("_2"))
+    b = second.select(key, *[F.col(c).alias(f"_2_{c}") for c in (*fields, "error", "cost_usd")], F.lit(True).alias("_2"))
     joined = first.join(b, key, "left")
     use = F.col("_2").isNotNull() & F.col("_2_error").isNull()
-    pick = lambda a, c: F.when(use, F.col(c)).otherwise(F.col(a))
-    return joined.select(key, pick("component", "_2_component").alias("component"), "confidence", F.when(~use, F.col("error")).alias("error"), use.alias("escalated"), (F.coalesce("cost_usd", F.lit(0.0)) + F.when(use, F.coalesce("_2_cost_usd", F.lit(0.0))).otherwise(F.lit(0.0))).alias("cost_usd"))
+    return joined.select(key, *[F.when(use, F.col(f"_2_{c}")).otherwise(F.col(c)).alias(c) for c in fields], "confidence", F.when(~use, F.col("error")).alias("error"), use.alias("escalated"), (F.coalesce("cost_usd", F.lit(0.0)) + F.when(use, F.coalesce("_2_cost_usd", F.lit(0.0))).otherwise(F.lit(0.0))).alias("cost_usd"))
 
 
 def to_escalate(first: DataFrame) -> DataFrame:
@@ -71,8 +76,9 @@ def canary_gate(summary: DataFrame) -> DataFrame:
 
 
 def label_table(merged: DataFrame, primary: tuple[str, ...] = PRIMARY_CATEGORIES, rare: tuple[str, ...] = RARE_CATEGORIES) -> DataFrame:
+    """component_label, null where there is no answer, and whether the answer is in neither list."""
     raw = F.col("component")
-    return merged.withColumn("component_label", keep_or_other(raw, primary)).withColumn("off_list", F.when(raw.isNotNull(), ~raw.isin(*primary, *rare)))
+    return merged.withColumn("component_label", F.when(raw.isNotNull(), keep_or_other(raw, primary))).withColumn("off_list", F.when(raw.isNotNull(), ~raw.isin(*primary, *rare)))
 
 
 def solo(results: DataFrame) -> DataFrame:

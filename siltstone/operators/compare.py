@@ -41,7 +41,12 @@ def _paired(new: DataFrame, old: DataFrame, fp: str, order: list[str], columns:
 
 
 def revision_audit(new: DataFrame, old: DataFrame, fp: str, order: list[str], columns: list[str]) -> DataFrame:
-    """One row: fingerprints in both, only in new, only in old, and per column how many of the common ones changed."""
+    """One row: fingerprints in both, only in new, only in old, and per column how many of the common ones changed.
+
+    Only the compared columns are shuffled, by the hash of the fingerprint.
+    """
+    names = list(dict.fromkeys([*order, *columns]))
+    new, old = (rows.select(F.sha2(fp, 256).alias(fp), *names) for rows in (new, old))
     pairs = _paired(new, old, fp, order, columns)
     both = F.col("_in_new").isNotNull() & F.col("_in_old").isNotNull()
     counts = [F.count_if(both & changed(F.col(f"_new_{c}"), F.col(c))).alias(f"n_changed_{c}") for c in columns]
@@ -49,7 +54,8 @@ def revision_audit(new: DataFrame, old: DataFrame, fp: str, order: list[str], co
 
 
 def revision_examples(new: DataFrame, old: DataFrame, fp: str, order: list[str], column: str, text: str, n: int = 6, chars: int = 180) -> DataFrame:
-    pairs = _paired(new, old, fp, order, [column, text]).where("_in_new is not null and _in_old is not null")
+    names = list(dict.fromkeys([fp, *order, column, text]))
+    pairs = _paired(new.select(*names), old.select(*names), fp, order, [column, text]).where("_in_new is not null and _in_old is not null")
     rows = pairs.where(changed(F.col(f"_new_{column}"), F.col(column))).orderBy(fp).limit(n)
     return rows.select(fp, F.col(column).alias("old_value"), F.col(f"_new_{column}").alias("new_value"), shortened(F.col(text), chars).alias("text"))
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.exprs import js_divergence, month_series, shift_month, windows_at
+from ..session import settled
 
 LAST_N = 24
 PRIOR_MONTHS = 240
@@ -73,10 +74,18 @@ def walk_summary(steps: DataFrame) -> DataFrame:
 
 
 def mix_rule(census: DataFrame, totals: DataFrame, as_of: str, last_n: int = LAST_N, prior_months: int = PRIOR_MONTHS) -> dict[str, DataFrame]:
-    """The whole rule at an anchor month: pool, distances, line, walk, fire, summary."""
+    """The whole rule at an anchor month: pool, distances, line, walk, fire, summary.
+
+    Census, totals and distances, a row a month and category at most, are written once, so no part looks at the rows again.
+    """
+    census, totals = settled(census, "census"), settled(totals, "totals")
+    return _mix_rule(census, totals, as_of, last_n, prior_months)
+
+
+def _mix_rule(census: DataFrame, totals: DataFrame, as_of: str, last_n: int, prior_months: int) -> dict[str, DataFrame]:
     w = windows_at(as_of, last_n, prior_months)
     pool = pool_mix(census, w["pool_start"], w["pool_end"])
-    dist = distances(census, totals, pool)
+    dist = settled(distances(census, totals, pool), "distances")
     line = threshold(dist, w["last_start"], w["last_end"])
     steps = walk(census.sparkSession, dist, totals, line, as_of)
     return {"pool": pool, "distances": dist, "line": line, "walk": steps, "fire": first_fire(steps), "summary": walk_summary(steps)}
@@ -84,8 +93,9 @@ def mix_rule(census: DataFrame, totals: DataFrame, as_of: str, last_n: int = LAS
 
 def slide(census: DataFrame, totals: DataFrame, as_of: str, last_n: int = LAST_N, prior_months: int = PRIOR_MONTHS) -> list[dict]:
     """Fires one after the other: after each, the rule is anchored anew at the month of the fire."""
+    census, totals = settled(census, "census"), settled(totals, "totals")
     fires: list[dict] = []
-    while (row := mix_rule(census, totals, as_of, last_n, prior_months)["fire"].first()) is not None:  # one row
+    while (row := _mix_rule(census, totals, as_of, last_n, prior_months)["fire"].first()) is not None:  # one row
         fires.append({"as_of": as_of, "month": row["month"], "previous_month": row["previous_month"]})
         as_of = row["month"]
     return fires

@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.exprs import extract_json, keep_or_other, ratio, wilson, year_bucket
+from ..functions.exprs import extract_json, keep_or_other, ratio, same_to_3dp, wilson, year_bucket
 from ..schema import LABEL_SCHEMA, PRIMARY_CATEGORIES, RARE_CATEGORIES, YEAR_BUCKETS
+from .sets import first_per_key
 
 #: Fixed values of the promotion gate, in shares.
 LEGACY_DROP, HARD_DROP = 0.02, 0.03
+#: The answer that an unusable reply counts as.
+PARSE_FAILURE = "PARSE_FAILURE"
 
 
 def score_replies(replies: DataFrame, gold: DataFrame, reply: str = "reply", key: str = "cmplid", primary: tuple[str, ...] = PRIMARY_CATEGORIES, rare: tuple[str, ...] = RARE_CATEGORIES) -> DataFrame:
@@ -31,10 +34,10 @@ def score_replies(replies: DataFrame, gold: DataFrame, reply: str = "reply", key
 
 
 def accuracy_slices(results: DataFrame, hard: str = "is_hard", correct: str = "correct") -> DataFrame:
-    """(slice, n, k, accuracy, lo, hi) for all, hard and easy rows, in one pass; errors count as wrong."""
+    """(slice, n, k, accuracy, lo, hi) for all, hard and easy rows, and for those of which it is not known (``missing``), in one pass; errors count as wrong."""
     k = F.count_if(F.col(correct))
     out = results.groupingSets([[], [hard]], hard).agg(F.count("*").alias("n"), k.alias("k"), F.grouping(hard).alias("_g"))
-    name = F.when(F.col("_g") == 1, F.lit("all")).when(F.col(hard), F.lit("hard")).otherwise(F.lit("easy"))
+    name = F.when(F.col("_g") == 1, F.lit("all")).when(F.col(hard), F.lit("hard")).when(~F.col(hard), F.lit("easy")).otherwise(F.lit("missing"))
     return _interval(out.select(name.alias("slice"), "n", "k"))
 
 
@@ -67,6 +70,23 @@ def effective_truth(fallback: str = "accept_first", primary: tuple[str, ...] = P
     return F.when(F.col("correct"), F.col("pred")).otherwise(other)
 
 
+def effective_pairs(results: DataFrame, fallback: str = "accept_first", primary: tuple[str, ...] = PRIMARY_CATEGORIES, failures: bool = False) -> DataFrame:
+    """results with ``truth`` and ``answer`` for class reports; rows without a prediction go, or answer PARSE_FAILURE."""
+    rows = results.withColumn("truth", effective_truth(fallback, primary)).withColumn("answer", F.coalesce("pred", F.lit(PARSE_FAILURE)))
+    return rows if failures else rows.where(F.col("pred").isNotNull())
+
+
+def reproduction(results: DataFrame, complaints: DataFrame, published: float, buckets: tuple = YEAR_BUCKETS, key: str = "cmplid", day: str = "ldate") -> dict[str, DataFrame]:
+    """An evaluation run once more: slices, whether the accuracy is the published one to three decimals, accuracy by year received, rows without a day."""
+    dates = first_per_key(complaints.select(F.col(key).cast("string").alias("_key"), F.col(day).alias("_day")), ["_key"], ["_day"])
+    dated = results.join(dates, results[key].cast("string") == F.col("_key"), "left")
+    dated = dated.withColumn("received_year", F.substring("_day", 1, 4).try_cast("int"))
+    slices = accuracy_slices(results)
+    same = slices.where("slice = 'all'").select("accuracy", F.lit(published).alias("published"), same_to_3dp(F.col("accuracy"), F.lit(published)).alias("passed"), F.abs(F.col("accuracy") - F.lit(published)).alias("abs_diff"))
+    missing = dated.agg(F.count_if(F.col("_key").isNull()).alias("n_missing"))
+    return {"slices": slices, "check": same, "by_year": year_bucket_accuracy(dated, "received_year", buckets=buckets), "missing": missing}
+
+
 def confusion(pairs: DataFrame, truth: str, pred: str) -> DataFrame:
     """(label, tp, n_true, n_pred): one pass over the two roles of each row."""
     roles = F.array(F.struct(F.col(truth).alias("label"), F.lit(1).alias("t"), F.lit(0).alias("p"), (F.col(truth) == F.col(pred)).cast("int").alias("tp")), F.struct(F.col(pred).alias("label"), F.lit(0).alias("t"), F.lit(1).alias("p"), F.lit(0).alias("tp")))

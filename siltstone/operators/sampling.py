@@ -14,11 +14,40 @@ def uniform_sample(rows: DataFrame, n: int, key: str, seed: int) -> DataFrame:
     return rows.orderBy(hash_order(F.col(key), seed), key).limit(n)
 
 
-def stratified_sample(rows: DataFrame, group: str | list[str], cap: int | Column, key: str, seed: int) -> DataFrame:
-    """At most cap rows of every group."""
+#: Up to this cap the planner keeps only the best rows of each task before a group meets (spark.sql.optimizer.windowGroupLimitThreshold).
+SMALL_CAP = 1000
+#: Hex digits of the hash that deal a group into pieces.
+PIECE_DIGITS = 3
+
+
+def stratified_sample(rows: DataFrame, group: str | list[str], cap: int, key: str, seed: int) -> DataFrame:
+    """At most cap rows of every group, the first in hash order.
+
+    With a cap above SMALL_CAP a group is ranked in pieces by the head of its hashes: pieces
+    that lie wholly beyond the cap go before any row is sorted, and no task sees a whole group.
+    """
     groups = [group] if isinstance(group, str) else group
-    order = Window.partitionBy(*groups).orderBy(hash_order(F.col(key), seed), F.col(key))
-    return rows.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= cap).drop("_rn")
+    if cap <= SMALL_CAP:
+        order = Window.partitionBy(*groups).orderBy(hash_order(F.col(key), seed), F.col(key))
+        return rows.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= cap).drop("_rn")
+    return _in_pieces(rows, groups, key, seed, F.col("_before") < cap).where(F.col("_before") + F.col("_rn") <= cap).select(*rows.columns)
+
+
+def _in_pieces(rows: DataFrame, groups: list[str], key: str, seed: int, wanted: Column | None = None) -> DataFrame:
+    """rows with _before (rows of the group in earlier pieces), _size (of the group) and _rn (rank inside the piece), in hash order."""
+    tagged = rows.withColumn("_h", hash_order(F.col(key), seed)).withColumn("_b", F.substring("_h", 1, PIECE_DIGITS))
+    sizes = tagged.groupBy(*groups, "_b").agg(F.count("*").alias("_n"))
+    by_group = Window.partitionBy(*groups)
+    before = F.coalesce(F.sum("_n").over(by_group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    names = [f"_group_{i}" for i in range(len(groups))]
+    offsets = sizes.select(*[F.col(g).alias(n) for g, n in zip(groups, names, strict=True)], F.col("_b").alias("_piece"), before.alias("_before"), F.sum("_n").over(by_group).alias("_size"))
+    if wanted is not None:
+        offsets = offsets.where(wanted)
+    same = tagged["_b"] == offsets["_piece"]
+    for g, n in zip(groups, names, strict=True):
+        same = same & tagged[g].eqNullSafe(offsets[n])
+    placed = tagged.join(offsets, same).drop("_piece", *names)
+    return placed.withColumn("_rn", F.row_number().over(Window.partitionBy(*groups, "_b").orderBy("_h", key)))
 
 
 def remainder_sample(rows: DataFrame, taken: DataFrame, condition: Column, n: int, key: str, seed: int) -> DataFrame:
@@ -35,14 +64,7 @@ def train_val_split(rows: DataFrame, label: str, key: str, seed: int, val_share:
 
     A class is ranked in 4096 pieces by the head of its hashes, so no task sees a whole class.
     """
-    h = hash_order(F.col(key), seed)
-    tagged = rows.withColumn("_h", h).withColumn("_b", F.substring("_h", 1, 3))
-    sizes = tagged.groupBy(label, "_b").agg(F.count("*").alias("_n"))
-    by_label = Window.partitionBy(label)
-    before = F.coalesce(F.sum("_n").over(by_label.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select(F.col(label).alias("_label"), F.col("_b").alias("_bucket"), before.alias("_before"), F.sum("_n").over(by_label).alias("_size"))
-    ranked = tagged.withColumn("_rn", F.row_number().over(Window.partitionBy(label, "_b").orderBy("_h", key)))
-    placed = ranked.join(offsets, ranked[label].eqNullSafe(offsets["_label"]) & (ranked["_b"] == offsets["_bucket"]))
+    placed = _in_pieces(rows, [label], key, seed)
     is_val = (F.col("_size") > 1) & (F.col("_before") + F.col("_rn") <= F.ceil(F.col("_size") * F.lit(val_share)))
     return placed.withColumn("split", F.when(is_val, F.lit("val")).otherwise(F.lit("train"))).select(*rows.columns, "split")
 

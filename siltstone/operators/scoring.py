@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -61,10 +62,30 @@ def incoming_summary(scored: DataFrame, day: str, field: str, unknown: str = "UN
     return out.select("n", "first_day", "last_day", "median_confidence", *[v.alias(f"{k}_rate") for k, v in rate.items()])
 
 
-def call_labeller(rows: DataFrame, client: Callable[[list[str]], list[str | None]], text: str, retries: int = 4, batch: int = 64) -> DataFrame:
+def score_batches(rows: DataFrame, load: Callable[[], Callable[[list[str]], list[list[float]]]], labels: list[str], text: str = "text", batch: int = 256) -> DataFrame:
+    """rows with pred, confidence and top3 from any batch model.
+
+    ``load`` runs once a task and returns a function from texts to class probabilities in the order of labels; a null text is scored as a blank one.
+    """
+    schema = T.StructType([*rows.schema, T.StructField("_p", T.ArrayType(T.DoubleType()))])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = load()
+        for frame in frames:
+            texts = [t if isinstance(t, str) else "" for t in frame[text]]
+            found: list[list[float]] = []
+            for i in range(0, len(texts), batch):
+                found += [list(map(float, p)) for p in model(texts[i : i + batch])]
+            yield frame.assign(_p=found)
+
+    return with_top3(rows.mapInPandas(run, schema), "_p", labels).drop("_p")
+
+
+def call_labeller(rows: DataFrame, client: Callable[[list[str]], list[str | None]], text: str, retries: int = 4, batch: int = 64, pause: float = 1.0) -> DataFrame:
     """rows with reply and error columns from a client that answers a list of texts; recorded or remote.
 
-    A batch that fails is tried again up to ``retries`` times, then its rows carry the error.
+    A batch that fails, or gets another number of answers than texts, is tried again up to ``retries`` times, after
+    ``pause`` seconds, twice as many the next time and so on; then its rows carry the error.
     """
     schema = T.StructType([*rows.schema, T.StructField("reply", T.StringType()), T.StructField("error", T.StringType())])
 
@@ -75,9 +96,13 @@ def call_labeller(rows: DataFrame, client: Callable[[list[str]], list[str | None
             texts = frame[text].tolist()
             for i in range(0, len(texts), batch):
                 part, problem, answers = texts[i : i + batch], None, None
-                for _ in range(retries):
+                for attempt in range(retries):
+                    if attempt:
+                        time.sleep(pause * 2 ** (attempt - 1))
                     try:
-                        answers, problem = client(part), None
+                        answers, problem = list(client(part)), None
+                        if len(answers) != len(part):
+                            raise ValueError(f"{len(answers)} answers to {len(part)} texts")
                         break
                     except Exception as e:  # the client's own failures are data here
                         problem = f"{type(e).__name__}: {e}"

@@ -159,8 +159,18 @@ w as (select t.ym as month, t.n, d.distance, t.max_day, t.max_day >= 28 complete
 f as (select month, trip, lag(trip) over (order by month) before, lag(month) over (order by month) previous_month from w where complete)"""
 
 
-def _rule(spark, sf):
-    rows = complaints(spark, sf)
+#: The same rows with everything put down to one category from a month on, and a month after it that is cut short.
+_OS = _O.replace("o as (", "o0 as (", 1) + ", o as (select * replace (case when ym >= '200006' then '3' else category end as category) from o0 where not (ym = '200007' and dd >= 28))"
+_DS = _D.replace(_O, _OS)
+
+
+def shifted(spark, sf):
+    rows = complaints(spark, sf).where("not (ym = '200007' and dd >= 28)")
+    return rows.withColumn("category", F.when(F.col("ym") >= "200006", F.lit("3")).otherwise(F.col("category")))
+
+
+def _rule(spark, sf, rows=None):
+    rows = complaints(spark, sf) if rows is None else rows
     return drift.mix_rule(census.month_census(rows), census.month_totals(rows, day="dd"), AS_OF, LAST_N, PRIOR)
 
 
@@ -184,19 +194,25 @@ def drift_walk(spark, sf):
     return _rule(spark, sf)["walk"].select("month", "n", r6("distance").alias("distance"), "max_day", "complete", "trip")
 
 
-@query(f"with {_D} select month, previous_month from f where trip and before order by month limit 1")
+@query(f"with {_DS} select month, previous_month from f where trip and before order by month limit 1")
 def drift_first_fire(spark, sf):
-    return _rule(spark, sf)["fire"]
+    return _rule(spark, sf, shifted(spark, sf))["fire"]
 
 
-@query(f"with {_D} select count(*) filter (trip) n_over, count(*) filter (trip and complete) n_over_complete, count(*) filter (trip and not complete) n_partial from w")
+@query(f"with {_DS} select count(*) filter (trip) n_over, count(*) filter (trip and complete) n_over_complete, count(*) filter (trip and not complete) n_partial from w")
 def drift_summary(spark, sf):
-    return _rule(spark, sf)["summary"]
+    return _rule(spark, sf, shifted(spark, sf))["summary"]
 
 
-@query(f"with {_D}, g as (select min(month) fire_month, min_by(previous_month, month) previous_month from f where trip and before) select fire_month, previous_month, (select count(*) from o where fire_month is not null and ym <= fire_month) n_teacher_through_fire, fire_month is not null retrain, false promote, false launch from g")
+@query(f"with {_D} select month, previous_month from f where trip and before order by month limit 1")
+def drift_no_fire(spark, sf):
+    return _rule(spark, sf)["fire"]
+
+
+@query(f"with {_DS}, g as (select min(month) fire_month, min_by(previous_month, month) previous_month from f where trip and before) select fire_month, previous_month, (select count(*) from o where fire_month is not null and ym <= fire_month) n_teacher_through_fire, fire_month is not null retrain, false promote, false launch from g")
 def retrain_decision(spark, sf):
-    return jobs.retrain_decision(_rule(spark, sf)["fire"], complaints(spark, sf).select(F.col("day").alias("ldate")))
+    rows = shifted(spark, sf)
+    return jobs.retrain_decision(_rule(spark, sf, rows)["fire"], rows.select(F.col("day").alias("ldate")))
 
 
 @query("select 199801 + m as ym_start, strftime(date '1998-01-01' + to_months(m) - to_months(1), '%Y%m') as before from range(12) r(m)")
@@ -291,7 +307,7 @@ b as (select * from d where lang <> 'fr' qualify row_number() over (partition by
 @query(f"""with {_AUDIT} select count(*) filter (a.fp is not null and b.fp is not null) n_common, count(*) filter (b.fp is null) n_only_new, count(*) filter (a.fp is null) n_only_old,
  count(*) filter (a.fp is not null and b.fp is not null and a.doc_id is distinct from b.doc_id) n_changed_doc_id, count(*) filter (a.fp is not null and b.fp is not null and a.lang is distinct from b.lang) n_changed_lang from a full join b on a.fp = b.fp""")
 def revision_audit(spark, sf):
-    rows = _prints(spark, sf)
+    rows = _prints(spark, sf).select("fp", "doc_id", "lang")
     old = sets.last_per_key(rows.where("lang <> 'fr'"), ["fp"], ["doc_id"])
     return compare.revision_audit(rows.where("lang <> 'de'"), old, "fp", ["doc_id"], ["doc_id", "lang"])
 
@@ -343,6 +359,11 @@ def stratified_sample(spark, sf):
     return sampling.stratified_sample(complaints(spark, sf), "ym", 7, "id", SEED).select("id", "ym")
 
 
+@query(f"with {_O} select id, category from o qualify row_number() over (partition by category order by md5(concat(id, '|{SEED}')), id) <= 2000")
+def stratified_sample_large_cap(spark, sf):
+    return sampling.stratified_sample(complaints(spark, sf), "category", 2000, "id", SEED).select("id", "category")
+
+
 @query(f"""with {_O}, s as (select id from o order by md5(concat(id, '|{SEED}')), id limit 150)
 select id from o where category = '1' and id not in (select id from s) order by md5(concat(id, '|{SEED}')), id limit 50""")
 def oversample_remainder(spark, sf):
@@ -441,7 +462,7 @@ def _rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: r6(n) for n in names})
 
 
-@query(f"""with {_EVAL}, s as (select 'all' slice, * from e union all select case when is_hard then 'hard' else 'easy' end, * from e), c as (select slice, count(*) n, cast(count(*) filter (correct) as double) k from s group by 1)
+@query(f"""with {_EVAL}, s as (select 'all' slice, * from e union all select case when is_hard then 'hard' when not is_hard then 'easy' else 'missing' end, * from e), c as (select slice, count(*) n, cast(count(*) filter (correct) as double) k from s group by 1)
 select slice, n, cast(k as bigint) k, round(k/n, 6) accuracy, round({_WILSON}, 6) lo, round({_WILSON_HI}, 6) hi from c""")
 def accuracy_slices(spark, sf):
     return _rounded(evaluation.accuracy_slices(_results(spark, sf)), "accuracy", "lo", "hi")
@@ -493,17 +514,17 @@ def year_bucket_accuracy(spark, sf):
     return _rounded(evaluation.year_bucket_accuracy(rows, "year", buckets=_YEARS), "accuracy", "lo", "hi", "share")
 
 
-@query(f"""with {_EVAL}, a as (select count(*) filter (correct) a, count(*) n, count(*) filter (correct and is_hard) ah, count(*) filter (is_hard) nh, count(*) filter (quality = 1) b, count(*) filter (quality = 1 and is_hard) bh from e),
-i as (select *, a/n::double ca, b/n::double cb, ah/nh::double ha, bh/nh::double hb from a),
+@query(f"""with {_EVAL}, a as (select count(*) filter (correct) a, count(*) n, count(*) filter (correct and is_hard) ah, count(*) filter (is_hard) nh, count(*) filter (quality = 1) b, count(*) filter (quality = 1 and is_hard) bh, count(*) filter (correct and lang = 'en') al, count(*) filter (quality = 1 and lang = 'en') bl, count(*) filter (lang = 'en') nl from e),
+i as (select *, a/n::double ca, b/n::double cb, ah/nh::double ha, bh/nh::double hb, al/nl::double la, bl/nl::double lb from a),
 v as (select *, (ca + 3.8416/(2*n) - 1.96*sqrt((ca*(1-ca) + 3.8416/(4*n))/n)) / (1 + 3.8416/n) alo, (ca + 3.8416/(2*n) + 1.96*sqrt((ca*(1-ca) + 3.8416/(4*n))/n)) / (1 + 3.8416/n) ahi,
  (cb + 3.8416/(2*n) - 1.96*sqrt((cb*(1-cb) + 3.8416/(4*n))/n)) / (1 + 3.8416/n) blo, (cb + 3.8416/(2*n) + 1.96*sqrt((cb*(1-cb) + 3.8416/(4*n))/n)) / (1 + 3.8416/n) bhi from i)
-select cb > ca better, ca - cb <= 0.02 legacy_ok, ha - hb <= 0.03 hard_ok, ahi < blo or bhi < alo intervals_apart, cb > ca and ca - cb <= 0.02 and ha - hb <= 0.03 and (ahi < blo or bhi < alo) promote from v""")
+select cb > ca better, la - lb <= 0.02 legacy_ok, ha - hb <= 0.03 hard_ok, ahi < blo or bhi < alo intervals_apart, cb > ca and la - lb <= 0.02 and ha - hb <= 0.03 and (ahi < blo or bhi < alo) promote from v""")
 def promotion_gate(spark, sf):
-    e, hard = _results(spark, sf), F.col("is_hard")
+    e, hard, old = _results(spark, sf), F.col("is_hard"), F.col("lang") == "en"
     good = F.col("quality") == 1
-    counts = e.agg(F.count_if("correct").alias("a"), F.count("*").alias("n"), F.count_if(F.col("correct") & hard).alias("ah"), F.count_if(hard).alias("nh"), F.count_if(good).alias("b"), F.count_if(good & hard).alias("bh"))
+    counts = e.agg(F.count_if("correct").alias("a"), F.count("*").alias("n"), F.count_if(F.col("correct") & hard).alias("ah"), F.count_if(hard).alias("nh"), F.count_if(good).alias("b"), F.count_if(good & hard).alias("bh"), F.count_if(F.col("correct") & old).alias("al"), F.count_if(good & old).alias("bl"), F.count_if(old).alias("nl"))
     row = lambda key, a, b, n: F.struct(F.lit(key).alias("key"), F.col(a).alias("champion_k"), F.col(n).alias("champion_n"), F.col(b).alias("challenger_k"), F.col(n).alias("challenger_n"))
-    return evaluation.promotion_gate(counts.select(F.inline(F.array(row("current", "a", "b", "n"), row("legacy", "a", "b", "n"), row("hard", "ah", "bh", "nh")))))
+    return evaluation.promotion_gate(counts.select(F.inline(F.array(row("current", "a", "b", "n"), row("legacy", "al", "bl", "nl"), row("hard", "ah", "bh", "nh")))))
 
 
 @query(f"""with {_EVAL}, s as (select lang, count(*) n, count(*) filter (correct) k, count(*) filter (toxic = 1) / cast(count(*) as double) tox from e group by 1)
@@ -588,9 +609,10 @@ def universally_missed(spark, sf):
     return cascade.universally_missed(_models(spark, sf)).select("cmplid", "n_models", "same_answer", F.get("answers", 0).alias("answer"))
 
 
-@query(f"with {_RES} select model, count(*) n, round(avg(correct::int), 6) accuracy, avg(tokens_in) tokens_in, avg(tokens_out) tokens_out, round(avg(cost_usd) * 1000, 6) cost_per_1k, round(sum(input_cost_usd) / sum(cost_usd), 6) input_cost_share, 0::bigint n_errors from r group by 1")
+@query(f"with {_RES} select model, count(*) n, round(avg(correct::int), 6) accuracy, avg(tokens_in) tokens_in, avg(tokens_out) tokens_out, round(avg(cost_usd) * 1000, 6) cost_per_1k, round(sum(input_cost_usd) / sum(cost_usd), 6) input_cost_share, count(*) filter (model = 'smart' and confidence = 'low') n_errors from r group by 1")
 def model_table(spark, sf):
-    return _rounded(cascade.model_table(_models(spark, sf)), "accuracy", "cost_per_1k", "input_cost_share")
+    failed = F.when((F.col("model") == "smart") & (F.col("confidence") == "low"), F.lit("timeout"))
+    return _rounded(cascade.model_table(_models(spark, sf).withColumn("error", failed)), "accuracy", "cost_per_1k", "input_cost_share")
 
 
 _VALUES = ", ".join(f"('{p}', '{m}', {a}::double, {b}::double, {c}::double)" for p, m, a, b, c in PRICES)
@@ -749,31 +771,78 @@ def job_replay_monthly(spark, sf):
 # Streams and models ----------------------------------------------------------------------
 
 
-@query("select strftime(ts, '%Y%m') as ym, event_type category, count(*) n from events group by 1, 2")
+@query(f"with {_O} select ym, category, count(*) n from o where ym >= '200006' or id % 3 <> 0 group by 1, 2")
 def stream_month_census(spark, sf):
+    """Two dumps: a thinned one of everything, then all rows of the last months, which replace theirs."""
     from ..streaming.replay import replay_census
 
-    return replay_census(spark, f"{sf}/events.parquet")
+    rows = complaints(spark, sf).select("id", "ym", F.col("dd").alias("day"), "category")
+    return replay_census([rows.where("id % 3 <> 0").drop("id"), rows.where("ym >= '200006'").drop("id")])[0]
 
 
-@query("select event_id from events")
+@query("""with e as (select event_id, event_type || '|' || user_id as key, user_id from events), a as (select * from e where user_id % 3 <> 1)
+select event_id, 0 batch from a union all select event_id, 1 from e where key not in (select key from a) union all select event_id, 2 from e where false""")
 def stream_ledger(spark, sf):
+    """Three dumps with repeated keys: some users, all users, some again."""
     from ..streaming.replay import replay_ledger
 
-    return replay_ledger(spark, f"{sf}/events.parquet")
+    rows = table(spark, sf, "events").select("event_id", "user_id", F.concat_ws("|", "event_type", F.col("user_id").cast("string")).alias("key"))
+    return replay_ledger([rows.where("user_id % 3 <> 1"), rows, rows.where("user_id % 5 = 0")], "key").select("event_id", F.col("batch").cast("int").alias("batch"))
+
+
+@query("select event_id from events where user_id % 2 = 0 and ts >= timestamp '2024-01-15'")
+def stream_ledger_since(spark, sf):
+    """The lower bound of the state: what lies before it is neither new nor remembered."""
+    from ..streaming.replay import replay_ledger
+
+    rows = table(spark, sf, "events").select("event_id", "user_id", "ts", F.col("event_id").cast("string").alias("key")).where("user_id % 2 = 0")
+    return replay_ledger([rows.where("event_id % 4 = 0"), rows], "key", F.col("ts") >= F.lit("2024-01-15").cast("timestamp_ntz")).select("event_id")
+
+
+@query(f"with {_DS} select 1 as batch, month, previous_month from (select * from f where trip and before order by month limit 1)")
+def stream_first_fire(spark, sf):
+    """The rule after each of two dumps: nothing fires after the first, which ends before the shift."""
+    from ..streaming.replay import replay_fire
+
+    rows = shifted(spark, sf).select("ym", F.col("dd").alias("day"), "category")
+    fires = replay_fire([rows.where("ym < '200006'"), rows.where("ym >= '200006'")], AS_OF, LAST_N, PRIOR)
+    found = [(i, f["month"], f["previous_month"]) for i, f in enumerate(fires) if f]  # one a dump
+    return spark.createDataFrame(found, "batch int, month string, previous_month string")
 
 
 @query("select date_trunc('day', ts) as day, event_type, count(*) n, round(sum(value), 4) total from events group by 1, 2")
 def stream_daily_counts(spark, sf):
-    from ..streaming.incremental import windowed_counts
+    from ..streaming.replay import replay_counts
 
-    e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    out = windowed_counts(e, "ts", "event_type")
+    e = table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    out = replay_counts(e, "ts", "event_type")
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
+@query("""with n as (select count(distinct quality) k from labels) select doc_id, cast(k as int) n_top, true as sorted, true as first_is_pred, true as shares from documents, n""")
+def ml_score_shape(spark, sf):
+    """What must hold of every scored row: up to three labels, best first, the first being the prediction, shares that add up to 1 at most."""
+    scored = _ml_scored(spark, sf)
+    top = F.from_json("top3", "array<struct<label: string, p: double>>")
+    p = F.transform(top, lambda x: x["p"])
+    total = F.aggregate(p, F.lit(0.0), lambda a, x: a + x)
+    shares = (F.array_min(p) >= 0) & (total <= 1 + 1e-6) & (F.abs(F.col("confidence") - F.array_max(p)) < 1e-6)
+    return scored.select("doc_id", F.size(top).alias("n_top"), (F.sort_array(p, asc=False) == p).alias("sorted"), (F.get(top, 0)["label"] == F.col("pred")).alias("first_is_pred"), shares.alias("shares"))
+
+
+@query("select count(*) n, true as better_than_chance from documents join labels using (doc_id)")
+def ml_score_training_fit(spark, sf):
+    """Over the rows it was trained on, the classifier is right at least as often as the commonest label."""
+    rows = _ml_scored(spark, sf).where("label is not null")
+    most = rows.groupBy("label").count().agg(F.max("count").alias("most"))
+    return rows.agg(F.count("*").alias("n"), F.count_if(F.col("pred") == F.col("label")).alias("k")).join(most).select("n", (F.col("k") >= F.col("most")).alias("better_than_chance"))
+
+
+def _ml_scored(spark, sf):
+    rows = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left").select("doc_id", "text", F.col("quality").cast("string").alias("label"))
+    return scoring.classify(rows, scoring.train_text_classifier(rows))
+
+
 @query(None)
 def ml_score(spark, sf):
-    rows = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left").select("doc_id", "text", F.col("quality").cast("string").alias("label"))
-    model = scoring.train_text_classifier(rows)
-    return scoring.classify(rows, model).select("doc_id", "label", "pred", r6("confidence").alias("confidence"), "top3")
+    return _ml_scored(spark, sf).select("doc_id", "label", "pred", r6("confidence").alias("confidence"), "top3")

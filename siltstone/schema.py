@@ -64,6 +64,13 @@ OTHER = "OTHER"
 #: Two spellings that are folded into one.
 MERGE_MAP = {"ELECTRONIC STABILITY CONTROL (ESC)": "ELECTRONIC STABILITY CONTROL", "COMMUNICATIONS": "COMMUNICATION"}
 
+#: Systems that cause fires, and real systems that the label set puts into its bucket.
+FIRE_SYSTEMS = ("ENGINE AND ENGINE COOLING", "ELECTRICAL SYSTEM", "STRUCTURE", "AIR BAGS", "ENGINE")
+BUCKETED_SYSTEMS = ("TRACTION CONTROL SYSTEM", "HYBRID PROPULSION SYSTEM", "TRAILER HITCHES", "INTERIOR LIGHTING", "FIRERELATED", "EQUIPMENT ADAPTIVE/MOBILITY")
+UNKNOWN = "UNKNOWN OR OTHER"
+#: Names that models take for columns of the complaint file.
+MODEL_NAMES = {"CMPLID": "cmplid", "CDESCR": "narrative", "MAKETXT": "make", "MODELTXT": "model", "YEARTXT": "year", "LDATE": "ldate"}
+
 #: Closed year ranges of the dated accuracy report.
 YEAR_BUCKETS = (("1995-2009", 1995, 2009), ("2010-2014", 2010, 2014), ("2015-2019", 2015, 2019), ("2020-2022", 2020, 2022), ("2023-2024", 2023, 2024), ("2025-2026", 2025, 2026))
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -38,8 +40,27 @@ def write_sorted_lines(keys: DataFrame, path: str, column: str = "key") -> None:
     keys.select(F.col(column).alias("value")).where("value is not null").distinct().orderBy("value").write.mode("overwrite").text(path)
 
 
+def replace_folder(df: DataFrame, write: Callable[[DataFrame, str], None], path: str) -> None:
+    """Write df beside path and put it in path's place once it is whole; a write that fails leaves path as it was.
+
+    A reader sees the old folder or the new one; between the two renames it sees none.
+    """
+    spark, path = df.sparkSession, path.rstrip("/")
+    name = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    mark = uuid.uuid4().hex[:12]
+    new, old, target = name(f"{path}.new-{mark}"), name(f"{path}.old-{mark}"), name(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    write(df, f"{path}.new-{mark}")
+    if files.exists(target) and not files.rename(target, old):
+        raise OSError(f"cannot move {path} away")
+    if not files.rename(new, target):
+        files.rename(old, target)
+        raise OSError(f"cannot put the new {path} in place")
+    files.delete(old, True)
+
+
 def upsert_json_lines(log: DataFrame, update: DataFrame, path: str, key: str = "cmplid") -> DataFrame:
-    """Rows of log replaced by those of update with the same key, written as JSON lines."""
+    """Rows of log (which may be read from path) replaced by those of update with the same key, written as JSON lines; the log as it is now."""
     merged = last_per_key(log.withColumn("_seq", F.lit(0)).unionByName(update.withColumn("_seq", F.lit(1)), allowMissingColumns=True), [key], ["_seq"]).drop("_seq")
-    merged.write.mode("overwrite").json(path)
-    return merged
+    replace_folder(merged, lambda df, to: df.write.json(to), path)
+    return merged.sparkSession.read.schema(merged.schema).json(path)

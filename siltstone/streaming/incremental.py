@@ -1,19 +1,19 @@
 """Incremental ingest with Structured Streaming: a ledger of seen keys and a census whose months are replaced.
 
-Every micro-batch is one published dump.  Both states are Parquet tables of
-versions; a batch writes its new version under its batch id and then names it in a
-pointer, so a batch that is run again after a failure overwrites its own
-version and never reads it.
+Every micro-batch is one published dump.  The census, which is small, is kept in versions, the
+ledger in parts, each under the id of its batch; a batch reads only what lies
+below its id, so one that is run again after a failure overwrites its own output and never reads it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.cascade import GateClosed
 from ..operators.census import month_census, month_totals
 from ..operators.sets import ledger_union, new_rows, overlay
 from ..sources.readers import path_exists
@@ -38,16 +38,38 @@ class VersionedTable:
         return self.spark.read.schema(self.schema).parquet(f"{self.folder}/v-{found[-1]}") if found else self.spark.createDataFrame([], self.schema)
 
     def write(self, table: DataFrame, version: int) -> None:
+        """Write a version; of the older ones, the last is kept for a batch that runs again."""
         table.write.mode("overwrite").parquet(f"{self.folder}/v-{version}")
+        for old in [v for v in self._versions() if v < version][:-1]:
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/v-{old}")
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def run_ledger(stream: DataFrame, key: str, ledger: VersionedTable, sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """New rows of each batch go to the sink; repeats within a batch all stay, unlike with dropDuplicates."""
+class AppendedKeys(VersionedTable):
+    """Keys seen so far, a part a batch with what was new to it; nothing is written twice."""
+
+    def __init__(self, spark: SparkSession, folder: str, key: str):
+        super().__init__(spark, folder, f"{key} string")
+
+    def current(self, before: int | None = None) -> DataFrame:
+        found = [f"{self.folder}/v-{v}" for v in self._versions() if before is None or v < before]
+        return self.spark.read.schema(self.schema).parquet(*found) if found else self.spark.createDataFrame([], self.schema)
+
+    def write(self, table: DataFrame, version: int) -> None:
+        table.write.mode("overwrite").parquet(f"{self.folder}/v-{version}")
+
+
+def run_ledger(stream: DataFrame, key: str, ledger: AppendedKeys, sink: Callable[[DataFrame, int], None], checkpoint: str, since: Column | None = None) -> StreamingQuery:
+    """New rows of each batch go to the sink; repeats within a batch all stay, unlike with dropDuplicates.
+
+    ``since``, a condition on the rows, bounds what is looked at and remembered, such as days after a cutoff.
+    """
 
     def step(batch: DataFrame, batch_id: int) -> None:
+        rows = batch if since is None else batch.where(since)
         seen = ledger.current(batch_id)
-        sink(new_rows(batch, seen, key), batch_id)
-        ledger.write(ledger_union(seen.select(key), batch.select(key)), batch_id)
+        sink(new_rows(rows, seen, key), batch_id)
+        ledger.write(ledger_union(new_rows(rows.select(key), seen, key)), batch_id)
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -56,20 +78,18 @@ CENSUS_SCHEMA = "ym string, category string, n bigint"
 TOTALS_SCHEMA = "ym string, n bigint, max_day int, complete boolean"
 
 
-def run_census(stream: DataFrame, census: VersionedTable, totals: VersionedTable, checkpoint: str) -> StreamingQuery:
-    """Rows (ym, day, category): a month of a later dump replaces the month as it was."""
+def run_census(stream: DataFrame, census: VersionedTable, totals: VersionedTable, checkpoint: str, after: Callable[[int], None] | None = None) -> StreamingQuery:
+    """Rows (ym, day, category): a month of a later dump replaces the month as it was; ``after`` is called once a batch is in."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
         census.write(overlay(census.current(batch_id), month_census(batch), "ym"), batch_id)
         totals.write(overlay(totals.current(batch_id), month_totals(batch), "ym"), batch_id)
+        if after is not None:
+            after(batch_id)
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-class GateClosed(RuntimeError):
-    """The canary chunk did not pass; later chunks are not labelled."""
-
-
 def run_chunks(stream: DataFrame, label: Callable[[DataFrame], DataFrame], gate: Callable[[DataFrame], bool], folder: str, checkpoint: str) -> StreamingQuery:
     """Label a stream of chunk files, one micro-batch each, resumable: finished chunks are in the checkpoint.
 

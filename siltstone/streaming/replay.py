@@ -2,45 +2,67 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import Column, DataFrame
+from pyspark.sql.streaming import StreamingQuery
 
-from .incremental import CENSUS_SCHEMA, TOTALS_SCHEMA, VersionedTable, run_census, run_ledger
+from ..operators.drift import mix_rule
+from ..session import fresh_path
+from .incremental import CENSUS_SCHEMA, TOTALS_SCHEMA, AppendedKeys, VersionedTable, run_census, run_ledger, windowed_counts
 
 
-def work_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="siltstone-stream-")
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
+def _fed(dumps: list[DataFrame], folder: str, run: Callable[[DataFrame], StreamingQuery]) -> None:
+    """Publish dumps one after the other and run the stream after each: one micro-batch a dump, state in the checkpoint."""
+    spark = dumps[0].sparkSession
+    for dump in dumps:
+        dump.write.mode("append").parquet(f"{folder}/feed")
+        run(spark.readStream.schema(dump.schema).parquet(f"{folder}/feed")).awaitTermination()
 
 
-def _stream(spark: SparkSession, path: str) -> DataFrame:
-    """A file source wants a folder: the table's own, or the one that its single file lies in."""
-    schema = spark.read.parquet(path).schema
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    single = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(hadoop).isFile()
-    folder, _, name = path.rpartition("/")
-    return spark.readStream.schema(schema).option("pathGlobFilter", name if single else "*.parquet").parquet(folder if single else path)
+def replay_census(dumps: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """census (ym, category, n) and totals of dumps with rows (ym, day, category), built by the stream; a later dump replaces its months."""
+    spark = dumps[0].sparkSession
+    folder = fresh_path(spark, "stream-census")
+    census, totals = VersionedTable(spark, f"{folder}/census", CENSUS_SCHEMA), VersionedTable(spark, f"{folder}/totals", TOTALS_SCHEMA)
+    _fed(dumps, folder, lambda rows: run_census(rows, census, totals, f"{folder}/checkpoint"))
+    return census.current(), totals.current()
 
 
-def replay_census(spark: SparkSession, path: str) -> DataFrame:
-    """(ym, category, n) of an events table, built by the stream."""
-    folder = work_folder(spark)
-    rows = _stream(spark, path).select(F.date_format("ts", "yyyyMM").alias("ym"), F.dayofmonth("ts").alias("day"), F.col("event_type").alias("category"))
-    census = VersionedTable(spark, f"{folder}/census", CENSUS_SCHEMA)
-    totals = VersionedTable(spark, f"{folder}/totals", TOTALS_SCHEMA)
-    run_census(rows, census, totals, f"{folder}/checkpoint").awaitTermination()
-    return census.current()
+def replay_ledger(dumps: list[DataFrame], key: str, since: Column | None = None) -> DataFrame:
+    """The rows of all dumps that were new when they arrived, with the number of their batch."""
+    spark = dumps[0].sparkSession
+    folder = fresh_path(spark, "stream-ledger")
+    ledger = AppendedKeys(spark, f"{folder}/ledger", key)
+    sink = lambda new, batch: new.write.mode("overwrite").parquet(f"{folder}/new/batch={batch}")
+    _fed(dumps, folder, lambda rows: run_ledger(rows, key, ledger, sink, f"{folder}/checkpoint", since))
+    return spark.read.parquet(f"{folder}/new")
 
 
-def replay_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """event_id of every row that was new when it arrived."""
-    folder = work_folder(spark)
-    rows = _stream(spark, path).withColumn("key", F.sha2(F.concat_ws("|", "event_id", "user_id"), 256))
-    ledger = VersionedTable(spark, f"{folder}/ledger", "key string")
-    sink = lambda new, batch: new.select("event_id").write.mode("overwrite").parquet(f"{folder}/new/batch={batch}")
-    run_ledger(rows, "key", ledger, sink, f"{folder}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{folder}/new").select("event_id")
+def replay_fire(dumps: list[DataFrame], as_of: str, last_n: int, prior_months: int) -> list[dict | None]:
+    """The first fire after each dump, as the stream's census had it then."""
+    spark = dumps[0].sparkSession
+    folder = fresh_path(spark, "stream-fire")
+    census, totals = VersionedTable(spark, f"{folder}/census", CENSUS_SCHEMA), VersionedTable(spark, f"{folder}/totals", TOTALS_SCHEMA)
+    fires: list[dict | None] = []
+
+    def after(_: int) -> None:
+        row = mix_rule(census.current(), totals.current(), as_of, last_n, prior_months)["fire"].first()  # one row
+        fires.append(row.asDict() if row else None)
+
+    _fed(dumps, folder, lambda rows: run_census(rows, census, totals, f"{folder}/checkpoint", after))
+    return fires
+
+
+def replay_counts(events: DataFrame, ts: str, group: str) -> DataFrame:
+    """windowed_counts() of a feed of single events, run as a stream."""
+    spark = events.sparkSession
+    folder = fresh_path(spark, "stream-counts")
+
+    def run(rows: DataFrame) -> StreamingQuery:
+        write = lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/counts")
+        counted = windowed_counts(rows, ts, group)
+        return counted.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+
+    _fed([events], folder, run)
+    return spark.read.parquet(f"{folder}/counts")

@@ -10,7 +10,7 @@ from siltstone.operators import drift, sampling, scoring, sets
 from siltstone.plans import jobs
 from siltstone.schema import COMPLAINT_COLUMNS
 from siltstone.sources import readers, sinks
-from siltstone.streaming.incremental import CENSUS_SCHEMA, TOTALS_SCHEMA, VersionedTable, run_census, run_ledger
+from siltstone.streaming.incremental import CENSUS_SCHEMA, TOTALS_SCHEMA, AppendedKeys, VersionedTable, run_census, run_ledger
 
 
 def line(**values):
@@ -61,6 +61,13 @@ def test_sinks(spark, tmp_path):
     log = spark.createDataFrame([("1", "x"), ("2", "y")], "cmplid string, label string")
     merged = sinks.upsert_json_lines(log, spark.createDataFrame([("2", "z")], "cmplid string, label string"), str(tmp_path / "log"))
     assert {tuple(r) for r in merged.select("cmplid", "label").collect()} == {("1", "x"), ("2", "z")}
+    # The log as it is on disk, replaced in place; a write that fails leaves it as it was.
+    again = sinks.upsert_json_lines(merged, spark.createDataFrame([("3", "w")], "cmplid string, label string"), str(tmp_path / "log"))
+    assert again.count() == 3
+    fails = spark.createDataFrame([("4", "v")], "cmplid string, label string").withColumn("label", F.raise_error(F.lit("no")).cast("string"))
+    with pytest.raises(Exception, match="no"):
+        sinks.upsert_json_lines(again, fails, str(tmp_path / "log"))
+    assert spark.read.json(str(tmp_path / "log")).count() == 3
 
 
 def test_prepare_and_samples(spark, dump):
@@ -153,16 +160,17 @@ def test_ledger_and_census_stream_like_batch(spark, tmp_path):
     for i, part in enumerate((rows[:20], rows[20:40], rows[20:60])):
         spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"b{i}"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
-    ledger = VersionedTable(spark, str(tmp_path / "ledger"), "key string")
+    ledger = AppendedKeys(spark, str(tmp_path / "ledger"), "key")
     sink = lambda new, b: new.write.mode("overwrite").parquet(str(tmp_path / "new" / f"batch={b}"))
     run_ledger(stream, "key", ledger, sink, str(tmp_path / "c1")).awaitTermination()
-    assert {r[0] for r in ledger.current().collect()} == {r[0] for r in rows}
+    assert sorted(r[0] for r in ledger.current().collect()) == sorted({r[0] for r in rows})  # each key is kept once
     first = {}
     for b in sorted((tmp_path / "new").glob("batch=*")):
         for r in spark.read.parquet(str(b)).collect():
             assert first.setdefault(r["key"], b.name) == b.name
     census, totals = VersionedTable(spark, str(tmp_path / "c"), CENSUS_SCHEMA), VersionedTable(spark, str(tmp_path / "t"), TOTALS_SCHEMA)
     run_census(stream, census, totals, str(tmp_path / "c2")).awaitTermination()
+    assert len(list((tmp_path / "c").glob("v-*"))) == 2
     want = C.month_census(spark.createDataFrame(rows, schema))
     assert {tuple(r) for r in census.current().collect()} == {tuple(r) for r in want.collect()}
 
@@ -217,3 +225,96 @@ def test_positions(spark):
     rows = spark.range(30).select("id", (F.col("id") / 7).cast("int").alias("b"))
     got = sampling.canary_chunks(rows, ["id"], F.col("b"), canary=5, chunk=10).orderBy("id").collect()
     assert [r["position"] for r in got] == list(range(1, 31)) and [r["chunk"] for r in got] == [0] * 5 + [1] * 10 + [2] * 10 + [3] * 5
+
+
+def test_label_calls_with_too_few_answers(spark):
+    rows = spark.createDataFrame([("a",), ("b",)], "text string").coalesce(1)
+    got = scoring.call_labeller(rows, lambda texts: ["one"], "text", retries=2, pause=0.01).collect()
+    assert {(r["reply"], r["error"]) for r in got} == {(None, "ValueError: 1 answers to 2 texts")}
+
+
+def test_any_batch_model(spark):
+    def load():
+        return lambda texts: [[0.2, 0.3, 0.5] if "x" in t else [0.6, 0.3, 0.1] for t in texts]
+
+    rows = spark.createDataFrame([(1, "x"), (2, "y"), (3, None)], "id int, text string")
+    got = {r["id"]: r for r in scoring.score_batches(rows, load, ["a", "b", "c"], batch=2).collect()}
+    assert [(got[i]["pred"], got[i]["confidence"]) for i in (1, 2, 3)] == [("c", 0.5), ("a", 0.6), ("a", 0.6)]
+    assert got[1]["top3"] == '[{"label":"c","p":0.5},{"label":"b","p":0.3},{"label":"a","p":0.2}]' and got[3]["text"] is None
+
+
+@pytest.mark.parametrize("cap", [3, 1200])
+def test_stratified_sample_whatever_the_cap(spark, cap):
+    import hashlib
+
+    rows = spark.range(4000).select("id", F.when(F.col("id") % 4 == 0, F.lit(None)).otherwise(F.col("id") % 4).alias("g"))
+    got = sampling.stratified_sample(rows, "g", cap, "id", 5)
+    assert got.columns == ["id", "g"]
+    found = {}
+    for r in got.collect():
+        found.setdefault(r["g"], set()).add(r["id"])
+    for g in (None, 1, 2, 3):
+        ids = sorted((i for i in range(4000) if (i % 4 or None) == g), key=lambda i: (hashlib.md5(f"{i}|5".encode()).hexdigest(), i))
+        assert found[g] == set(ids[:cap])
+
+
+def test_slide_anchors_at_each_fire(spark):
+    spec = [*steady(), *[(m, "STEERING", 100, 31) for m in ("202512", "202601", "202602")]]
+    census, totals = months(spark, spec)
+    fires = drift.slide(census, totals, "202511")
+    by_hand, as_of = [], "202511"
+    while (row := drift.mix_rule(census, totals, as_of)["fire"].first()) is not None:
+        by_hand.append({"as_of": as_of, **row.asDict()})
+        as_of = row["month"]
+    assert fires == by_hand and fires[0] == {"as_of": "202511", "month": "202601", "previous_month": "202512"}
+
+
+def replies(spark, bad):
+    def call(rows):
+        return rows.withColumn("reply", F.when(F.col("cmplid") % bad != 0, F.lit('{"component": "TIRES", "confidence": "medium"}'))).withColumn("error", F.when(F.col("cmplid") % bad == 0, F.lit("down"))).withColumn("cost_usd", F.lit(0.001))
+
+    return call
+
+
+def test_cascade_stops_at_a_failed_canary(spark):
+    from siltstone.operators.cascade import GateClosed
+
+    sample = spark.range(400).select(F.col("id").cast("string").alias("cmplid"))
+    called = []
+
+    def dear(rows):
+        called.append(1)
+        return replies(spark, 2)(rows)
+
+    with pytest.raises(GateClosed, match="cheap-stage"):
+        jobs.cascade_labels(sample, dear, dear, ("a", "b"), canary=50)
+    assert called == [1]  # only the canary was paid for
+    with pytest.raises(GateClosed, match="smart-stage"):
+        jobs.cascade_labels(sample, replies(spark, 1000), dear, ("a", "b"), canary=50)
+    out = jobs.cascade_labels(sample, replies(spark, 1000), replies(spark, 1000), ("a", "b"), canary=50)
+    row = out["summary"].first()
+    assert (row["n_rows"], row["n_escalated"], row["n_failed"]) == (400, 399, 1) and out["labels"].where("labeling_model = 'b'").count() == 399
+
+
+def test_loop_without_scoring(spark, dump):
+    rows = dump(*[complaint(i, odino=f"O{i}", day=f"2025{1 + i % 3:02d}28") for i in range(9)])
+    out = jobs.loop(rows, spark.createDataFrame([("O1||some narrative that is long enough",)], "fingerprint string"), rows, spark.createDataFrame([("20250101",)], "ldate string"), "202411")
+    assert out["new"].count() == 8 and out["score"] is None and not out["decision"].first()["retrain"]
+
+
+def test_shared_folder_is_required_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from siltstone.session import shared_dir
+
+    context = SimpleNamespace(master="spark://host:7077", applicationId="a")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context))
+    assert shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *_: "hdfs://x/"), sparkContext=context)) == "hdfs://x/siltstone-a"
+
+
+def test_null_hardness_is_a_slice_of_its_own(spark):
+    from siltstone.operators.evaluation import accuracy_slices
+
+    rows = spark.createDataFrame([(True, True), (False, False), (None, True)], "is_hard boolean, correct boolean")
+    assert {(r["slice"], r["n"], r["k"]) for r in accuracy_slices(rows).collect()} == {("all", 3, 2), ("hard", 1, 1), ("easy", 1, 0), ("missing", 1, 1)}
