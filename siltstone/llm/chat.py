@@ -69,6 +69,24 @@ def turn_events(turns: DataFrame) -> DataFrame:
     return turns.select("conv_id", "turn", "role", "text").withColumn("seq", F.row_number().over(order).cast("long")).select("conv_id", "seq", F.col("seq").alias("turn"), F.lit("message").alias("kind"), "role", "text")
 
 
+def streamed_events(turns: DataFrame) -> DataFrame:
+    """A table of finished turns as the log of a chat that was streamed and corrected.
+
+    An assistant's turn is a draft that is generated anew and then streamed in two deltas; any other
+    one is a message that is edited and then goes on.  Folding gives the turns back.
+    """
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    rows = turns.select("conv_id", "turn", "role", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = rows.withColumn("turn", F.row_number().over(order).cast("long")).withColumn("half", F.floor(F.length("text") / 2).cast("int"))
+    first, second = F.left("text", F.col("half")), F.substring(F.col("text"), F.col("half") + 1, F.length("text"))
+    event = lambda step, kind, role, text: F.struct((F.col("turn") * 4 + step).alias("seq"), F.lit(kind).alias("kind"), role.alias("role"), text.alias("text"))
+    role, none, draft = F.col("role").cast("string"), F.lit(None).cast("string"), F.lit("draft")
+    spoken = F.array(event(0, "message", role, draft), event(1, "regenerate", none, none), event(2, "delta", none, first), event(3, "delta", none, second))
+    written = F.array(event(0, "message", role, second), event(1, "edit", none, first), event(2, "delta", none, second))
+    log = F.when(F.col("role") == TRAINED_ROLE, spoken).otherwise(written)
+    return rows.select("conv_id", "turn", F.explode(log).alias("e")).select("conv_id", "e.seq", "turn", "e.kind", "e.role", "e.text")
+
+
 def reconstruct(events: DataFrame) -> DataFrame:
     """Fold events (conv_id, seq, turn, kind, role, text) into final messages (conv_id, turn, role, text)."""
     message = Window.partitionBy("conv_id", "turn")
@@ -99,9 +117,10 @@ def render(messages: DataFrame) -> DataFrame:
 
 
 def read_back(rendered: DataFrame) -> DataFrame:
-    """Turns read from the rendered text and its mask: conv_id, turn (from 0), role, text, loss (the unmasked words or null)."""
+    """Turns read from the rendered text and its mask: conv_id, turn (from 0), role, text, loss (the unmasked words or null), chars (of the whole text)."""
     pieces = F.slice(F.split("formatted", END + "\n"), F.lit(1), F.size("mask"))
-    rows = rendered.select("conv_id", F.posexplode(F.arrays_zip(pieces.alias("piece"), F.col("mask").alias("span")))).select("conv_id", F.col("pos").alias("turn"), "col.piece", "col.span")
+    rows = rendered.select("conv_id", F.length("formatted").cast("long").alias("chars"), F.posexplode(F.arrays_zip(pieces.alias("piece"), F.col("mask").alias("span"))))
+    rows = rows.select("conv_id", "chars", F.col("pos").alias("turn"), "col.piece", "col.span")
     order = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     at = F.coalesce(F.sum(F.length("piece") + len(END) + 1).over(order), F.lit(0))
     colon = F.instr("piece", ": ")
@@ -109,13 +128,13 @@ def read_back(rendered: DataFrame) -> DataFrame:
     rows = rows.withColumn("at", at).withColumn("colon", colon)
     label = F.substring(F.col("piece"), F.lit(5), F.col("colon") - 5)
     text = unescape(F.substring(F.col("piece"), F.col("colon") + 2, F.length("piece")))
-    return rows.select("conv_id", "turn", _role(label).alias("role"), text.alias("text"), loss.alias("loss"))
+    return rows.select("conv_id", "turn", _role(label).alias("role"), text.alias("text"), loss.alias("loss"), "chars")
 
 
 def summary(rendered: DataFrame) -> DataFrame:
-    """Digests of what read_back() finds, per conversation."""
+    """Digests of what read_back() finds, and the length of the whole text, per conversation."""
     turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text", "loss")))
-    whole = read_back(rendered).groupBy("conv_id").agg(turns.alias("turns"))
+    whole = read_back(rendered).groupBy("conv_id").agg(turns.alias("turns"), F.first("chars").alias("formatted_chars"))
     lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = F.array_join(F.transform("turns", lambda t: t["loss"]), "")
-    return whole.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"))
+    return whole.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars")

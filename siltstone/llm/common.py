@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import functools
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import fresh_path, shared_dir
+
 # A key that holds at least one row in HOT_SHARE counts as hot, so no table has
 # more than HOT_SHARE hot keys and broadcasting them is bounded.
 HOT_SHARE = 1000
@@ -20,25 +17,6 @@ SALTS = 64
 ARROW_ROWS = 2000
 
 
-@functools.cache
-def _own_folder() -> str:
-    folder = tempfile.mkdtemp(prefix="siltstone-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    return "file://" + folder
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = _own_folder()
-    return found.rstrip("/") + "/siltstone-" + spark.sparkContext.applicationId
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
     return _stored_at(df, fresh_path(df.sparkSession, name))

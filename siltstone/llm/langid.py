@@ -78,18 +78,19 @@ def features(text: str | None) -> np.ndarray | None:
 
 def train_svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 30) -> np.ndarray:
     """Weights (last: bias) of a linear SVM with squared hinge loss, by dual coordinate descent; y is +1 or -1."""
-    x = np.hstack([x, np.ones((len(x), 1), dtype=x.dtype)])
-    w, alpha = np.zeros(x.shape[1]), np.zeros(len(x))
+    w, alpha = np.zeros(x.shape[1] + 1), np.zeros(len(x))
     diagonal = 0.5 / cost
-    square = (x.astype(np.float64) ** 2).sum(axis=1) + diagonal
+    square = np.array([float(v @ v) for v in x]) + 1 + diagonal  # the bias counts as a feature of 1
     order = np.random.default_rng(7)
     for _ in range(rounds):
         moved = 0.0
         for i in order.permutation(len(x)):
-            slope = y[i] * (x[i] @ w) - 1 + diagonal * alpha[i]
+            slope = y[i] * (x[i] @ w[:-1] + w[-1]) - 1 + diagonal * alpha[i]
             new = max(0.0, alpha[i] - slope / square[i])
             if new != alpha[i]:
-                w += (new - alpha[i]) * y[i] * x[i]
+                step = (new - alpha[i]) * y[i]
+                w[:-1] += step * x[i]
+                w[-1] += step
                 moved = max(moved, abs(new - alpha[i]))
                 alpha[i] = new
         if moved < 1e-3:
@@ -175,14 +176,16 @@ def training_rows(docs: DataFrame, per_lang: int, id_col: str, text_col: str, la
 
 def fit(docs: DataFrame, per_lang: int = PER_LANG, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """Train on the rows that are not held out; None if no row has a label and letters."""
-    found: dict[str, list] = {}
-    for row in sorted(training_rows(docs, per_lang, id_col, text_col, lang_col).collect(), key=lambda r: (r["lang"], r["h"])):  # about 1.2 times per_lang a language
-        found.setdefault(row["lang"], []).append(row)
-    rows = [r for lang in found.values() for r in lang[:per_lang]]
+    found: dict[str, list[tuple[int, bytes]]] = {}
+    for row in training_rows(docs, per_lang, id_col, text_col, lang_col).collect():  # about 1.2 times per_lang a language
+        found.setdefault(row["lang"], []).append((row["h"], row["x"]))
+    rows = [(lang, x) for lang in sorted(found) for _, x in sorted(found[lang])[:per_lang]]
     if not rows:
         return None
-    x = np.array([np.frombuffer(r["x"], dtype="<f2") for r in rows], dtype=np.float32)
-    return Model.train(x, [r["lang"] for r in rows])
+    x = np.empty((len(rows), DIMS), dtype=np.float32)
+    for i, (_, packed) in enumerate(rows):
+        x[i] = np.frombuffer(packed, dtype="<f2")
+    return Model.train(x, [lang for lang, _ in rows])
 
 
 def classify(docs: DataFrame, model: Model | None, keep: list[str], text_col: str = "text", out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

@@ -16,8 +16,7 @@ than one; a line that fills a third of the corpus is dealt over many tasks.
 
 Edge cases: a null text stays null and an empty one empty; blank lines stay; rows
 alike in id and text are one document and keep the same lines; a null doc_id sorts first; an
-empty table gives an empty result; other columns are kept as they are, and names
-that begin with ``_ld_`` are reserved.
+empty table gives an empty result; ties in a position go to the larger token; other columns are kept as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -101,8 +100,17 @@ def templates(lines: DataFrame, index: DataFrame, min_docs: int, similar: float)
     return alone.unionByName(shared).select("shape", "n", F.col("first.doc").alias("first_doc"), F.col("first.line").alias("first_line"))
 
 
+def prefix_of(docs: DataFrame) -> str:
+    """The prefix of the two added columns: ``_ld_``, or a longer one where docs has such names."""
+    prefix = "_ld_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
+    return prefix
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS, similar: float = SIMILAR, short: bool = False) -> DataFrame:
-    """docs with recurring lines dropped from text, and _ld_lines, _ld_dropped: lines before, lines dropped."""
+    """docs with recurring lines dropped from text, and lines and dropped (lines before, lines dropped) behind the prefix of prefix_of()."""
+    prefix = prefix_of(docs)
     lines = _lines(docs, id_col, text_col, min_tokens, short)
     index = stored(lines.select("doc", "doc_id", "line", "leaf", F.unhex(F.md5("pattern")).alias("shape")), "line-index")
     # A leaf with fewer lines than a recurring template needs documents can hold none: most lines go here.
@@ -111,12 +119,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     recurring = stored(templates(lines, index, min_docs, similar), "line-templates")
     met = skew_lookup(index.select("doc", "line", "shape"), recurring, "shape", "n", F.xxhash64("doc", "line"))
     dropped = met.where(F.col("first_doc").isNotNull() & ~((F.col("doc") == F.col("first_doc")) & (F.col("line") == F.col("first_line"))))
-    dropped = dropped.groupBy(F.col("doc").alias("_ld_doc")).agg(F.collect_set("line").alias("_ld_drop"))
-    keyed = docs.withColumn("_ld_doc", row_key(id_col, text_col))
-    kept = F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains("_ld_drop", i))
-    text = F.when(F.col("_ld_drop").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    out = keyed.join(dropped, "_ld_doc", "left").withColumn("_ld_text", text)
-    out = out.withColumn("_ld_lines", F.when(F.col(text_col).isNotNull(), F.size(F.split(text_col, "\n"))).otherwise(0).cast("long"))
-    out = out.withColumn("_ld_dropped", F.coalesce(F.size("_ld_drop"), F.lit(0)).cast("long"))
-    columns = [F.col("_ld_text").alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    return out.select(*columns, "_ld_lines", "_ld_dropped")
+    doc, drop = f"{prefix}doc", f"{prefix}drop"
+    dropped = dropped.groupBy(F.col("doc").alias(doc)).agg(F.collect_set("line").alias(drop))
+    out = docs.withColumn(doc, row_key(id_col, text_col)).join(dropped, doc, "left")
+    kept = F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains(drop, i))
+    text = F.when(F.col(drop).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    lines = F.when(F.col(text_col).isNotNull(), F.size(F.split(text_col, "\n"))).otherwise(0).cast("long")
+    columns = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns]
+    return out.select(*columns, lines.alias(f"{prefix}lines"), F.coalesce(F.size(drop), F.lit(0)).cast("long").alias(f"{prefix}dropped"))

@@ -86,11 +86,10 @@ ESCAPED_CHAT = "\\### Assistant: </turn> ok"
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
-    extra = spark.createDataFrame([(-7, 0, "user", ESCAPED_CHAT), (-7, 1, "assistant", ESCAPED_CHAT)], turns.schema)
-    rendered = chat.render(chat.reconstruct(chat.turn_events(turns.union(extra))))
-    sizes = rendered.select("conv_id", F.length("formatted").cast("long").alias("formatted_chars"))
-    found = chat.summary(rendered)
-    return found.join(sizes, found["conv_id"].eqNullSafe(sizes["conv_id"])).select(found["conv_id"], "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+    said = lambda turn, role: F.struct(F.lit(-7).cast("long").alias("conv_id"), F.lit(turn).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit(ESCAPED_CHAT).alias("text"))
+    extra = spark.range(1).select(F.inline(F.array(said(0, "user"), said(1, "assistant"))))
+    rendered = chat.render(chat.reconstruct(chat.streamed_events(turns.union(extra))))
+    return chat.summary(rendered).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
 _OP5_SQL = r"""
@@ -165,7 +164,7 @@ with i as (
 ), h as (
   select doc_id, count(distinct pos) as n_hit from (select doc_id, unnest(range(s, s + n)) as pos from m) group by 1
 ), t as (
-  select doc_id, count(*) as n_items, string_agg(id, ',' order by id) as ids from (select distinct doc_id, cast(item_id as varchar) as id from m) group by 1
+  select doc_id, count(id) as n_items, string_agg(id, ',' order by id) as ids from (select distinct doc_id, cast(item_id as varchar) as id from m) group by 1
 )
 select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
   sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated

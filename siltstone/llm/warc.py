@@ -39,6 +39,8 @@ MIN_REVISIT = 1000
 ARCHIVE_BYTES = 64 << 20
 READ_BYTES = 4 << 20
 GAP_BYTES = 64 << 10
+#: Bytes of records that a task reads, about, where there are many.
+TASK_BYTES = 128 << 20
 #: Groups of equal payloads that are broadcast at most; beyond, they are joined by a shuffle.
 BROADCAST_GROUPS = 50_000
 _DATE = "2020-01-01T00:00:00Z"
@@ -196,8 +198,11 @@ def read(selected: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
         if source is not None:
             source.close()
 
+    # Dealt by bytes to read, in a stated number of parts: index rows are so small that adaptive execution would put all into one.
+    total = selected.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    parts = int(max(1, -(-total // TASK_BYTES), min(-(-total // READ_BYTES), int(selected.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
     stretch = F.floor(F.col("offset") / READ_BYTES)
-    dealt = selected.select("archive", "offset", "length").repartition("archive", stretch).sortWithinPartitions("archive", "offset")
+    dealt = selected.select("archive", "offset", "length").repartition(parts, "archive", stretch).sortWithinPartitions("archive", "offset")
     return dealt.mapInArrow(run, "page_id long, url string, record_type string, refers_to long, payload_bytes long, digest string, payload binary")
 
 
@@ -222,6 +227,17 @@ def _records(members: list[bytes], payloads: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, ["page_id", "url", "record_type", "refers_to", "payload_bytes", "digest", "payload"])
 
 
+def resolved(records: DataFrame) -> DataFrame:
+    """Records that read() gave, payloads too, with each revisit's payload taken from the response it refers to."""
+    responses = records.where("record_type = 'response'").select(F.struct("page_id", "digest").alias("_of"), F.col("payload").alias("_payload"))
+    revisits = records.where("record_type = 'revisit'").withColumn("_of", F.struct(F.col("refers_to").alias("page_id"), "digest"))
+    uses = revisits.groupBy("_of").agg(F.count("*").alias("n"))
+    # Small payloads may have several responses with an id; a revisit's has one.
+    table = responses.join(uses, "_of").groupBy("_of").agg(F.max("_payload").alias("_payload"), F.max("n").alias("n"))
+    found = skew_lookup(revisits, table, "_of", "n", F.xxhash64("page_id", "url")).withColumn("payload", F.col("_payload"))
+    return records.where("record_type = 'response'").unionByName(found.select(*records.columns))
+
+
 def archive_folder(pages: DataFrame) -> str:
     """A new folder for archives among the shared ones."""
     return fresh_path(pages.sparkSession, "warc")

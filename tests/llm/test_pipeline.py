@@ -61,6 +61,21 @@ def test_stages_against_brute_force(spark, corpus):
         assert sorted((key(r["doc_id"]), r["text"]) for r in docs.collect()) == sorted((key(d), t) for d, t in want)
 
 
+def test_stages_on_an_empty_table_and_with_clashing_names(spark, corpus):
+    folder, rows = corpus
+    more = SCHEMA_TEXTS + ", _lang_pred string, _ld_dropped long, _ld_doc string, key string, class long, block int"
+    docs = spark.createDataFrame([(*r, "p", 5, "d", "k", 6, 7) for r in rows], more).repartition(2)
+    plain = spark.createDataFrame(rows, SCHEMA_TEXTS).repartition(2)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.where("false"), folder).count() == 0
+        out = stage(spark, docs, folder)
+        if name != "bpe":
+            assert out.columns == docs.columns
+            got = sorted(map(repr, out.select("doc_id", "text", "n_chars").collect()))
+            assert got == sorted(map(repr, stage(spark, plain, folder).select("doc_id", "text", "n_chars").collect())) and got
+            assert out.select("_lang_pred", "_ld_dropped", "_ld_doc", "key", "class", "block").distinct().count() == 1
+
+
 def test_run_is_the_stages(spark, corpus):
     folder, _ = corpus
     got = corpus_pipeline.run(spark, folder)

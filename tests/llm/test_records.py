@@ -185,6 +185,8 @@ def test_warc_round_trip(spark, groups):
     folder = warc.archive_folder(pages)
     index = warc.write(pages, folder, archive_bytes=2000, broadcast_groups=groups)
     assert index.count() == len(rows)
+    whole = {(r["page_id"], r["url"], bytes(r["payload"])) for r in warc.resolved(warc.read(index, folder)).collect()}
+    assert whole == {(p, u, (h or "").encode()) for p, u, h in rows}
     got = warc.read(index, folder).collect()
     size = lambda h: len((h or "").encode())
     sha = lambda h: hashlib.sha1((h or "").encode()).hexdigest()
@@ -249,6 +251,41 @@ def test_events_fold(spark):
     assert got == [(1, 0, "user", "hi"), (1, 1, "assistant", "right"), (1, 3, "user", "bye"), (2, 0, "assistant", "ab")]
 
 
+def fold(log):
+    """The same events folded one after the other; a role once named stays, whatever becomes of the text."""
+    talks, roles = {}, {}
+    for conv, _, turn, kind, role, text in sorted(log, key=lambda e: (str(e[0]), e[1], e[5] or "")):
+        turns = talks.setdefault(conv, {})
+        if kind == "regenerate":
+            for later in [t for t in turns if t > turn]:
+                del turns[later]
+        if role is not None:
+            roles[conv, turn] = role
+        turns[turn] = (turns.get(turn, "") if kind == "delta" else "") + (text or "")
+    return {(c, t, roles.get((c, t), ""), x) for c, turns in talks.items() for t, x in turns.items()}
+
+
+def test_random_logs_against_a_fold(spark):
+    rng = random.Random(41)
+    log = []
+    for conv in range(60):
+        for seq in range(rng.randint(1, 30)):
+            kind = rng.choice(["message", "delta", "delta", "delta", "edit", "regenerate", "odd"])
+            log.append((conv, seq, rng.randint(0, 4), kind, rng.choice([None, "user", "assistant"]), rng.choice([None, "", f"t{seq} "])))
+    want = fold(log)
+    rng.shuffle(log)
+    events = spark.createDataFrame(log, "conv_id long, seq long, turn long, kind string, role string, text string").repartition(4)
+    assert {tuple(r) for r in chat.reconstruct(events).collect()} == want
+
+
+def test_streamed_events_fold_to_the_turns(spark):
+    table = spark.createDataFrame([(*c, 1) for c in CHATS], "conv_id long, turn long, role string, text string, seq int")
+    events = chat.streamed_events(table)
+    assert {"message", "delta", "edit", "regenerate"} == {r[0] for r in events.select("kind").distinct().collect()}
+    read = lambda e: sorted(map(repr, chat.summary(chat.render(chat.reconstruct(e))).collect()))
+    assert read(events) == read(chat.turn_events(table))
+
+
 def vectors(n=600, dim=16):
     x = np.random.default_rng(1).normal(size=(n, dim)).astype(np.float32)
     rows = [(i, x[i].tolist()) for i in range(n)] + [(1000 + i, x[5].tolist()) for i in range(40)]

@@ -110,7 +110,7 @@ def slow_contamination(rows, items):
     return sorted(out)
 
 
-@pytest.mark.parametrize("block_words", [200_000, 12])
+@pytest.mark.parametrize("block_words", [1_000_000, 12])
 def test_contamination_against_brute_force(spark, texts, block_words):
     rows = [(t[0], t[1]) for t in texts] + [(400, "x The QUICK brown-fox jumps over the lazy dog; again and AGAIN today y"), (401, "a short one and w0 w1 w2 w3 w4 w5 w6 w7 w8 w9."), (402, "a b a b a b a b a b a b"), (403, "quick brown fox jumps over the lazy dog again"), (404, "shorté one"), (404, "short one")]
     docs, items = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(ITEMS, "item_id int, text string")
@@ -128,6 +128,53 @@ def test_proximity_matches(spark):
     assert decontaminate.phrase_matches(docs, items).count() == 0
 
 
+def test_proximity_matches_without_the_rarest_term(spark):
+    """A window with any two of its terms changed, its rarest one too, is still found; one with three changed is not."""
+    rng = random.Random(31)
+    item = [f"i{k}" for k in range(10)]
+    rows, wanted = [], set()
+    for d in range(60):
+        gone = rng.sample(range(10), rng.choice([0, 1, 2, 3, 4]))
+        words = [f"x{d}_{k}" if k in gone else w for k, w in enumerate(item)]
+        rng.shuffle(words)
+        rows.append((d, " ".join([f"b{rng.randint(0, 9)}" for _ in range(30)] + words + ["i9"] * (d % 3))))
+        wanted |= {d} if len(gone) <= 2 else set()
+    items = spark.createDataFrame([(1, " ".join(item))], "item_id int, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {r["doc_id"] for r in decontaminate.proximity_matches(docs, items).collect()}
+    assert wanted <= found and len(wanted) > 20
+    for d, text in rows:  # nothing else than places with eight different terms
+        words = text.split()
+        near = any(len(set(words[max(0, c - 9) : c + 10]) & set(item)) >= 8 for c in range(len(words)) if words[c] in item)
+        assert near or d not in found
+
+
+def test_phrases_at_every_place(spark):
+    """Starts of all occurrences, overlapping ones too, whatever the blocks."""
+    docs = spark.createDataFrame([(1, "a b " * 9), (2, "x a b a b a b a b a b x"), (3, "a b a b a b a b a")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "a b a b a b a b a b"), (None, "x a")], "item_id int, text string")
+    for block_words in (1, 25, 1000):
+        got = {(r["doc_id"], r["item_id"], r["start"]) for r in decontaminate.phrase_matches(docs, items, block_words=block_words).collect()}
+        assert got == {(1, 7, s) for s in (0, 2, 4, 6, 8)} | {(2, 7, 1), (2, None, 0)}
+
+
+def test_one_index_whatever_the_benchmark(spark, monkeypatch):
+    """The texts are read once, and no window that lacks a probe term goes to a block."""
+    docs = spark.createDataFrame([(i, f"w{i} common words stand in every text here and there now") for i in range(50)], "doc_id long, text string").repartition(4)
+    passes = []
+    real = decontaminate.positional_index
+    monkeypatch.setattr(decontaminate, "positional_index", lambda *a, **k: passes.append(1) or real(*a, **k))
+    items = spark.createDataFrame([(i, f"w{i} common words stand in every text here and there") for i in range(0, 200, 2)], "item_id int, text string")
+    got = decontaminate.contamination(docs, items).where("n_hit > 0").collect()
+    assert passes == [1] and {r["doc_id"] for r in got} == set(range(0, 50, 2)) and all(r["item_ids"] == [str(r["doc_id"])] for r in got)
+
+
+def test_clean_keeps_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "one two", "k", 1), (2, "three", "k", 2)], "doc_id long, text string, key string, block int")
+    items = spark.createDataFrame([(1, "two")], "item_id int, text string")
+    assert [tuple(r) for r in decontaminate.clean(docs, items).collect()] == [(2, "three", "k", 2)]
+
+
 def test_contamination_of_nothing(spark, docs, no_docs):
     none = spark.createDataFrame([], "item_id int, text string")
     assert decontaminate.contamination(docs, none).where("n_hit > 0").count() == 0
