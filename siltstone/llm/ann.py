@@ -1,12 +1,15 @@
 """Approximate nearest neighbours with a permutation index.
 
-Pivots are drawn from a bounded sample.  Every vector is represented by the order of
-the pivots by distance (its permutation) and posted in the inverted files of its
+Pivots are drawn from a bounded sample; their number grows with the square root of the number
+of vectors.  Every vector is represented by the order of its LENGTH nearest
+pivots (its permutation) and posted in the inverted files of its
 ``post`` nearest pivots.  A query visits the files of its ``visit`` nearest
-pivots, ranks the vectors there by the footrule distance of the permutations,
+pivots, ranks the vectors there by the footrule distance of the permutations (a pivot that is not
+among the nearest counts as the next place),
 and reranks the best ``rerank`` share of each file by exact Euclidean distance in
 double precision.  A vector that is posted in several visited files is looked at in the one
-that comes first for the query.
+that comes first for the query.  Visits grow with the square root of the number of pivots, so the share
+of all vectors that a query meets falls as the table grows.
 
 Files are split into blocks of about BLOCK vectors by a hash of the row, and the
 queries of a file into blocks of about QUERY_BLOCK, so a popular pivot (or one vector in a
@@ -22,6 +25,7 @@ result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil, isqrt, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +35,11 @@ from pyspark.sql import types as T
 
 from .common import stored
 
-PIVOTS = 128
-SAMPLE = 4096
+LEAST_PIVOTS, MOST_PIVOTS = 128, 4096
+LENGTH = 64
+SAMPLE = 8192
 POST = 8
-VISIT = 28
-RERANK = 0.2
+RERANK = 0.35
 #: Vectors of a block that are reranked at least.
 LEAST_RERANK = 100
 BLOCK = 4096
@@ -55,11 +59,21 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(F.size("vector") == (lengths[0]["n"] if lengths else 0))
 
 
-def draw_pivots(rows: DataFrame, pivots: int = PIVOTS, sample: int = SAMPLE) -> np.ndarray:
+def pivot_count(total: int) -> int:
+    """Pivots for so many vectors: four times their square root, rounded up to a power of two, within bounds."""
+    return min(MOST_PIVOTS, max(LEAST_PIVOTS, 1 << max(0, 4 * isqrt(total) - 1).bit_length()))
+
+
+def visit_count(pivots: int) -> int:
+    return ceil(1.4 * sqrt(pivots))
+
+
+def draw_pivots(rows: DataFrame, pivots: int | None = None, sample: int = SAMPLE) -> np.ndarray:
     """Distinct vectors from a sample of about ``sample`` rows with the smallest hashes."""
     total = rows.count()
     if not total:
         return np.zeros((0, 0))
+    pivots = pivots or pivot_count(total)
     share = min(1.0, sample / total)
     h = F.xxhash64("vec_id", "uid")
     chosen = rows.where(h <= F.lit(min(int(share * 2**64) - 2**63, 2**63 - 1))).select(h.alias("h"), "vector")
@@ -68,15 +82,23 @@ def draw_pivots(rows: DataFrame, pivots: int = PIVOTS, sample: int = SAMPLE) ->
     return np.array(distinct) if distinct else draw_pivots(rows, pivots, total)
 
 
-def _place_type(pivots: int) -> type:
-    return np.uint8 if pivots <= 256 else np.uint32
+def permutations(x: np.ndarray, pivots: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """The ``length`` nearest pivots of each row of x from nearest to farthest; ties by pivot number."""
+    x = x.astype(np.float64)
+    square = (pivots * pivots).sum(axis=1)[None] - 2 * x @ pivots.T  # less what is the same for all pivots
+    if length < len(pivots):
+        near = np.sort(np.argpartition(square, length - 1, axis=1)[:, :length], axis=1)
+        near = np.take_along_axis(near, np.argsort(np.take_along_axis(square, near, 1), axis=1, kind="stable"), 1)
+    else:
+        near = np.argsort(square, axis=1, kind="stable")
+    return near.astype(np.uint16)
 
 
-def permutations(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """The pivots of each row of x from nearest to farthest; ties by pivot number."""
-    x = x.astype(np.float64)
-    square = (x * x).sum(axis=1)[:, None] + (pivots * pivots).sum(axis=1)[None] - 2 * x @ pivots.T
-    return np.argsort(square, axis=1, kind="stable").astype(_place_type(len(pivots)))
+def places(order: np.ndarray, pivots: int) -> np.ndarray:
+    """The place of every pivot in each permutation; of those it does not hold, the one after its last."""
+    out = np.full((len(order), pivots), order.shape[1], dtype=np.int16)
+    np.put_along_axis(out, order.astype(np.int64), np.arange(order.shape[1], dtype=np.int16)[None].repeat(len(order), 0), 1)
+    return out
 
 
 def _post(rows: DataFrame, pivots: np.ndarray, count: int, blocks: dict[int, int], chunks: dict[int, int], query: bool) -> DataFrame:
@@ -128,40 +150,40 @@ def _matrix(column: pa.ChunkedArray, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).reshape(len(column), -1)
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = PIVOTS, post: int = POST, visit: int = VISIT, rerank: float = RERANK, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int | None = None, post: int = POST, visit: int | None = None, rerank: float = RERANK, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found of every row for which is_query (a condition on vec_id) holds."""
     rows = usable(vectors, id_col, vector_col)
     centres = draw_pivots(rows, pivots)
     queries = rows.where(is_query)
     if not len(centres):
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score")).where("false")
-    post, visit = min(post, len(centres)), min(visit, len(centres))
+    length = min(LENGTH, len(centres))
+    post, visit = min(post, length), min(visit or visit_count(len(centres)), length)
     blocks = {f: max(1, -(-n // block)) for f, n in _file_sizes(rows, centres, post).items()}
     chunks = {f: max(1, -(-n // query_block)) for f, n in _file_sizes(queries, centres, visit).items()}
 
     number = np.float32 if rows.schema["vector"].dataType.elementType == T.FloatType() else np.float64
-    place_type = _place_type(len(centres))
 
     def run(posted: pa.Table, asked: pa.Table) -> pa.Table:
         out: list[list] = [[], [], [], []]
         if len(posted) and len(asked):
             file = posted["file"][0].as_py()
             uid, vec_id = posted["uid"].to_numpy(), np.array(posted["vec_id"].to_pylist(), dtype=object)
-            x, order = _matrix(posted["vector"], number).astype(np.float64), _matrix(posted["permutation"], place_type)
-            size = order.shape[1]
-            place = np.empty(order.shape, dtype=np.int32)
-            np.put_along_axis(place, order.astype(np.int64), np.arange(size, dtype=np.int32)[None].repeat(len(order), 0), 1)
+            x, order = _matrix(posted["vector"], number).astype(np.float64), _matrix(posted["permutation"], np.uint16)
+            place = places(order, len(centres))
             files_of = order[:, :post]
             by_id = np.array([(1, 0) if i is None else (0, i) for i in vec_id], dtype=np.int64)
-            for q_uid, q_id, q, q_order in zip(asked["uid"].to_pylist(), asked["vec_id"].to_pylist(), _matrix(asked["vector"], number).astype(np.float64), _matrix(asked["permutation"], place_type), strict=True):
-                q_place = np.empty(size, dtype=np.int32)
-                q_place[q_order] = np.arange(size, dtype=np.int32)
+            for q_uid, q_id, q, q_order in zip(asked["uid"].to_pylist(), asked["vec_id"].to_pylist(), _matrix(asked["vector"], number).astype(np.float64), _matrix(asked["permutation"], np.uint16), strict=True):
+                q_place = places(q_order[None], len(centres))[0]
                 here = np.flatnonzero((q_place[files_of].min(axis=1) == q_place[file]) & (uid != q_uid))
                 if not len(here):
                     continue
                 most = max(LEAST_RERANK, int(np.ceil(rerank * len(here))))
                 if len(here) > most:
-                    footrule = np.abs(place[here] - q_place).sum(axis=1, dtype=np.int64)
+                    # Pivots that neither holds add nothing, so the query's own and the entries' nearest ones are all that count.
+                    own = np.abs(place[np.ix_(here, q_order)] - q_place[q_order]).sum(axis=1, dtype=np.int64)
+                    theirs = np.where(q_place[order[here]] == length, length - np.arange(length), 0).sum(axis=1, dtype=np.int64)
+                    footrule = own + theirs
                     here = here[np.lexsort((by_id[here, 1], by_id[here, 0], footrule))[:most]]
                 score = np.sqrt(((x[here] - q) ** 2).sum(axis=1))
                 best = np.lexsort((by_id[here, 1], by_id[here, 0], score))[:k]

@@ -2,15 +2,14 @@
 
 A document's fingerprint has 64 bits.  Two fingerprints with at most three
 differing bits differ in at most three of their eight bytes, so they share at
-least five positional bytes.  Posting every fingerprint under each single byte
-would give lists that grow with the corpus, so postings hold four positional
-bytes at once, for the 14 position sets of BLOCKS: any three positions lie in
-exactly one of the sets, and its complement, which is a set too, holds four
-positions at which the two agree.  Candidates are pairs that meet in a list;
-their shared positional bytes are tallied, those with the guaranteed five stay
-and are verified bit by bit.  Lists longer than LIST_LIMIT are split by the
-same rule over the eight half-bytes of the four bytes that they leave open, so
-no list needs to be cut.
+least least five positional bytes.  Posting every fingerprint under each single byte
+would give lists that grow with the corpus, so a posting holds four positional
+bytes at once, for the 28 position sets of BLOCKS: two disjoint Steiner systems S(3, 4, 8), in
+which any five positions hold exactly two of the sets and four positions at most one.  The
+lists in which a pair meets are tallied: two, the guaranteed minimum, say that five
+positional bytes are shared, one that only four are.  Pairs that reach the minimum
+are verified bit by bit, others never are.  Lists longer than LIST_LIMIT are split, for pairs in
+reach, over the eight half-bytes of the four bytes that they leave open, so no list needs to be cut.
 
 Exact copies share a fingerprint and meet as one entry.  Edge cases: null and
 empty texts have fingerprint zero and link like any other; repeated rows are
@@ -21,7 +20,7 @@ has none; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, permutations
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +34,22 @@ from .common import components, free_name, row_key, skew_lookup, stored
 MAX_DISTANCE = 3
 SHINGLE = 3
 SEED = 42
-#: Position sets: the 4-subsets of 0..7 whose members XOR to zero, a Steiner system S(3, 4, 8).
-BLOCKS = [b for b in combinations(range(8), 4) if b[0] ^ b[1] ^ b[2] ^ b[3] == 0]
+#: The 4-subsets of 0..7 whose members XOR to zero, a Steiner system S(3, 4, 8): any three positions are missed by one of the sets.
+SYSTEM = [b for b in combinations(range(8), 4) if b[0] ^ b[1] ^ b[2] ^ b[3] == 0]
+
+
+def _disjoint(system: list[tuple[int, ...]]) -> list[tuple[int, ...]]:
+    """The image of a system under the first permutation of positions that leaves none of its sets."""
+    for p in permutations(range(8)):
+        image = [tuple(sorted(p[i] for i in b)) for b in system]
+        if not set(image) & set(system):
+            return image
+    raise ValueError("no disjoint image")
+
+
+#: Position sets of the postings, and the lists in which a pair with five positional bytes in common meets at least.
+BLOCKS = SYSTEM + _disjoint(SYSTEM)
+LEAST_LISTS = 2
 LIST_LIMIT = 1000
 _CHUNK = 1 << 16
 
@@ -99,13 +112,13 @@ def _split(postings: DataFrame) -> DataFrame:
     for i, b in enumerate(BLOCKS):
         left = [p for p in range(8) if p not in b]
         rest = F.when(F.col("block") == i, F.shiftleft(_joined([_field(fp, p, 8) for p in left], 8), 32)).otherwise(rest)
-    keys = [F.struct(F.lit(i).alias("part"), _joined([_field(F.col("rest"), p, 4) for p in b], 4).alias("subkey")) for i, b in enumerate(BLOCKS)]
+    keys = [F.struct(F.lit(i).alias("part"), _joined([_field(F.col("rest"), p, 4) for p in b], 4).alias("subkey")) for i, b in enumerate(SYSTEM)]
     open_bytes = postings.withColumn("rest", rest)
     return open_bytes.select("fp", "block", "key", F.explode(F.array(*keys)).alias("e")).select("fp", "block", "key", "e.part", "e.subkey")
 
 
-def links(fps: DataFrame, list_limit: int = LIST_LIMIT) -> DataFrame:
-    """Pairs (u, v), u < v, of distinct fingerprints fp with at most MAX_DISTANCE differing bits."""
+def candidates(fps: DataFrame, list_limit: int = LIST_LIMIT) -> DataFrame:
+    """Pairs (u, v), u < v, of distinct fingerprints fp that meet in LEAST_LISTS lists or more."""
     postings = stored(_postings(fps), "postings")
     counts = postings.groupBy("block", "key").count()
     lists = counts.where("count > 1").select("block", "key", (F.col("count") > list_limit).alias("long_list"))
@@ -113,10 +126,14 @@ def links(fps: DataFrame, list_limit: int = LIST_LIMIT) -> DataFrame:
     short = met.where("not long_list").select("fp", "block", "key", F.lit(-1).alias("part"), F.lit(0).cast("long").alias("subkey"))
     entries = short.unionByName(_split(met.where("long_list").drop("long_list")))
     a, b = entries.withColumnRenamed("fp", "u"), entries.withColumnRenamed("fp", "v")
-    u, v = F.col("u"), F.col("v")
-    shared = sum(((_field(u, p, 8) == _field(v, p, 8)).cast("int") for p in range(8)), F.lit(0))
-    pairs = a.join(b, ["block", "key", "part", "subkey"]).where((u < v) & (shared >= 8 - MAX_DISTANCE) & (F.bit_count(u.bitwiseXOR(v)) <= MAX_DISTANCE))
-    return pairs.select("u", "v").distinct()
+    meetings = a.join(b, ["block", "key", "part", "subkey"]).where("u < v").select("u", "v", "block")
+    # A pair may meet in several parts of a split list, which count as one.
+    return meetings.groupBy("u", "v").agg(F.countDistinct("block").alias("lists")).where(F.col("lists") >= LEAST_LISTS).select("u", "v")
+
+
+def links(fps: DataFrame, list_limit: int = LIST_LIMIT) -> DataFrame:
+    """Pairs (u, v), u < v, of distinct fingerprints fp with at most MAX_DISTANCE differing bits."""
+    return candidates(fps, list_limit).where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= MAX_DISTANCE)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

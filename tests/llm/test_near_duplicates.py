@@ -67,12 +67,35 @@ def test_links_whatever_the_list_limit(spark, limit):
     assert {tuple(r) for r in got.collect()} == want and want
 
 
-def test_blocks_cover_every_three_positions():
+def test_position_sets():
     from itertools import combinations
 
-    assert len(simhash.BLOCKS) == 14
+    assert len(set(simhash.BLOCKS)) == 28 and len(simhash.SYSTEM) == 14
     for gone in combinations(range(8), 3):
-        assert any(not set(b) & set(gone) for b in simhash.BLOCKS)
+        assert sum(not set(b) & set(gone) for b in simhash.BLOCKS) == simhash.LEAST_LISTS
+        assert sum(not set(b) & set(gone) for b in simhash.SYSTEM) == 1
+
+
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_pairs_below_the_minimum_are_never_verified(spark, limit):
+    """Candidates share five positional bytes at least; all pairs in reach are among them."""
+    rng = random.Random(3)
+    fps = set()
+    for _ in range(8):
+        base = rng.getrandbits(64)
+        fps.add(base)
+        for _ in range(12):  # the same bytes but for three or four positions
+            x = base
+            for p in rng.sample(range(8), rng.choice([3, 4])):
+                x ^= (1 << rng.randrange(8)) << (8 * p)
+            fps.add(x)
+    signed = sorted(f - (1 << 64) if f >> 63 else f for f in fps)
+    shared = lambda a, b: sum((a >> 8 * p & 255) == (b >> 8 * p & 255) for p in range(8))
+    got = {tuple(r) for r in simhash.candidates(spark.createDataFrame([(s,) for s in signed], "fp long"), limit).collect()}
+    five = {(a, b) for i, a in enumerate(signed) for b in signed[i + 1 :] if shared(a, b) >= 5}
+    near = {(a, b) for a, b in five if bin((a ^ b) & (2**64 - 1)).count("1") <= 3}
+    assert got <= five and near <= got and near and (limit == 0 or got == five)
+    assert any(shared(a, b) == 4 for i, a in enumerate(signed) for b in signed[i + 1 :])
 
 
 def test_components_of_a_long_path(spark):

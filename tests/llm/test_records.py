@@ -330,6 +330,35 @@ def test_search_exhausts_small_tables(spark):
     assert [(r["rank"], r["vec_id"], r["score"]) for r in got] == [(i, 100 * (i + 1), float(i)) for i in range(1, 7)]
 
 
+def test_footrule_of_nearest_pivots():
+    """Places, and the order of the nearest pivots, against a full sort."""
+    rng = np.random.default_rng(3)
+    x, pivots = rng.normal(size=(50, 8)), rng.normal(size=(40, 8))
+    full = np.argsort(((x[:, None] - pivots[None]) ** 2).sum(axis=2), axis=1, kind="stable")
+    near = ann.permutations(x, pivots, 12)
+    assert (near == full[:, :12]).all() and (ann.permutations(x, pivots, 64) == full).all()
+    place = ann.places(near, 40)
+    for i in range(50):
+        assert [place[i, p] for p in near[i]] == list(range(12)) and sorted(place[i])[12:] == [12] * 28
+
+
+def test_search_recall_at_more_vectors(spark):
+    """Clustered vectors in double precision, null ids among them; recall against brute force."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 24))[rng.integers(0, 60, 3000)] + 0.6 * rng.normal(size=(3000, 24))
+    rows = [(i if i % 7 else (None if i % 700 == 7 else i), v.tolist()) for i, v in enumerate(x)] + [(None, x[5].tolist())]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), F.col("vec_id") % 100 == 0).collect()
+    found = {}
+    for r in got:
+        found.setdefault(r["query_id"], []).append((r["score"], r["vec_id"]))
+    hits = 0
+    for q, near in found.items():
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        hits += len({i for _, i in near} & set(np.argsort(d, kind="stable")[:10].tolist()))
+    assert len(found) == 30 and all(len(n) == 10 for n in found.values()) and hits >= 0.9 * 300
+
+
 def test_search_nothing(spark):
     none = spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")
     assert ann.search(none, F.col("vec_id") > 0).count() == 0
