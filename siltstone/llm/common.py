@@ -39,7 +39,7 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
 
 def _stored_at(df: DataFrame, path: str) -> DataFrame:
     with small_batches(df.sparkSession):
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -9,7 +9,7 @@ of this template belongs to it, the others stand for themselves.
 
 A template that occurs in at least MIN_DOCS documents is recurring.  Its first
 occurrence (smallest doc_id, then line number) stays, the others are dropped.  Lines with fewer than
-MIN_TOKENS tokens are too short for a template and stay; with ``short`` they recur as they are, digits included.
+MIN_TOKENS tokens are too short for a template; with ``short`` they recur as they are, digits included, else they stay.
 
 Only hashes, ids and line numbers of lines are shuffled, plus the patterns of leaves with more
 than one; a line that fills a third of the corpus is dealt over many tasks.
@@ -87,17 +87,21 @@ def templates(lines: DataFrame, index: DataFrame, min_docs: int, similar: float)
     constant = F.when(F.col("top.docs") * 2 >= F.col("leaf_docs"), F.col("top.token"))
     template = top.select("leaf", "at", constant.alias("token")).groupBy("leaf").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "token"))), lambda x: x["token"]).alias("template"))
     agree = F.size(F.filter(F.zip_with("template", F.split("pattern", " "), lambda a, b: F.coalesce(a == b, F.lit(False))), lambda x: x))
-    general = texts.join(template, "leaf").where(agree >= F.col("tokens") * F.lit(similar)).select("shape", F.lit(True).alias("general"))
+    sizes = texts.groupBy("leaf").agg(F.count("*").alias("w"))
+    held = skew_lookup(texts, template.join(sizes, "leaf"), "leaf", "w", F.xxhash64("shape"))
+    general = held.where(agree >= F.col("tokens") * F.lit(similar)).select("shape", F.lit(True).alias("general"))
 
     grouped = patterns.join(general, "shape", "left").withColumn("template", F.when(F.col("general"), F.hex(F.col("leaf"))).otherwise(F.hex("shape")))
     # Documents of a general template are counted once, whichever of its patterns they hold.
     merged = stored(grouped.where("general").select("shape", "template", "docs"), "general-patterns")
     held = skew_lookup(index.select("shape", "doc").distinct(), merged, "shape", "docs", F.xxhash64("doc")).where("template is not null")
     docs_of = held.select("template", "doc").distinct().groupBy("template").agg(F.count("*").alias("template_docs"))
-    alone = grouped.where("general is null and docs >= " + str(min_docs)).select("shape", "n", "first")
-    firsts = grouped.where("general").groupBy("template").agg(F.min("first").alias("template_first"))
-    shared = grouped.where("general").join(docs_of.where(F.col("template_docs") >= min_docs), "template").join(firsts, "template").select("shape", "n", F.col("template_first").alias("first"))
-    return alone.unionByName(shared).select("shape", "n", F.col("first.doc").alias("first_doc"), F.col("first.line").alias("first_line"))
+    alone = grouped.where("general is null and docs >= " + str(min_docs)).select("shape", "n", F.col("first.doc").alias("first_doc"), F.col("first.line").alias("first_line"))
+    firsts = grouped.where("general").groupBy("template").agg(F.min("first").alias("template_first"), F.count("*").alias("w"))
+    recurring = stored(firsts.join(docs_of.where(F.col("template_docs") >= min_docs).select("template"), "template", "left_semi").select("template", "w", F.col("template_first.doc").alias("first_doc"), F.col("template_first.line").alias("first_line")), "recurring-templates")
+    # A template may have most of all patterns.
+    shared = skew_lookup(grouped.where("general").drop("first"), recurring, "template", "w", F.xxhash64("shape")).where("first_doc is not null").select("shape", "n", "first_doc", "first_line")
+    return alone.unionByName(shared)
 
 
 def prefix_of(docs: DataFrame) -> str:

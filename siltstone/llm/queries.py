@@ -33,7 +33,7 @@ def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), short=True)
     return found.select("doc_id", "text", F.col("_ld_lines").alias("n_lines"), F.col("_ld_dropped").alias("n_dropped"))
 
 
@@ -41,9 +41,11 @@ _OP2_SQL = r"""
 with x as (
   select doc_id, unnest(string_split(text, chr(10))) as raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line from documents where text is not null
 ), z as (
-  select doc_id, line, raw, list_transform(string_split(trim(regexp_replace(raw, '[ \t\r\f\x0B]+', ' ', 'g'), ' '), ' '), lambda t: case when regexp_matches(t, '[0-9]') then '<*>' else t end) as toks from x
+  select doc_id, line, raw, folded, list_transform(string_split(folded, ' '), lambda t: case when regexp_matches(t, '[0-9]') then '<*>' else t end) as toks
+  from (select *, trim(regexp_replace(raw, '[ \t\r\f\x0B]+', ' ', 'g'), ' ') as folded from x)
 ), p as (
-  select doc_id, line, toks, len(toks) as n, array_to_string(toks, ' ') as pattern, concat(len(toks), '|', array_to_string(toks[1:3], ' ')) as leaf from z where len(toks) >= 4
+  select doc_id, line, toks, len(toks) as n, case when len(toks) >= 4 then array_to_string(toks, ' ') else folded end as pattern,
+    case when len(toks) >= 4 then concat(len(toks), '|', array_to_string(toks[1:3], ' ')) else concat('s|', folded) end as leaf from z where folded <> ''
 ), leafs as (
   select leaf, count(distinct doc_id) as leaf_docs, count(distinct pattern) as patterns from p group by 1
 ), pat as (
