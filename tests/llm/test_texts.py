@@ -198,6 +198,40 @@ def test_language_id_held_out_accuracy(spark):
     assert by_id[1000] == by_id[1001] == by_id[1002] == by_id[1004] == ("und", 0.0) and by_id[1003][0] == rows[1][2]
 
 
+def test_votes_against_a_plain_count():
+    """One-versus-one voting restated: every pair votes, ties go to the larger sum of margins, then to the first label."""
+    rng = np.random.default_rng(5)
+    labels = ["a", "b", "c", "d", "e"]
+    pairs = [(i, j) for i in range(5) for j in range(i + 1, 5)]
+    for _ in range(200):
+        weights = rng.normal(size=(len(pairs), 7)).round(1)
+        x = rng.normal(size=6).round(1)
+        votes, sums, weakest = dict.fromkeys(labels, 0), dict.fromkeys(labels, 0.0), dict.fromkeys(labels, np.inf)
+        for (i, j), w in zip(pairs, weights, strict=True):
+            m = float(w[:-1] @ x + w[-1])
+            votes[labels[i] if m >= 0 else labels[j]] += 1
+            for label, s in ((labels[i], m), (labels[j], -m)):
+                sums[label] += s
+                weakest[label] = min(weakest[label], s)
+        best = max(labels, key=lambda v: (votes[v], round(sums[v], 9), -labels.index(v)))
+        got, score = langid.Votes(labels, np.array(pairs), weights).predict(x)
+        assert got == best and score == pytest.approx(1 / (1 + np.exp(-4 * weakest[best])))
+
+
+def test_svm_separates_and_weighs_errors():
+    """Separable points are separated; the weights are those of the same loss minimised by plain gradient descent."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(80, 3)).astype(np.float32)
+    y = np.where(x @ np.array([1.0, -2.0, 0.5]) + 0.3 * rng.normal(size=80) > 0, 1.0, -1.0)
+    w = langid.train_svm(x, y, cost=1.0, rounds=500)
+    full = np.hstack([x, np.ones((80, 1))])
+    slow = np.zeros(4)
+    for _ in range(20_000):
+        slack = np.maximum(0, 1 - y * (full @ slow))
+        slow -= 0.002 * (slow - 2 * (full * (y * slack)[:, None]).sum(axis=0))
+    assert np.allclose(w, slow, atol=0.02)
+
+
 def test_language_id_with_nothing_to_learn(spark, docs, no_docs):
     assert langid.fit(no_docs) is None
     out = langid.classify(docs, langid.fit(docs.where("lang = 'xx'")), ["doc_id"])
