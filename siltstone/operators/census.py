@@ -30,13 +30,6 @@ def universe(census: DataFrame, category: str = "category") -> DataFrame:
     return census.select(category).distinct()
 
 
-def to_json(census: DataFrame, totals: DataFrame, source: str, cutoff: str) -> DataFrame:
-    """One row a month: ym and its JSON object {n, max_day, counts}; an envelope is written by to_document()."""
-    counts = census.groupBy("ym").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "n")))).alias("counts"))
-    months = totals.join(counts, "ym", "left")
-    return months.select("ym", F.to_json(F.struct("n", "max_day", "counts")).alias("month"), F.lit(source).alias("source"), F.lit(cutoff).alias("cutoff"))
-
-
 def to_document(census: DataFrame, totals: DataFrame, source: str, cutoff: str, built_at: str) -> DataFrame:
     """The nested document of the whole census, one row; its size is months times categories."""
     counts = census.groupBy("ym").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "n")))).alias("counts"))

@@ -55,10 +55,6 @@ def remainder_sample(rows: DataFrame, taken: DataFrame, condition: Column, n: in
     return uniform_sample(rows.where(condition).join(taken.select(key), key, "left_anti"), n, key, seed)
 
 
-def shuffled(rows: DataFrame, key: str, seed: int) -> DataFrame:
-    return rows.orderBy(hash_order(F.col(key), seed), key)
-
-
 def train_val_split(rows: DataFrame, label: str, key: str, seed: int, val_share: float = 0.15) -> DataFrame:
     """Column split: val for the first val_share of every class in hash order, by rounding up; a class of one row trains.
 

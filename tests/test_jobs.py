@@ -318,3 +318,26 @@ def test_null_hardness_is_a_slice_of_its_own(spark):
 
     rows = spark.createDataFrame([(True, True), (False, False), (None, True)], "is_hard boolean, correct boolean")
     assert {(r["slice"], r["n"], r["k"]) for r in accuracy_slices(rows).collect()} == {("all", 3, 2), ("hard", 1, 1), ("easy", 1, 0), ("missing", 1, 1)}
+
+
+def test_probe_and_download(tmp_path):
+    import functools
+    import http.server
+    import threading
+    import zipfile
+
+    (tmp_path / "web").mkdir()
+    with zipfile.ZipFile(tmp_path / "web" / "FLAT_X.zip", "w") as z:
+        z.writestr("FLAT_X.txt", "1\tO1\n")
+    quiet = type("Quiet", (http.server.SimpleHTTPRequestHandler,), {"log_message": lambda *_: None})
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), functools.partial(quiet, directory=str(tmp_path / "web")))
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/FLAT_X.zip"
+    try:
+        head = readers.probe(url)
+        meta = readers.download(url, str(tmp_path / "in"))
+    finally:
+        server.shutdown()
+    assert head["status"] == 200 and head["error"] is None and readers.unchanged(head, meta)
+    assert meta["bytes"] == (tmp_path / "web" / "FLAT_X.zip").stat().st_size and not list((tmp_path / "in").glob("*.part"))
+    assert readers.pick_text_file(str(tmp_path / "in")).endswith("FLAT_X.txt")
