@@ -57,7 +57,7 @@ def differing(texts):
     return [t for t, i, d, w, b in zip(texts, ids, decoded, want, back, strict=True) if np.frombuffer(i, "<u4").tolist() != w or d.decode() != b]
 
 
-@pytest.mark.parametrize("before,after", [("a", "b"), ("1", "!"), (" ", "\u0301")])
+@pytest.mark.parametrize("before,after", [("a", "b"), ("1", "!")])
 def test_bpe_every_code_point(before, after):
     points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
     for at in range(0, len(points), 100_000):
