@@ -7,15 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, decontaminate, html_extract, langid, line_dedup, simhash, substring, warc
+from . import align, ann, bpe, chat, decontaminate, html_extract, langid, line_dedup, merkle, simhash, substring, topk, warc
 
 TOKENIZER = "word_bpe_49k.json"
+ALIGNED = ("byte_bpe_50k.json", "piece_bpe_32k.model")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -173,6 +174,78 @@ select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit,
 from d left join h using (doc_id) left join t using (doc_id)
 """
 
+def op11_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+_OP11_SQL = """
+with v as (
+  select row_number() over () as uid, vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as q from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select a.uid, a.vec_id as query_id, b.vec_id, cast(list_dot_product(a.q, b.q) as bigint) as score from v a join v b on a.uid <> b.uid where a.vec_id % 50 = 0
+), r as (
+  select *, row_number() over (partition by uid order by score desc, vec_id) as rank from s
+)
+select query_id, cast(rank as int) as rank, vec_id, score from r where rank <= 5
+"""
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(_table(spark, sf_dir, "documents"), *map(tokenizer_path, ALIGNED))
+
+
+LEAF_COLUMNS = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select(*LEAF_COLUMNS)
+    struck = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.lit(False))
+    n_chars = F.col("n_chars").cast("decimal(38,0)")
+    return merkle.manifest(docs, LEAF_COLUMNS, changed={"n_chars": F.when(struck, n_chars + 1).otherwise(n_chars)})
+
+
+_OP13_SQL = """
+with recursive crc as (
+  select list_transform(range(256), lambda b: list_reduce(range(8), lambda c, i: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, cast(b as bigint))) as t
+), sized as (
+  select doc_id, lang, n_chars, coalesce(strlen(cast(doc_id as varchar)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') as head,
+    coalesce(strlen(text) || ':' || text, '-') as tail,
+    coalesce(xor(list_reduce(list_transform(string_split(cast(doc_id as varchar), ''), lambda s: cast(ascii(s) as bigint)), lambda c, b: xor(t[xor(c, b) % 256 + 1], c >> 8), 4294967295), 4294967295) % 7 = 0, false) as struck
+  from documents, crc
+), leaves as (
+  select row_number() over () as uid, doc_id, lang, sha256(head || coalesce(strlen(cast(n_chars as varchar)) || ':' || n_chars, '-') || tail) as leaf,
+    sha256(head || coalesce(strlen(cast(n_chars + cast(struck as int) as varchar)) || ':' || (n_chars + cast(struck as int)), '-') || tail) as now
+  from sized
+), placed as (
+  select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as i, count(*) over (partition by lang) as n, dense_rank() over (order by lang nulls first) - 1 as g from leaves
+), up as (
+  select g, 0 as level, i, n, leaf as h from placed
+  union all
+  select * from (select g, any_value(level) + 1, i // 2, any_value((n + 1) // 2), sha256(string_agg(h, '' order by i)) from up where n > 1 group by g, i // 2)
+), roots as (
+  select g, h as subroot, count(*) over () as n, level as height from up where n = 1
+), top as (
+  select 0 as level, g as i, n, subroot as h from roots
+  union all
+  select * from (select any_value(level) + 1, i // 2, any_value((n + 1) // 2), sha256(string_agg(h, '' order by i)) from top where n > 1 group by i // 2)
+), step as (
+  select p.uid, u.level, case when s.h is not null then (p.i >> u.level) & 1 end as side, s.h as sibling
+  from placed p join (select distinct g, level from up where n > 1) u using (g) left join up s on s.g = p.g and s.level = u.level and s.i = xor(p.i >> u.level, 1)
+  union all
+  select p.uid, r.height + t.level, case when s.h is not null then (p.g >> t.level) & 1 end, s.h
+  from placed p join roots r using (g) cross join (select distinct level from top where n > 1) t left join top s on s.level = t.level and s.i = xor(p.g >> t.level, 1)
+), path as (
+  select uid, list(struct_pack(side := side, h := coalesce(sibling, '')) order by level) as steps from step group by uid
+), folded as (
+  select p.*, roots.subroot, (select h from top where n = 1) as root, coalesce(steps, []) as steps,
+    coalesce(list_reduce(list_transform(steps, lambda s: struct_pack(side := s.side, h := s.h)), lambda acc, s: struct_pack(side := 0, h := sha256(case when s.side = 1 then s.h || acc.h else acc.h || s.h end)), struct_pack(side := 0, h := now)).h, now) as folded_root
+  from placed p join roots using (g) left join path using (uid)
+)
+select doc_id, leaf, subroot, root, sha256(list_aggregate(list_transform(steps, lambda s: s.h), 'string_agg', '')) as proof_sha256, folded_root, folded_root = root as verified from folded
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extract": op1_html_extract,
     "op2_line_dedup": op2_line_dedup,
@@ -184,6 +257,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_simhash": op7_simhash,
     "op8_warc": op8_warc,
     "op9_substring": op9_substring,
+    "op11_exact_topk": op11_exact_topk,
+    "op12_tokenizer_alignment": op12_tokenizer_alignment,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
-ORACLES: dict[str, str] = {"op2_line_dedup": _OP2_SQL, "op10_decontaminate": _OP10_SQL, "op5_chat": _OP5_SQL, "op8_warc": _OP8_SQL}
+ORACLES: dict[str, str] = {"op2_line_dedup": _OP2_SQL, "op10_decontaminate": _OP10_SQL, "op5_chat": _OP5_SQL, "op8_warc": _OP8_SQL, "op11_exact_topk": _OP11_SQL, "op13_merkle_manifest": _OP13_SQL}
