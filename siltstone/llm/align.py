@@ -39,6 +39,8 @@ from .warc import filesystem
 
 #: Chunks that a task remembers, beside those of one batch.
 MEMORY = 200_000
+#: Texts that are cut, and chunks that are tokenized, at once.
+TEXTS, CHUNKS = 256, 8192
 #: Keys that a task holds before it folds equal ones, and different ones before it hands them on.
 FOLD = 4_000_000
 SHIFT = 32
@@ -46,8 +48,6 @@ SHIFT = 32
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 #: Such a line end.
 _LINE = re.compile(r"\n\S")
-#: White space other than a single space or line end between two other characters.
-_UNEVEN = re.compile(r"\s\s|^\s|\s\Z|[^\S \n]")
 #: Links of a group beyond which its equal ids are counted first.
 LARGE = 4096
 _LINKS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, keys binary, times binary"
@@ -98,7 +98,7 @@ class Tokenizers:
 
 def split(text: str) -> list[str]:
     """Chunks that begin with a line end and another character, and others without the space they begin with."""
-    if not _UNEVEN.search(text):
+    if " ".join(text.split()) == text.replace("\n", " "):  # single spaces and line ends between other characters
         return text.replace("\n", " \n").split(" ")
     out = [c if _LINE.match(c) else c[1:] for c in _CUT.split(" " + text)]
     return ["", *out] if _LINE.match(out[0]) else out
@@ -112,22 +112,33 @@ class Aligner:
         # An id as it is shown before another one of its side, before the other side, and at the end of a group.
         both = [str(i) for i in range(len(tokenizers.a_bytes))], [str(i) for i in range(len(tokenizers.b_bytes))]
         self.shapes = np.array([f"{i}{mark}" for side, marks in zip(both, (",|", ",;"), strict=True) for mark in marks for i in side], dtype=object)
-        self._forget()
-
-    def _forget(self) -> None:
         self.index: dict[str, int] = {}
         self.shown: list[str] = []
         self.size = 0
-        #: n_a, n_b, n_groups, n_links, bad, first key, number of keys of each chunk.
-        self.stats = np.zeros((7, 0), dtype=np.int64)
+        #: n_a, n_b, n_groups, n_links, bad, first key, number of keys, uses of each chunk.
+        self.stats = np.zeros((8, 0), dtype=np.int64)
         self.keys, self.times = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
 
+    def _forget(self) -> None:
+        """Forget what came in one text only since the last time, or all if that is still too much."""
+        kept = np.flatnonzero(self.stats[7] > 1)
+        size, n = sum(len(self.shown[i]) for i in kept.tolist()), self.stats[6, kept]
+        if 2 * len(kept) > self.memory or size > 32 * self.memory or n.sum() > 16 * self.memory:
+            kept, size, n = kept[:0], 0, n[:0]
+        ends = np.cumsum(n)
+        at = np.arange(n.sum()) + np.repeat(self.stats[5, kept] - (ends - n), n)
+        chunks = list(self.index)
+        self.index = {chunks[i]: k for k, i in enumerate(kept.tolist())}
+        self.shown, self.size = [self.shown[i] for i in kept.tolist()], size
+        self.keys, self.times, self.stats = self.keys[at], self.times[at], self.stats[:, kept]
+        self.stats[5], self.stats[7] = ends - n, 0
+
     def _add(self, chunks: list[str]) -> None:
         """Tokenize chunks and remember their links; all are aligned at once, as if they stood in one text."""
         found = self.tokenizers.ids([c if _LINE.match(c) else " " + c for c in chunks])
         self.index.update(zip(chunks, range(len(self.shown), len(self.shown) + len(chunks)), strict=True))
         good = [x for x in found if x is not None]
-        stats = np.zeros((7, len(chunks)), dtype=np.int64)
+        stats = np.zeros((8, len(chunks)), dtype=np.int64)
         bad = np.array([x is None for x in found])
         stats[4], stats[5] = bad, len(self.keys)
         shown: list[str] = []
@@ -186,13 +197,16 @@ class Aligner:
             self._forget()
         cut = [split(t) if t else [] for t in texts]
         if new := set().union(*cut).difference(self.index):
-            self._add(sorted(new))
+            ordered = sorted(new)
+            for at in range(0, len(ordered), CHUNKS):
+                self._add(ordered[at : at + CHUNKS])
         return [self._of(chunks) for chunks in cut]
 
     def _of(self, chunks: list[str]) -> tuple[int, int, int, int, str, bytes, bytes]:
         index, shown = self.index, self.shown
         places = [index[c] for c in chunks]
         which, often = np.unique(np.array(places, dtype=np.int64), return_counts=True)
+        self.stats[7, which] += 1
         stats = self.stats[:, which]
         if not chunks or stats[4].any():
             return _NOTHING
@@ -214,7 +228,7 @@ def linked(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = Aligner(Tokenizers(a_path, b_path))
         for batch in batches:
-            rows = aligner.links(batch.column(1).to_pylist())
+            rows = [row for at in range(0, batch.num_rows, TEXTS) for row in aligner.links(batch.column(1).slice(at, TEXTS).to_pylist())]
             columns = zip(*rows, strict=True) if rows else [[]] * 7
             kinds = [pa.int64()] * 4 + [pa.string(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]], ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "keys", "times"])
