@@ -40,13 +40,13 @@ def _paired(new: DataFrame, old: DataFrame, fp: str, order: list[str], columns:
     return a.join(b, fp, "full_outer")
 
 
-def revision_audit(new: DataFrame, old: DataFrame, fp: str, order: list[str], columns: list[str]) -> DataFrame:
+def revision_audit(new: DataFrame, old: DataFrame, fp: str, order: list[str], columns: list[str], hashed: bool = False) -> DataFrame:
     """One row: fingerprints in both, only in new, only in old, and per column how many of the common ones changed.
 
-    Only the compared columns are shuffled, by the hash of the fingerprint.
+    Only the compared columns are shuffled, by the hash of the fingerprint; with ``hashed``, fp is that hash, and nothing is where the dumps are bucketed by it.
     """
     names = list(dict.fromkeys([*order, *columns]))
-    new, old = (rows.select(F.sha2(fp, 256).alias(fp), *names) for rows in (new, old))
+    new, old = (rows.select(fp if hashed else F.sha2(fp, 256).alias(fp), *names) for rows in (new, old))
     pairs = _paired(new, old, fp, order, columns)
     both = F.col("_in_new").isNotNull() & F.col("_in_old").isNotNull()
     counts = [F.count_if(both & changed(F.col(f"_new_{c}"), F.col(c))).alias(f"n_changed_{c}") for c in columns]

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.exprs import ratio, top_k
+from .quantiles import exact_median
 
 
 def with_top3(rows: DataFrame, probabilities: str, labels: list[str] | None = None) -> DataFrame:
@@ -48,17 +49,20 @@ def classify(rows: DataFrame, model: PipelineModel, text: str = "text") -> DataF
 
 
 def incoming_summary(scored: DataFrame, day: str, field: str, unknown: str = "UNKNOWN OR OTHER", low: float = 0.5) -> DataFrame:
-    """One row over scored rows: dates, interpolated median confidence, rates of unknowns, of low confidence, of agreement with the field."""
+    """One row over scored rows: dates, interpolated median confidence, rates of unknowns, of low confidence, of agreement with the field.
+
+    The median is selected exactly by counted passes (quantiles.exact_median), so no task gathers all confidences.
+    """
     out = scored.agg(
         F.count("*").alias("n"),
         F.min(day).alias("first_day"),
         F.max(day).alias("last_day"),
-        F.median("confidence").alias("median_confidence"),
         F.count_if(F.col("pred") == unknown).alias("n_unknown"),
         F.count_if(F.col("confidence") < low).alias("n_low"),
         F.count_if(F.col("pred").eqNullSafe(F.col(field))).alias("n_agree"),
     )
     rate = {name: ratio(F.col(f"n_{name}"), F.col("n")) for name in ("unknown", "low", "agree")}
+    out = out.join(exact_median(scored, "confidence", name="median_confidence"))  # one row each
     return out.select("n", "first_day", "last_day", "median_confidence", *[v.alias(f"{k}_rate") for k, v in rate.items()])
 
 

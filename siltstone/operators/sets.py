@@ -49,7 +49,8 @@ def require_exact_exclusion(report: DataFrame) -> None:
 
 
 def _one_per_key(rows: DataFrame, keys: list[str], pick) -> DataFrame:
-    return rows.groupBy(*keys).agg(pick.alias("_one")).select("_one.*")
+    # Keys are taken from the groups, so that a table bucketed by them stays so.
+    return rows.groupBy(*keys).agg(pick.alias("_one")).select(*[F.col(c) if c in keys else F.col("_one")[c].alias(c) for c in rows.columns])
 
 
 def first_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -215,10 +215,13 @@ def retrain_decision(spark, sf):
     return jobs.retrain_decision(_rule(spark, sf, rows)["fire"], rows.select(F.col("day").alias("ldate")))
 
 
-@query("select 199801 + m as ym_start, strftime(date '1998-01-01' + to_months(m) - to_months(1), '%Y%m') as before from range(12) r(m)")
+@query(f"with {_O}, m as (select distinct ym from o) select ym, strftime(strptime(ym, '%Y%m') - to_months(1), '%Y%m') as before, strftime(strptime(ym, '%Y%m') + to_months(13), '%Y%m') as later, cast(date_diff('month', strptime((select min(ym) from m), '%Y%m'), strptime(ym, '%Y%m')) + 1 as int) as n_since from m")
 def month_arithmetic(spark, sf):
-    months = spark.range(1).select(F.explode(X.month_series(F.lit("199801"), F.lit("199812"))).alias("ym"))
-    return months.select(F.col("ym").cast("long").alias("ym_start"), X.add_months(F.col("ym"), -1).alias("before"))
+    """Months before and after each month of the table, and how many the series since its first month has."""
+    months = complaints(spark, sf).select("ym").distinct()
+    first = months.agg(F.min("ym").alias("first"))  # one row
+    since = F.size(X.month_series(F.col("first"), F.col("ym")))
+    return months.join(F.broadcast(first)).select("ym", X.add_months(F.col("ym"), -1).alias("before"), X.add_months(F.col("ym"), 13).alias("later"), since.alias("n_since"))
 
 
 # Fingerprints and ledgers ------------------------------------------------------

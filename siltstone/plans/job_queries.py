@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..operators import drift, evaluation, sampling, sets
+from ..operators import census, drift, evaluation, sampling, sets
 from ..schema import COMPLAINT_COLUMNS, MERGE_MAP
 from ..session import fresh_path
 from ..sources import readers, sinks
@@ -415,3 +415,9 @@ def excluding_optional_ids(spark, sf):
     table(spark, sf, "labels").select(F.col("doc_id").alias("CMPLID")).write.parquet(path)
     found = [readers.read_ids(spark, path), readers.read_ids(spark, path + "-none")]
     return sets.excluding(table(spark, sf, "customer").select("c_custkey"), "c_custkey", *found)
+
+
+@query(f"with {_C} select left(LDATE, 6) ym, trim(split_part(COMPDESC, ':', 1)) category, count(*) n from cf where PROD_TYPE = 'V' group by 1, 2")
+def job_build_census(spark, sf):
+    """The whole job: vehicle rows of the file to the nested document, read back as rows."""
+    return census.from_document(jobs.build_census(spark, complaint_file(spark, sf), "orders", "20010801", "2001-08-01T00:00:00"))[0]

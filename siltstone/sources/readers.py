@@ -79,14 +79,31 @@ def read_ids(spark: SparkSession, path: str, names: tuple[str, ...] = ("cmplid",
     return table.select(F.col(name).cast("string").alias("id")).distinct()
 
 
+def read_in_file_order(spark: SparkSession, path: str, ordinal: str = "_ordinal") -> DataFrame:
+    """A Parquet table with a column that orders its rows as its files do, however they are dealt: file, then row in the file."""
+    table = spark.read.parquet(path)
+    return table.select("*", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias(ordinal))
+
+
+def read_mixed_json(spark: SparkSession, path: str, fields: dict[str, tuple[str, list[str]]]) -> DataFrame:
+    """JSON documents, one a line, whose fields and types differ: a column a field from the first path that gives its type, and ``broken``.
+
+    fields: name -> (type, paths).  A value of another type is no value there; a line that is no JSON has
+    nulls and is broken; blank lines are no rows.  One scan, no inference over the data.
+    """
+    lines = spark.read.text(path).where(F.trim("value") != "").select(F.try_parse_json("value").alias("_v"))
+    found = [F.coalesce(*[F.try_variant_get("_v", p, kind) for p in paths]).alias(name) for name, (kind, paths) in fields.items()]
+    return lines.select(*found, F.col("_v").isNull().alias("broken"))
+
+
 def probe(url: str, timeout: float = 30.0) -> dict:
     """Change-detection headers of a URL; a failure is data, not an exception."""
     try:
         request = urllib.request.Request(url, method="HEAD")
         with urllib.request.urlopen(request, timeout=timeout) as reply:
-            return {"url": url, "status": reply.status, "last_modified": reply.headers.get("Last-Modified"), "etag": reply.headers.get("ETag"), "error": None}
+            return {"url": url, "status": reply.status, "last_modified": reply.headers.get("Last-Modified"), "etag": reply.headers.get("ETag"), "length": int(reply.headers["Content-Length"]) if reply.headers.get("Content-Length") else None, "error": None}
     except (OSError, ValueError) as e:
-        return {"url": url, "status": None, "last_modified": None, "etag": None, "error": f"{type(e).__name__}: {e}"}
+        return {"url": url, "status": None, "last_modified": None, "etag": None, "length": None, "error": f"{type(e).__name__}: {e}"}
 
 
 def unchanged(now: dict, before: dict | None, force: bool = False) -> bool:

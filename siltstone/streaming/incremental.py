@@ -17,6 +17,7 @@ from ..operators.cascade import GateClosed
 from ..operators.census import month_census, month_totals
 from ..operators.sets import ledger_union, new_rows, overlay
 from ..sources.readers import path_exists
+from ..sources.sinks import replace_months
 
 
 class VersionedTable:
@@ -90,6 +91,29 @@ def run_census(stream: DataFrame, census: VersionedTable, totals: VersionedTable
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+class MonthTable:
+    """A Parquet table partitioned by month, of which a batch rewrites the months it brings and no other file."""
+
+    def __init__(self, spark: SparkSession, folder: str, schema: str):
+        self.spark, self.folder, self.schema = spark, folder.rstrip("/"), schema
+
+    def current(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.folder) if path_exists(self.spark, self.folder) else self.spark.createDataFrame([], self.schema)
+
+    def replace(self, months: DataFrame) -> None:
+        replace_months(months.repartition("ym"), self.folder)
+
+
+def run_census_in_place(stream: DataFrame, census: MonthTable, totals: MonthTable, checkpoint: str) -> StreamingQuery:
+    """run_census() on tables whose months are replaced in place: a batch costs what it brings, and one that runs again writes the same months."""
+
+    def step(batch: DataFrame, _: int) -> None:
+        census.replace(month_census(batch))
+        totals.replace(month_totals(batch))
+
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def run_chunks(stream: DataFrame, label: Callable[[DataFrame], DataFrame], gate: Callable[[DataFrame], bool], folder: str, checkpoint: str) -> StreamingQuery:
     """Label a stream of chunk files, one micro-batch each, resumable: finished chunks are in the checkpoint.
 

@@ -9,7 +9,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.drift import mix_rule
 from ..session import fresh_path
-from .incremental import CENSUS_SCHEMA, TOTALS_SCHEMA, AppendedKeys, VersionedTable, run_census, run_ledger, windowed_counts
+from .incremental import CENSUS_SCHEMA, TOTALS_SCHEMA, AppendedKeys, MonthTable, VersionedTable, run_census, run_census_in_place, run_ledger, windowed_counts
+from .state import MixRule, dump_census, run_keyed_ledger, run_mix_rule
 
 
 def _fed(dumps: list[DataFrame], folder: str, run: Callable[[DataFrame], StreamingQuery]) -> None:
@@ -66,3 +67,32 @@ def replay_counts(events: DataFrame, ts: str, group: str) -> DataFrame:
 
     _fed([events], folder, run)
     return spark.read.parquet(f"{folder}/counts")
+
+
+def _one_by_one(folder: str, name: str) -> Callable[[DataFrame, int], None]:
+    return lambda rows, batch: rows.write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch}")
+
+
+def replay_keyed_ledger(dumps: list[DataFrame], key: str, since: Column | None = None) -> DataFrame:
+    """replay_ledger() with the keys in the state store; the query starts again from its checkpoint for every dump."""
+    spark = dumps[0].sparkSession
+    folder = fresh_path(spark, "keyed-ledger")
+    _fed(dumps, folder, lambda rows: run_keyed_ledger(rows, key, _one_by_one(folder, "new"), f"{folder}/checkpoint", since))
+    return spark.read.parquet(f"{folder}/new")
+
+
+def replay_mix_rule(dumps: list[DataFrame], rule: MixRule, series: Column) -> DataFrame:
+    """(batch, series, month, previous_month): fires of dumps with rows (ym, day, category), as the state machine gave them."""
+    spark = dumps[0].sparkSession
+    folder = fresh_path(spark, "mix-rule")
+    _fed([dump_census(d, series) for d in dumps], folder, lambda rows: run_mix_rule(rows, rule, _one_by_one(folder, "fires"), f"{folder}/checkpoint"))
+    return spark.read.parquet(f"{folder}/fires").select("batch", "series", "month", "previous_month")
+
+
+def replay_census_in_place(dumps: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """replay_census() on tables partitioned by month."""
+    spark = dumps[0].sparkSession
+    folder = fresh_path(spark, "month-census")
+    census, totals = MonthTable(spark, f"{folder}/census", CENSUS_SCHEMA), MonthTable(spark, f"{folder}/totals", TOTALS_SCHEMA)
+    _fed(dumps, folder, lambda rows: run_census_in_place(rows, census, totals, f"{folder}/checkpoint"))
+    return census.current(), totals.current()

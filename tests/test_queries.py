@@ -7,10 +7,11 @@ import os
 import duckdb
 import pytest
 
-from siltstone.plans import catalogue, job_queries
+from siltstone.plans import catalogue, feature_queries, job_queries
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, ORACLES = catalogue.QUERIES | job_queries.QUERIES, catalogue.ORACLES | job_queries.ORACLES
+QUERIES = catalogue.QUERIES | job_queries.QUERIES | feature_queries.QUERIES
+ORACLES = catalogue.ORACLES | job_queries.ORACLES | feature_queries.ORACLES
 #: Queries that may return nothing.
 EMPTY = {"drift_no_fire"}
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
