@@ -20,6 +20,9 @@
    fragments touch and make MIN_WORDS words together, steps 2 to 4 are repeated for these
    places with pairs of consecutive seeds, then with four, as seeds: their representatives share
    longer runs with the text.
+6. Fragments may hide a partner in every round, however long the seeds.  What is still left is matched by
+   whole windows of MIN_WORDS words: classes that have a run of seeds in common with a place are found by
+   that run, and only their windows around it are compared, so an exact passage is never lost, and a window in n classes gives n matches.
 
 A class's matches, with the codes of its own and its partners' words, are the unit of work.
 
@@ -44,7 +47,7 @@ from .decontaminate import words
 
 K = 6
 WINDOW = 8
-#: Rounds with two and four consecutive seeds as one.
+#: Rounds with two and four consecutive seeds as one, which find fuzzy passages too; exact ones that are left are found by windows.
 ROUNDS = 2
 #: Words beyond the outer matches with a partner that its codes are sent for.
 REACH = 256
@@ -324,14 +327,15 @@ def passages_of(partner: np.ndarray, x: np.ndarray, y: np.ndarray, own: bytes, o
 
 
 def _stitched(found: list[tuple], weak: list[tuple], min_words: int) -> list[tuple]:
-    """Places where spans too short to report, in no reported passage, make min_words together."""
+    """Places where spans too short to report, in no reported passage, make min_words together, or so many that the ends, which may have no seed, can be missing."""
+    least = max(K, min_words - 2 * (WINDOW - 1))
     spans = sorted((s[1], s[2]) for s in weak if not any(f[1] <= s[1] and s[2] <= f[2] for f in found))
     out, start, end = [], 0, -TOUCH - 1
     for a, b in [*spans, (None, None)]:
         if a is not None and a <= end + TOUCH and end >= 0:
             end = max(end, b)
             continue
-        if end - start >= min_words:
+        if end - start >= least:
             out.append((0, start, end, 0, 0, _FRAGMENTS))
         start, end = a, b
     return out
@@ -421,6 +425,32 @@ def _longer(occurrences: DataFrame, places: DataFrame) -> DataFrame:
     return stored(pairs.select(F.xxhash64("seed", "next", "gap").alias("seed"), "class", "at"), "longer-seeds")
 
 
+def _windows(occurrences: DataFrame, places: DataFrame, rows: DataFrame, min_words: int) -> DataFrame:
+    """Windows of min_words words (seed, class, at) around the runs of seeds that several classes have in common with the places.
+
+    Texts that share a window have the same seeds in it, but for the WINDOW - 1 places at either end, whose choice depends on what
+    stands outside.  The first such seed is at most WINDOW - 1 places further on, so the seeds that begin within the
+    rest are one run, equal in both texts, and tell where the window may begin.
+    """
+    edge = WINDOW - 1
+    reach = min_words - K - 3 * edge
+    first, last = (-2 * edge, -edge) if reach >= 0 else (K - min_words, 0)
+    near = places.select("class", (F.col("start") - min_words).alias("low"), (F.col("end") + min_words).alias("high"))
+    inside = occurrences.join(near, "class").where("at >= low and at < high").select("seed").distinct()
+    weights = occurrences.groupBy("seed").agg(F.count("*").alias("n")).join(inside, "seed").withColumn("inside", F.lit(True))
+    kept = skew_lookup(occurrences, weights, "seed", "n", F.xxhash64("class", "at")).where("inside").select("seed", "class", "at")
+    run = Window.partitionBy("class").orderBy("at").rangeBetween(0, max(0, reach))
+    member = F.transform(F.collect_list(F.struct("at", "seed")).over(run), lambda m: F.struct(m["at"] - F.col("at"), m["seed"]))
+    runs = stored(kept.select("class", "at", F.xxhash64(member).alias("run")), "seed-runs")
+    wide = runs.groupBy("run").agg(F.count("*").alias("n"), (F.min("class") < F.max("class")).alias("common"))
+    common = skew_lookup(runs, stored(wide, "common-runs"), "run", "n", F.xxhash64("class", "at")).where("common").select("class", "at")
+    coded = rows.select("class", "codes").join(common.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.max("codes").alias("codes"))
+    starts = common.select("class", F.explode(F.sequence(F.col("at") + first, F.col("at") + last)).alias("at")).where("at >= 0").distinct()
+    window = F.substring(F.col("codes"), F.col("at") + 1, F.lit(min_words))
+    cut = starts.join(coded, "class").select(window.alias("window"), "class", "at").where(F.octet_length("window") == min_words)
+    return stored(cut.select(F.xxhash64("window").alias("seed"), "class", "at"), "windows")
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, min_identity: float = MIN_IDENTITY) -> DataFrame:
     """Passages that a text shares with another: doc_id, start, end, partner_id, partner_start, partner_end, matched (words; end exclusive).
 
@@ -434,15 +464,19 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     occurrences = rows.select("class", F.explode(F.arrays_zip("seeds", "places")).alias("s")).select(F.col("s.seeds").alias("seed"), "class", F.col("s.places").alias("at"))
     matches, occurrences = _dealt(occurrences)
     found = _aligned(matches, rows, min_words, min_identity)
-    places = found.where(F.col("matched") == _FRAGMENTS)
+    single, left = occurrences, found.where(F.col("matched") == _FRAGMENTS)
     found = found.where(F.col("matched") != _FRAGMENTS)
-    for _ in range(ROUNDS):
+    long = (F.col("end") - F.col("start")) >= min_words
+    for r in range(ROUNDS + 1):
+        # Short places need the windows only: the longer seeds of the rounds before are for fuzzy passages.
+        places = left.where(long) if r < ROUNDS else left
         if places.isEmpty():
-            break
-        matches, occurrences = _dealt(_longer(occurrences, places), places.select("class").distinct())
+            continue
+        longer = _longer(occurrences, places) if r < ROUNDS else _windows(single, places, rows, min_words)
+        matches, occurrences = _dealt(longer, places.select("class").distinct())
         again = _aligned(matches, rows, min_words, min_identity)
         found = found.union(again.where(F.col("matched") != _FRAGMENTS))
-        places = again.where(F.col("matched") == _FRAGMENTS)
+        left = left.where(~long).union(again.where(F.col("matched") == _FRAGMENTS))
     found = found.distinct()
 
     rep = classes.select("class", "rep")
