@@ -7,15 +7,21 @@ a tag is text; character references are decoded in each text on its own).
 1. Elements that are never an article by their tag, role or visibility (menus, page
    headers, footers, sidebars, dialogs) are set aside; so are forms that hold less than
    NOTABLE of the page's unlinked characters.
-2. An element one of whose class or id names is a word for such parts (whole names only)
-   is set aside if it holds less than NOTABLE of the page's unlinked characters
-   (ALL_BUT for readers' comments); else its scores count a fifth.
+2. A class or id name is a name of such parts if every word of it is one of theirs or a general
+   one (left, box, wrapper), and one at least is theirs; words are parted by hyphens, underscores and capitals.
+   An element of that name is set aside if it holds less than NOTABLE of the page's unlinked characters, or
+   if as much as LEAST_PROSE unlinked characters of paragraphs stand outside all such elements: inside <article>
+   or <main> for any but readers' comments, anywhere for those (else they go below ALL_BUT).
+   One that holds an <article> is judged by NOTABLE alone.  Paragraphs and list items of an article only go as adverts or
+   comments.  What stays has a fifth of its score.
 3. Every paragraph-like element passes points to its ancestors, for its length and its
    commas: all of them to its parent, half to its grandparent, and ever less further up.
    <article> gets the points of all its paragraphs whole and ARTICLE_POINTS more, <main> at least half of them.
    An element's points are discounted by its link density; the best one is the container.
-4. Siblings of the container are kept when they score well beside it or read like
-   prose; beside an <article>, the other articles that are not mostly links.  Of a whole page
+   Unless it is an <article>, its parent takes its place while that holds CLIMB times the points or more.
+4. Siblings of the container are kept when they score well beside it, read like prose or hold a
+   heading; beside an <article>, the other articles that are not mostly links, teasers (by name, or with a
+   linked heading) apart.  Of a whole page
    without containers, lists of nothing but links at its top level go.
 
 Inside what is kept nothing but the elements set aside is dropped: lists of linked
@@ -34,6 +40,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -51,14 +58,21 @@ PARAGRAPHS = frozenset("p pre td blockquote li dd".split())
 SET_ASIDE = frozenset("nav footer aside dialog head menu".split())
 FORMS = frozenset("form fieldset".split())
 SET_ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
-SET_ASIDE_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs consent cookie cookies footer gdpr masthead menu modal nav navbar navigation newsletter notice notices pager pagination paywall popup promo promotion recommended related share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget"
-    " ad-banner ad-slot cookie-banner cookie-bar cookie-consent cookie-notice main-nav main-menu page-footer page-header related-articles related-posts share-buttons site-footer site-header site-nav skip-link social-links social-share".split()
+PART_WORDS = frozenset(
+    "ad ads adsbygoogle adv advert adverts advertisement advertisements advertising banner breadcrumb breadcrumbs consent cookie cookies footer gdpr masthead menu modal nav navbar navigation newsletter notice notices pager pagination paywall popup promo promotion promotions recommended related share sharing sidebar signup skip social sponsor sponsored sponsors subscribe teaser teasers toolbar topbar widget".split()
 )
-COMMENT_NAMES = frozenset("comment comments commentlist comment-form comment-list comments-area comments-section disqus disqus_thread replies respond".split())
-_NEVER_BY_NAME = frozenset("html body article main".split())
+AD_WORDS = frozenset("ad ads adsbygoogle adv advert adverts advertisement advertisements advertising sponsor sponsored sponsors".split())
+TEASER_WORDS = frozenset("teaser teasers".split())
+COMMENT_WORDS = frozenset("comment comments commentlist disqus replies respond".split())
+GENERAL_WORDS = frozenset(
+    "area article articles bar block body bottom box button buttons column container content form global group icons inner item items left link links list main outer page panel post posts primary reader readers reply right row secondary section site slot stories story text thread top unit user users wrap wrapper zone".split()
+)
+_NEVER_BY_NAME = frozenset("html body main".split())
 #: Share of the page's unlinked characters with which an element stays whatever its names; for readers' comments.
 NOTABLE, ALL_BUT = 0.4, 0.9
+#: Unlinked characters of paragraphs beside which named parts go at any size.
+LEAST_PROSE = 80
+CLIMB = 1.25
 ARTICLE_POINTS = 25.0
 PENALTY = 0.2
 #: An end is implied for an open element of the value when an element of the key starts.
@@ -80,21 +94,30 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW}
 
 
-NONE, NAMED, COMMENTS, FORM, ASIDE = range(5)
+NONE, NAMED, COMMENTS, FORM, TEASER, ASIDE = range(6)
+_CAPITAL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_WORD = re.compile(r"[^\W\d_]+")
+
+
+@lru_cache(4096)
+def _words(name: str) -> frozenset[str]:
+    """The words of a name if all are those of parts other than articles, or general ones."""
+    words = frozenset(_WORD.findall(_CAPITAL.sub("-", name).lower()))
+    return words if words <= PART_WORDS | COMMENT_WORDS | GENERAL_WORDS | {"header"} else frozenset()
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "kind", "aside", "chars", "linked", "commas", "points", "tail")
+    __slots__ = ("tag", "parent", "children", "kind", "aside", "chars", "linked", "commas", "points", "full", "tail")
 
     def __init__(self, tag: str, parent: Node | None, kind: int = NONE):
         self.tag, self.parent, self.kind, self.aside = tag, parent, kind, kind == ASIDE
         self.children: list[Node | str] = []
         self.chars = self.linked = self.commas = 0
-        self.points = 0.0
+        self.points = self.full = 0.0
         self.tail = ""
 
 
-def _kind(tag: str, attributes: str, inside_article: bool) -> int:
+def _kind(tag: str, attributes: str, inside_article: bool, parent: Node) -> int:
     """What an element with these attributes may be, other than a part of an article."""
     if tag in SET_ASIDE or (tag == "header" and not inside_article):
         return ASIDE
@@ -102,25 +125,35 @@ def _kind(tag: str, attributes: str, inside_article: bool) -> int:
     if not attributes or attributes.isspace():
         return kind
     for name, a, b, c, bare in _ATTRIBUTE.findall(attributes):
-        key, value = (name or bare).lower(), (a or b or c).lower()
-        if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and _HIDDEN.search(value)):
+        key, value = (name or bare).lower(), a or b or c
+        if key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and _HIDDEN.search(value)):
             return ASIDE
         if tag in _NEVER_BY_NAME:
             continue
         if key == "role":
+            value = value.lower()
             if value in SET_ASIDE_ROLES:
                 return ASIDE
             if value == "form":
                 kind = FORM
         elif key in ("class", "id") and tag not in HEADINGS and kind in (NONE, NAMED):
-            names = value.split()
-            if not COMMENT_NAMES.isdisjoint(names):
+            words = frozenset().union(*map(_words, value.split()))
+            if tag == "article":
+                if not TEASER_WORDS.isdisjoint(words):
+                    kind = NAMED if _inside(parent, "article") else TEASER
+            elif not COMMENT_WORDS.isdisjoint(words):
                 kind = COMMENTS
-            elif not SET_ASIDE_NAMES.isdisjoint(names) or (not inside_article and "header" in names):
+            elif not (AD_WORDS if inside_article and tag in PARAGRAPHS else PART_WORDS).isdisjoint(words) or (not inside_article and "header" in words):
                 kind = NAMED
     return kind
 
 
+def _inside(node: Node | None, tag: str) -> bool:
+    while node is not None and node.tag != tag:
+        node = node.parent
+    return node is not None
+
+
 def parse(html: str) -> Node:
     """The element tree of a page; character references are decoded in each run of text."""
     root = node = Node("#root", None)
@@ -166,7 +199,7 @@ def parse(html: str) -> Node:
                 up = up.parent
             if last is not None:
                 node = last.parent
-        child = Node(tag, node, _kind(tag, attributes, article > 0))
+        child = Node(tag, node, _kind(tag, attributes, article > 0, node))
         node.children.append(child)
         if tag not in VOID:  # a slash before the end does not close an HTML element
             node = child
@@ -205,11 +238,46 @@ def _count(order: list[Node]) -> None:
             n.linked = n.chars
 
 
+def _prose_outside(order: list[Node]) -> tuple[int, int]:
+    """Unlinked characters of paragraphs outside all parts that may go: in the whole page, inside articles."""
+    page = article = 0
+    part, within, counted = set(), set(), set()
+    for n in order:
+        up = id(n.parent)
+        if n.kind != NONE or up in part:
+            part.add(id(n))
+        if n.tag in ("article", "main") or up in within:
+            within.add(id(n))
+        if up in counted:
+            counted.add(id(n))
+        elif n.tag in PARAGRAPHS and id(n) not in part:
+            counted.add(id(n))
+            page += n.chars - n.linked
+            article += (n.chars - n.linked) * (id(n) in within)
+    return page, article
+
+
 def _set_aside(order: list[Node]) -> bool:
     """Set aside forms and named elements that hold too little of the page; whether there were any."""
+    parts = [n for n in order if n.kind not in (NONE, TEASER)]
+    if not parts:
+        return False
     total, found = order[0].chars - order[0].linked, False
+    page, article = _prose_outside(order)
+    holds = set()
     for n in order:
-        if n.kind != NONE and n.chars - n.linked < (ALL_BUT if n.kind == COMMENTS else NOTABLE) * total or (n.kind != NONE and not n.chars - n.linked):
+        if n.tag in ("article", "main"):
+            up = n.parent
+            while up is not None and id(up) not in holds:
+                holds.add(id(up))
+                up = up.parent
+    for n in parts:
+        own = n.chars - n.linked
+        if n.kind == COMMENTS:
+            gone = page >= LEAST_PROSE or own < ALL_BUT * total
+        else:
+            gone = own < NOTABLE * total or (n.kind == NAMED and article >= LEAST_PROSE and id(n) not in holds)
+        if gone or not own:
             n.aside = found = True
     return found
 
@@ -241,6 +309,7 @@ def _measure(root: Node) -> list[Node]:
         up = n.parent if n.tag in PARAGRAPHS else n
         level = 0
         while up is not None:
+            up.full += points
             if up.tag in BLOCK or up.parent is None:  # inline elements, often unclosed, hold no article
                 share = 1.0 if level == 0 else 0.5 if level == 1 else 1 / (3 * level)
                 up.points += points * (1.0 if up.tag == "article" else max(0.5, share) if up.tag == "main" else share)
@@ -248,7 +317,7 @@ def _measure(root: Node) -> list[Node]:
             up = up.parent
     for n in order:
         n.points += ARTICLE_POINTS if n.tag == "article" and n.points else 0.0
-        if n.kind in (NAMED, COMMENTS):
+        if n.kind in (NAMED, COMMENTS, TEASER):
             n.points *= PENALTY
     return order
 
@@ -262,6 +331,10 @@ def _container(root: Node, order: list[Node]) -> list[Node | str]:
     best = max((n for n in order if n.points), key=_score, default=root)
     if best.parent is None:
         return [best]
+    if best.tag != "article":
+        up = best.parent
+        while up.tag not in ("#root", "html", "body") and up.kind == NONE and up.full >= CLIMB * best.full and up.linked < 0.3 * up.chars:
+            best, up = up, up.parent
     least = max(10.0, PENALTY * _score(best))
     kept: list[Node | str] = []
     for c in best.parent.children:
@@ -273,15 +346,21 @@ def _container(root: Node, order: list[Node]) -> list[Node | str]:
         elif not c.aside and c.kind == NONE and c.chars:
             density = c.linked / c.chars
             if best.tag == "article":
-                wanted = c.tag == "article" and density < 0.5
+                wanted = c.tag == "article" and density < 0.5 and not _teaser(c)
             else:
-                prose = c.tag == "p" and density < 0.25 and (c.chars > 80 or _SENTENCE_END.search(c.tail) is not None)
-                wanted = _score(c) >= least or prose or (c.tag in HEADINGS and density < 0.5)
+                prose = c.tag in BLOCK and density < 0.25 and (c.chars > 80 or _SENTENCE_END.search(c.tail) is not None)
+                wanted = _score(c) >= least or prose or (density < 0.5 and any(h.tag in HEADINGS and h.chars for h in _kept(c)))
             if wanted:
                 kept.append(c)
     return kept
 
 
+def _teaser(node: Node) -> bool:
+    """Whether an article's headings are links."""
+    headings = [n for n in _kept(node) if n.tag in HEADINGS and n.chars]
+    return any(n.linked >= n.chars for n in headings)
+
+
 def _blocks(kept: list[Node | str]) -> list[str]:
     out: list[str] = []
     inline: list[str] = []

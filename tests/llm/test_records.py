@@ -44,6 +44,22 @@ PAGES |= {
     "menu without a name": (f"<body><ul><li><a href=1>one</a><li><a href=2>two</a><li><a href=3>three</a></ul><p>{LONG}</p>", LONG),
 }
 
+L = "This paragraph has, as articles do, a good hundred characters of running text, so that it is told from what stands around it by its length."
+NAMES_OF_PARTS = "comment-section post-comments user-comments reader-comments comments-wrapper commentsWrapper comments sidebar-right left-sidebar ad-container adsbygoogle cookie-popup newsletter-signup social-share-bar related-content related".split()
+PAGES |= {f"{name} in an article": (f"<article><p>{L}</p><div class='{name}'><p>{L}</p></div><p>{L}</p></article>", f"{L}\n{L}") for name in NAMES_OF_PARTS}
+PAGES |= {f"{name} most of the page": (f"<article><p>{L}</p><div class='{name}'>{f'<p>{L}</p>' * 12}</div></article>", L) for name in NAMES_OF_PARTS}
+PAGES |= {f"{name} without article": (f"<body><div class=content>{f'<p>{L}</p>' * 3}</div><div class='{name}'><p>{L}</p></div></body>", "\n".join([L] * 3)) for name in NAMES_OF_PARTS}
+PAGES |= {
+    "sections of many lengths": ("<body><div class=content>" + "".join(f"<section><h2>Part {n}.{i}</h2>{f'<p>{L}</p>' * n}</section>" for i, n in enumerate((8, 1, 6, 1))) + "</div><ul><li><a href=1>x</a></ul></body>", "\n".join("\n".join([f"Part {n}.{i}"] + [L] * n) for i, n in enumerate((8, 1, 6, 1)))),
+    "short closing section": (f"<div class=content><section>{f'<p>{L}</p>' * 4}</section><section><p>So it ends.</p></section></div>", "\n".join([L] * 4 + ["So it ends."])),
+    "lead and title beside the body": (f"<body><div><h1>Title</h1></div><div><p>{L}</p></div><div>{f'<p>{L}</p>' * 9}</div></body>", "\n".join(["Title"] + [L] * 10)),
+    "words of parts in an article": (f"<article><p>{L}</p><p class='notice'>Notice.</p><ul><li class='share'>A share.</li></ul><p class=ad>Buy.</p></article>", f"{L}\nNotice.\nA share."),
+    "named teaser": (f"<article><p>{L}</p></article><article class='teaser'><p>{L}</p></article>", L),
+    "named teaser inside": (f"<article><p>{L}</p><p>{L}</p><article class='teaser'><p>{L}</p></article></article>", f"{L}\n{L}"),
+    "linked heading": (f"<article><p>{L}</p></article><article><h2><a href=x>More</a></h2><p>{L}</p></article>", L),
+    "comments as articles": (f"<article><p>{L}</p></article><div id=comments><article class=comment><p>{L}</p></article></div>", L),
+}
+
 
 @pytest.mark.parametrize("name", PAGES)
 def test_main_text(name):
@@ -74,7 +90,7 @@ def random_page(rng):
         if kind == "links":
             return (rng.choice(["ul", "div"]), "", [("a", " href=x", [text(1)]) for _ in range(rng.randint(1, 4))])
         tag = kind if kind != "article" or not inside else "section"
-        name = rng.choice(["", "", "", " class='ad'", " class='ad-like page'", " id=comments"]) if tag in ("div", "section") else ""
+        name = rng.choice(["", "", "", " class='ad'", " class='ad-like page'", " id=comments", " id=readerComments", " class='sidebar-right x'"]) if tag in ("div", "section") else ""
         return (tag, name, [node(depth + 1, inside or tag == "article") for _ in range(rng.randint(1, 4))])
 
     return ("body", "", [node(0, False) for _ in range(rng.randint(1, 5))])
@@ -92,7 +108,8 @@ def slow_main_text(page):
     linked = lambda n: 0 if isinstance(n, str) else size(n) if n[0] == "a" else sum(map(linked, kids(n)))
     commas = lambda n: n.count(",") if isinstance(n, str) else sum(map(commas, kids(n)))
     own = lambda n: size(n) - linked(n)
-    named = lambda n: "ad'" in n[1].replace("ad-like", "") or "comments" in n[1]
+    said = lambda n: "omments" in n[1]
+    named = lambda n: "ad'" in n[1] or "sidebar" in n[1] or said(n)
 
     def walk(n, up=()):
         if not isinstance(n, str) and id(n) not in gone:
@@ -102,8 +119,17 @@ def slow_main_text(page):
 
     gone |= {id(n) for n, _ in walk(page) if n[0] == "nav"}
     total = own(page)
-    cut = lambda n: (n[0] == "form" or named(n)) and (own(n) < (0.9 if "comments" in n[1] else 0.4) * total or not own(n))
+    clear = [(own(n), any(a[0] == "article" for a in up)) for n, up in walk(page) if n[0] == "p" and not any(named(a) or a[0] == "form" for a in up)]
+    prose, inside = sum(c for c, _ in clear) >= 80, sum(c for c, a in clear if a) >= 80
+    holds = lambda n: any(c[0] == "article" for c, _ in walk(n) if c is not n)
+
+    def cut(n):
+        if said(n):
+            return prose or own(n) < 0.9 * total or not own(n)
+        return (n[0] == "form" or named(n)) and (own(n) < 0.4 * total or not own(n) or (named(n) and inside and not holds(n)))
+
     gone |= {id(n) for n, _ in [*walk(page)] if cut(n)}
+    last = lambda n: n.strip() if isinstance(n, str) else next((t for c in reversed(kids(n)) if (t := last(c))), "")
     points = {}
     for n, up in walk(page):
         if n[0] == "p" and size(n):
@@ -119,6 +145,11 @@ def slow_main_text(page):
     best, up = max(scored, key=lambda x: score(x[0]), default=(page, ()))
     root = (points.get(id("root"), 0)) * (own(page) / size(page)) if size(page) else 0
     keep = [page]
+    full = lambda n: sum((min(1, size(p) / 25) + commas(p) + min(size(p) / 100, 30)) * (1 - linked(p) / size(p)) for p, _ in walk(n) if p[0] == "p" and size(p))
+    if scored and root < score(best) and best[0] != "article":
+        while up and up[0] is not page and up[0][0] != "form" and not named(up[0]) and full(up[0]) >= 1.25 * full(best) - 1e-9 and linked(up[0]) < 0.3 * size(up[0]):
+            best, up = up[0], up[1:]
+        root = -1
     if scored and root < score(best) and up:
         keep = []
         for c in up[0][2]:
@@ -127,10 +158,10 @@ def slow_main_text(page):
             elif id(c) not in gone and c[0] != "form" and not named(c) and size(c):
                 density = linked(c) / size(c)
                 if best[0] == "article":
-                    wanted = c[0] == "article" and density < 0.5
+                    wanted = c[0] == "article" and density < 0.5  # headings of random pages are no links
                 else:
-                    prose = c[0] == "p" and density < 0.25 and (size(c) > 80 or c[2][-1].endswith("."))
-                    wanted = score(c) >= max(10, 0.2 * score(best)) or prose or (c[0] == "h2" and density < 0.5)
+                    reads = c[0] in blocks and density < 0.25 and (size(c) > 80 or last(c).endswith("."))
+                    wanted = score(c) >= max(10, 0.2 * score(best)) or reads or (density < 0.5 and any(h[0] == "h2" for h, _ in walk(c)))
                 keep += [c] if wanted else []
     lines = []
 
