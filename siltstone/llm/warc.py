@@ -6,7 +6,11 @@ executors share, and returns one index row a record: archive, offset, length,
 URL, digest, type.  The index is written as a Parquet table before anything is
 read.  An archive's name holds a random part, so a task that is run again writes
 anew, and only the archives that the committed index names are ever read.  No
-payload is shuffled; only digests are, to find equal payloads.
+payload is shuffled.  Where the groups of equal payloads are few, they are broadcast
+to the rows by their digests.  Else every row is first written as a response to a staged
+archive; the staged index, which holds no payloads, is joined with the groups, and the
+staged records are read by byte ranges in the order of their offsets, responses copied as
+they are and revisits written anew.
 
 Of records with equal payloads of at least ``min_revisit`` bytes, the one with
 the largest id is a response, the others revisit it.  Equal rows with that id
@@ -33,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, skew_lookup, stored
+from .common import fresh_path, remove_path, skew_lookup, stored
 
 MIN_REVISIT = 1000
 ARCHIVE_BYTES = 64 << 20
@@ -41,7 +45,7 @@ READ_BYTES = 4 << 20
 GAP_BYTES = 64 << 10
 #: Bytes of records that a task reads, about, where there are many.
 TASK_BYTES = 128 << 20
-#: Groups of equal payloads that are broadcast at most; beyond, they are joined by a shuffle.
+#: Groups of equal payloads that are broadcast at most; beyond, records are staged and the index is joined.
 BROADCAST_GROUPS = 50_000
 _DATE = "2020-01-01T00:00:00Z"
 _INDEX = "archive string, offset long, length long, page_id long, url string, digest string, record_type string"
@@ -94,67 +98,113 @@ def parse_record(raw: bytes) -> dict:
     return {"fields": fields, "payload": rest[:size], "whole": rest[size:] == b"\r\n\r\n"}
 
 
+def payload_rows(pages: DataFrame) -> DataFrame:
+    """page_id, url, html (bytes), digest."""
+    payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("html"))
+    return rows.withColumn("digest", F.sha1("html"))
+
+
 def equal_payloads(rows: DataFrame, min_revisit: int) -> DataFrame:
-    """digest, keeper (largest page_id), copies (rows with that id) and n (rows) of payloads that several rows share."""
+    """digest, keeper (largest page_id) and copies (rows with that id) of payloads that several rows share."""
     by_id = rows.where(F.octet_length("html") >= min_revisit).groupBy("digest", "page_id").agg(F.count("*").alias("c"))
     groups = by_id.groupBy("digest").agg(F.max("page_id").alias("keeper"), F.max_by("c", "page_id").alias("copies"), F.sum("c").alias("n"))
-    return stored(groups.where("n > 1"), "equal-payloads")
+    return stored(groups.where("n > 1").drop("n"), "equal-payloads")
 
 
-def with_references(pages: DataFrame, min_revisit: int = MIN_REVISIT, broadcast_groups: int = BROADCAST_GROUPS) -> DataFrame:
-    """page_id, url, html (bytes), digest, refers_to (null for responses)."""
-    payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("html"))
-    rows = rows.withColumn("digest", F.sha1("html"))
-    groups = equal_payloads(rows, min_revisit)
-    if groups.count() <= broadcast_groups:
-        marked = rows.join(F.broadcast(groups.drop("n")), "digest", "left")
-    else:
-        marked = skew_lookup(rows, groups, "digest", "n", F.xxhash64("page_id", "url"))
-    own = F.coalesce(F.col("page_id") == F.col("keeper"), F.lit(False))
-    if groups.where("copies > 1").isEmpty():
-        return marked.select("page_id", "url", "html", "digest", F.when(~own, F.col("keeper")).alias("refers_to"))
-    # Several rows with a keeper's id: they are counted before they are dealt by id, and the first is the response.
-    several = own & (F.col("copies") > 1)
-    counted = marked.where(several).groupBy("page_id", "digest", "url").agg(F.first("html").alias("html"), F.first("keeper").alias("keeper"), F.count("*").alias("c"))
-    numbered = counted.withColumn("r", F.expr("row_number() over (partition by page_id, digest order by url)"))
-    rows_again = numbered.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("c"))))
-    repeated = rows_again.select("page_id", "url", "html", "digest", F.when((F.col("r") > 1) | (F.col("i") > 1), F.col("keeper")).alias("refers_to"))
-    return marked.where(~several).select("page_id", "url", "html", "digest", F.when(~own, F.col("keeper")).alias("refers_to")).unionByName(repeated)
+def with_references(index: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
+    """A staged index with refers_to: of equal payloads one record of the largest page_id, the first in the archives, is the response."""
+    at = F.struct("archive", "offset")
+    by_id = index.where(F.col("payload_bytes") >= min_revisit).groupBy("digest", "page_id").agg(F.count("*").alias("c"), F.min(at).alias("first"))
+    groups = by_id.groupBy("digest").agg(F.max("page_id").alias("keeper"), F.max_by("first", "page_id").alias("first"), F.sum("c").alias("n")).where("n > 1")
+    marked = skew_lookup(index, stored(groups, "staged-groups"), "digest", "n", F.xxhash64("archive", "offset"))
+    return marked.select(*index.columns, F.when(at != F.col("first"), F.col("keeper")).alias("refers_to"))
 
 
-def write(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT, archive_bytes: int = ARCHIVE_BYTES, broadcast_groups: int = BROADCAST_GROUPS) -> DataFrame:
-    """Write every row of pages(page_id, url, html) as a record under folder; the index, stored."""
-    marked = with_references(pages, min_revisit, broadcast_groups)
+class _Archives:
+    """Archives that one task writes, rolled at ``most`` bytes."""
+
+    def __init__(self, folder: str, most: int):
+        self.files, self.root = filesystem(folder)
+        self.files.create_dir(self.root, recursive=True)
+        self.most, self.out, self.name, self.at = most, None, "", 0
+
+    def append(self, raw: bytes) -> tuple[str, int, int]:
+        """Archive, offset and length of the record that was written."""
+        if self.out is None or self.at >= self.most:
+            self.close()
+            self.name, self.at = f"part-{uuid.uuid4().hex}.warc.gz", 0
+            self.out = self.files.open_output_stream(f"{self.root}/{self.name}", compression=None)
+        self.out.write(raw)
+        self.at += len(raw)
+        return self.name, self.at - len(raw), len(raw)
+
+    def close(self) -> None:
+        if self.out is not None:
+            self.out.close()
+
+
+def _append(rows: DataFrame, folder: str, archive_bytes: int) -> DataFrame:
+    """Write rows (page_id, url, html, digest, refers_to) as records; the index with payload_bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, root = filesystem(folder)
-        files.create_dir(root, recursive=True)
-        out, name, at = None, "", 0
+        archives = _Archives(folder, archive_bytes)
         for batch in batches:
             index: list[tuple] = []
             ids, urls, bodies, digests, refers = batch.columns
             for page_id, url, body, digest, to in zip(ids.to_pylist(), urls.to_pylist(), bodies, digests.to_pylist(), refers.to_pylist(), strict=True):
-                if out is None or at >= archive_bytes:
-                    if out is not None:
-                        out.close()
-                    name, at = f"part-{uuid.uuid4().hex}.warc.gz", 0
-                    out = files.open_output_stream(f"{root}/{name}", compression=None)
-                raw = gzip.compress(record(page_id, url, body.as_py(), digest, to), 6, mtime=0)
-                out.write(raw)
-                index.append((name, at, len(raw), page_id, url, digest, "response" if to is None else "revisit"))
-                at += len(raw)
+                payload = body.as_py()
+                place = archives.append(gzip.compress(record(page_id, url, payload, digest, to), 6, mtime=0))
+                index.append((*place, page_id, url, digest, "response" if to is None else "revisit", len(payload)))
             if index:
                 yield _rows(index)
-        if out is not None:
-            out.close()
+        archives.close()
 
-    return stored(marked.mapInArrow(run, _INDEX), "warc-index")
+    return rows.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(run, _INDEX + ", payload_bytes long")
+
+
+def _settle(marked: DataFrame, staged: str, folder: str, archive_bytes: int) -> DataFrame:
+    """Staged records as final ones: responses copied, the payloads of revisits left out; the index with payload_bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        archives, reader = _Archives(folder, archive_bytes), _Reader(staged)
+        for batch in batches:
+            rows = batch.to_pylist()
+            for members, first, stop in reader.members([(r["archive"], r["offset"], r["length"]) for r in rows]):
+                index = []
+                for raw, r in zip(members, rows[first:stop], strict=True):
+                    to = r["refers_to"]
+                    if to is not None:
+                        raw = gzip.compress(record(r["page_id"], r["url"], parse_record(raw)["payload"], r["digest"], to), 6, mtime=0)
+                    index.append((*archives.append(raw), r["page_id"], r["url"], r["digest"], "response" if to is None else "revisit", r["payload_bytes"]))
+                yield _rows(index)
+        archives.close()
+        reader.close()
+
+    return _dealt(marked).mapInArrow(run, _INDEX + ", payload_bytes long")
+
+
+def write(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT, archive_bytes: int = ARCHIVE_BYTES, broadcast_groups: int = BROADCAST_GROUPS) -> DataFrame:
+    """Write every row of pages(page_id, url, html) as a record under folder; the index, stored."""
+    rows = payload_rows(pages)
+    groups, staged = equal_payloads(rows, min_revisit), None
+    if groups.count() <= broadcast_groups and groups.where("copies > 1").isEmpty():
+        own = F.coalesce(F.col("page_id") == F.col("keeper"), F.lit(False))
+        marked = rows.join(F.broadcast(groups), "digest", "left").withColumn("refers_to", F.when(~own, F.col("keeper")))
+        index = _append(marked, folder, archive_bytes)
+    else:
+        staged = archive_folder(pages)
+        responses = stored(_append(rows.withColumn("refers_to", F.lit(None).cast("long")), staged, archive_bytes), "warc-staged-index")
+        index = _settle(with_references(responses, min_revisit), staged, folder, archive_bytes)
+    index = stored(index.drop("payload_bytes"), "warc-index")
+    if staged:
+        remove_path(pages.sparkSession, staged)
+    return index
 
 
 def _rows(index: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
-    names = ["archive", "offset", "length", "page_id", "url", "digest", "record_type"]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()]
+    names = ["archive", "offset", "length", "page_id", "url", "digest", "record_type", "payload_bytes"]
     return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*index, strict=True), kinds, strict=True)], names)
 
 
@@ -171,38 +221,55 @@ def ranges(entries: list[tuple[int, int]], gap: int = GAP_BYTES, most: int = REA
     return out
 
 
+class _Reader:
+    """Coalesced reads of records, one open archive at a time."""
+
+    def __init__(self, folder: str):
+        self.files, self.root = filesystem(folder)
+        self.current, self.source = None, None
+
+    def members(self, places: list[tuple[str, int, int]]) -> Iterator[tuple[list[bytes], int, int]]:
+        """The gzip members at places (archive, offset, length), sorted by them, with the range of places that each read covers."""
+        at = 0
+        while at < len(places):
+            end = at
+            while end < len(places) and places[end][0] == places[at][0]:
+                end += 1
+            if places[at][0] != self.current:
+                self.close()
+                self.current = places[at][0]
+                self.source = self.files.open_input_file(f"{self.root}/{self.current}")
+            entries = [(o, n) for _, o, n in places[at:end]]
+            for offset, size, first, stop in ranges(entries):
+                self.source.seek(offset)
+                data = self.source.read(size)
+                yield [data[o - offset : o - offset + n] for o, n in entries[first:stop]], at + first, at + stop
+            at = end
+
+    def close(self) -> None:
+        if self.source is not None:
+            self.source.close()
+
+
+def _dealt(selected: DataFrame) -> DataFrame:
+    """Index rows dealt by bytes to read, in a stated number of parts: they are so small that adaptive execution would put all into one."""
+    total = selected.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    parts = int(max(1, -(-total // TASK_BYTES), min(-(-total // READ_BYTES), int(selected.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+    stretch = F.floor(F.col("offset") / READ_BYTES)
+    return selected.repartition(parts, "archive", stretch).sortWithinPartitions("archive", "offset")
+
+
 def read(selected: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
     """Records of the selected index rows: page_id, url, record_type, refers_to, payload_bytes, digest, payload (of responses)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, root = filesystem(folder)
-        current, source = None, None
+        reader = _Reader(folder)
         for batch in batches:
-            rows = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
-            at = 0
-            while at < len(rows):
-                end = at
-                while end < len(rows) and rows[end][0] == rows[at][0]:
-                    end += 1
-                if rows[at][0] != current:
-                    if source is not None:
-                        source.close()
-                    current = rows[at][0]
-                    source = files.open_input_file(f"{root}/{current}")
-                entries = [(o, n) for _, o, n in rows[at:end]]
-                for offset, size, first, stop in ranges(entries):
-                    source.seek(offset)
-                    data = source.read(size)
-                    yield _records([data[o - offset : o - offset + n] for o, n in entries[first:stop]], payloads)
-                at = end
-        if source is not None:
-            source.close()
-
-    # Dealt by bytes to read, in a stated number of parts: index rows are so small that adaptive execution would put all into one.
-    total = selected.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
-    parts = int(max(1, -(-total // TASK_BYTES), min(-(-total // READ_BYTES), int(selected.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
-    stretch = F.floor(F.col("offset") / READ_BYTES)
-    dealt = selected.select("archive", "offset", "length").repartition(parts, "archive", stretch).sortWithinPartitions("archive", "offset")
+            for members, _, _ in reader.members(list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))):
+                yield _records(members, payloads)
+        reader.close()
+
+    dealt = _dealt(selected.select("archive", "offset", "length"))
     return dealt.mapInArrow(run, "page_id long, url string, record_type string, refers_to long, payload_bytes long, digest string, payload binary")
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -238,6 +239,45 @@ def test_warc_round_trip(spark, groups):
     assert sum(map(len, parts)) == len(data) and all(warc.parse_record(p)["whole"] for p in parts)
 
 
+def payload_exchanges(spark, pages, groups):
+    """Written records without ids, and the shuffles of every query of a write that carry payloads."""
+    from siltstone.llm import common
+
+    plans, real = [], common._stored_at
+
+    def noted(rows, path):
+        mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+        plans.append(rows._jdf.queryExecution().explainString(mode))
+        return real(rows, path)
+
+    common._stored_at = noted
+    try:
+        folder = warc.archive_folder(pages)
+        records = warc.read(warc.write(pages, folder, archive_bytes=2000, broadcast_groups=groups), folder, payloads=False)
+        rows = sorted((r["page_id"], r["record_type"], r["refers_to"] or 0, r["payload_bytes"], r["digest"]) for r in records.collect())
+    finally:
+        common._stored_at = real
+    exchanged = [carried for plan in plans for carried in re.findall(r"\) Exchange\b.*\n(?:Input.*: (.*))", plan)]
+    assert exchanged and any("digest" in x for x in exchanged)
+    return rows, len(plans), [x for x in exchanged if "html" in x]
+
+
+def test_warc_ways_agree_and_shuffle_no_payload(spark):
+    """Groups of copies broadcast, or records staged: the same records, and no exchange that holds html."""
+    rows = [(i, f"u{i}", "<p>same</p>" * 200 if i % 3 == 0 else "q" * 1500 if i % 5 == 0 else f"page {i} " * 150) for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    few, plans, moved = payload_exchanges(spark, stored_copy(spark, pages), 50_000)
+    many, more, also = payload_exchanges(spark, stored_copy(spark, pages), 0)
+    assert few == many and len(few) == 60 and plans >= 2 and more >= 4 and not moved and not also
+    assert {r[2] for r in few if r[1] == "revisit"} == {57, 55}
+
+
+def stored_copy(spark, pages):
+    from siltstone.llm.common import stored
+
+    return stored(pages, "pages-copy")
+
+
 def test_warc_empty_and_ranges(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     folder = warc.archive_folder(pages)
