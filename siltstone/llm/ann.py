@@ -1,12 +1,12 @@
 """Approximate nearest neighbours with a permutation index.
 
-Pivots are drawn from a bounded sample; their number grows with the square root of the number
-of vectors.  Every vector is represented by the order of its LENGTH nearest
+Pivots are drawn from a sample; their number grows with the square root of the number
+of vectors, without a bound.  Every vector is represented by the order of its LENGTH nearest
 pivots (its permutation) and posted in the inverted files of its
 ``post`` nearest pivots.  A query visits the files of its ``visit`` nearest
 pivots, ranks the vectors there by the footrule distance of the permutations (a pivot that is not
 among the nearest counts as the next place),
-and reranks the best ``rerank`` share of each file by exact Euclidean distance in
+and reranks the best ``rerank`` share of each file (k at least) by exact Euclidean distance in
 double precision.  A vector that is posted in several visited files is looked at in the one
 that comes first for the query.  Visits grow with the square root of the number of pivots, so the share
 of all vectors that a query meets falls as the table grows.
@@ -35,13 +35,12 @@ from pyspark.sql import types as T
 
 from .common import stored
 
-LEAST_PIVOTS, MOST_PIVOTS = 128, 4096
+LEAST_PIVOTS = 128
 LENGTH = 64
 SAMPLE = 8192
 POST = 8
-RERANK = 0.35
-#: Vectors of a block that are reranked at least.
-LEAST_RERANK = 100
+RERANK = 0.45
+VISITS = 1.6
 BLOCK = 4096
 QUERY_BLOCK = 1024
 _ENTRY = "file int, block int, chunk int, uid long, vec_id long, vector binary, permutation binary"
@@ -60,21 +59,21 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def pivot_count(total: int) -> int:
-    """Pivots for so many vectors: four times their square root, rounded up to a power of two, within bounds."""
-    return min(MOST_PIVOTS, max(LEAST_PIVOTS, 1 << max(0, 4 * isqrt(total) - 1).bit_length()))
+    """Pivots for so many vectors: four times their square root, rounded up to a power of two, and LEAST_PIVOTS at least."""
+    return max(LEAST_PIVOTS, 1 << max(0, 4 * isqrt(total) - 1).bit_length())
 
 
 def visit_count(pivots: int) -> int:
-    return ceil(1.4 * sqrt(pivots))
+    return ceil(VISITS * sqrt(pivots))
 
 
 def draw_pivots(rows: DataFrame, pivots: int | None = None, sample: int = SAMPLE) -> np.ndarray:
-    """Distinct vectors from a sample of about ``sample`` rows with the smallest hashes."""
+    """Distinct vectors from a sample of about ``sample`` rows with the smallest hashes (twice the pivots, if that is more)."""
     total = rows.count()
     if not total:
         return np.zeros((0, 0))
     pivots = pivots or pivot_count(total)
-    share = min(1.0, sample / total)
+    share = min(1.0, max(sample, 2 * pivots) / total)
     h = F.xxhash64("vec_id", "uid")
     chosen = rows.where(h <= F.lit(min(int(share * 2**64) - 2**63, 2**63 - 1))).select(h.alias("h"), "vector")
     found = sorted(chosen.collect(), key=lambda r: r["h"])  # bounded by the sample size
@@ -82,6 +81,11 @@ def draw_pivots(rows: DataFrame, pivots: int | None = None, sample: int = SAMPLE
     return np.array(distinct) if distinct else draw_pivots(rows, pivots, total)
 
 
+def _number(pivots: int) -> type:
+    """What holds a pivot's number."""
+    return np.uint16 if pivots <= 1 << 16 else np.uint32
+
+
 def permutations(x: np.ndarray, pivots: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """The ``length`` nearest pivots of each row of x from nearest to farthest; ties by pivot number."""
     x = x.astype(np.float64)
@@ -91,14 +95,18 @@ def permutations(x: np.ndarray, pivots: np.ndarray, length: int = LENGTH) -> np.
         near = np.take_along_axis(near, np.argsort(np.take_along_axis(square, near, 1), axis=1, kind="stable"), 1)
     else:
         near = np.argsort(square, axis=1, kind="stable")
-    return near.astype(np.uint16)
+    return near.astype(_number(len(pivots)))
 
 
-def places(order: np.ndarray, pivots: int) -> np.ndarray:
-    """The place of every pivot in each permutation; of those it does not hold, the one after its last."""
-    out = np.full((len(order), pivots), order.shape[1], dtype=np.int16)
-    np.put_along_axis(out, order.astype(np.int64), np.arange(order.shape[1], dtype=np.int16)[None].repeat(len(order), 0), 1)
-    return out
+def footrules(order: np.ndarray, q_place: np.ndarray) -> np.ndarray:
+    """Footrule distance of each permutation to the one whose places are q_place (those it lacks hold its length).
+
+    An entry's pivot adds the difference of its two places.  A pivot of the query that an entry
+    lacks adds what is left to the length: that sum over all of the query's pivots, less those the entry holds.
+    """
+    length = order.shape[1]
+    theirs = q_place[order].astype(np.int64)
+    return np.abs(theirs - np.arange(length)).sum(axis=1) + length * (length + 1) // 2 - (length - theirs).sum(axis=1)
 
 
 def _post(rows: DataFrame, pivots: np.ndarray, count: int, blocks: dict[int, int], chunks: dict[int, int], query: bool) -> DataFrame:
@@ -169,21 +177,19 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
         if len(posted) and len(asked):
             file = posted["file"][0].as_py()
             uid, vec_id = posted["uid"].to_numpy(), np.array(posted["vec_id"].to_pylist(), dtype=object)
-            x, order = _matrix(posted["vector"], number).astype(np.float64), _matrix(posted["permutation"], np.uint16)
-            place = places(order, len(centres))
+            x, order = _matrix(posted["vector"], number).astype(np.float64), _matrix(posted["permutation"], _number(len(centres)))
+            q_place = np.full(len(centres), length, dtype=np.int16)
             files_of = order[:, :post]
             by_id = np.array([(1, 0) if i is None else (0, i) for i in vec_id], dtype=np.int64)
-            for q_uid, q_id, q, q_order in zip(asked["uid"].to_pylist(), asked["vec_id"].to_pylist(), _matrix(asked["vector"], number).astype(np.float64), _matrix(asked["permutation"], np.uint16), strict=True):
-                q_place = places(q_order[None], len(centres))[0]
+            for q_uid, q_id, q, q_order in zip(asked["uid"].to_pylist(), asked["vec_id"].to_pylist(), _matrix(asked["vector"], number).astype(np.float64), _matrix(asked["permutation"], _number(len(centres))), strict=True):
+                q_place[q_order] = np.arange(length)
                 here = np.flatnonzero((q_place[files_of].min(axis=1) == q_place[file]) & (uid != q_uid))
+                footrule = footrules(order[here], q_place)
+                q_place[q_order] = length
                 if not len(here):
                     continue
-                most = max(LEAST_RERANK, int(np.ceil(rerank * len(here))))
+                most = max(k, ceil(rerank * len(here)))
                 if len(here) > most:
-                    # Pivots that neither holds add nothing, so the query's own and the entries' nearest ones are all that count.
-                    own = np.abs(place[np.ix_(here, q_order)] - q_place[q_order]).sum(axis=1, dtype=np.int64)
-                    theirs = np.where(q_place[order[here]] == length, length - np.arange(length), 0).sum(axis=1, dtype=np.int64)
-                    footrule = own + theirs
                     here = here[np.lexsort((by_id[here, 1], by_id[here, 0], footrule))[:most]]
                 score = np.sqrt(((x[here] - q) ** 2).sum(axis=1))
                 best = np.lexsort((by_id[here, 1], by_id[here, 0], score))[:k]

@@ -408,9 +408,30 @@ def test_footrule_of_nearest_pivots():
     full = np.argsort(((x[:, None] - pivots[None]) ** 2).sum(axis=2), axis=1, kind="stable")
     near = ann.permutations(x, pivots, 12)
     assert (near == full[:, :12]).all() and (ann.permutations(x, pivots, 64) == full).all()
-    place = ann.places(near, 40)
-    for i in range(50):
-        assert [place[i, p] for p in near[i]] == list(range(12)) and sorted(place[i])[12:] == [12] * 28
+    place = [{int(p): k for k, p in enumerate(row)} for row in near]
+    for q in range(50):
+        q_place = np.full(40, 12, dtype=np.int16)
+        q_place[near[q]] = np.arange(12)
+        want = [sum(abs(place[i].get(p, 12) - place[q].get(p, 12)) for p in range(40)) for i in range(50)]
+        assert ann.footrules(near, q_place).tolist() == want
+    assert ann.permutations(x, pivots).dtype == np.uint16 and ann._number(70_000) == np.uint32
+    assert [ann.pivot_count(n) for n in (0, 2_000, 10**6, 10**9)] == [128, 256, 4096, 1 << 17]
+
+
+def test_footrule_decides_at_the_size_of_the_tables(spark):
+    """Reranking all that is met finds more than the share that footrule lets through, and the share is enough."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(2000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    hits = {}
+    for share in (ann.RERANK, 1.0):
+        hits[share] = 0
+        for r in ann.search(table, F.col("vec_id") % 100 == 0, rerank=share).collect():
+            d = np.sqrt(((x - x[r["query_id"]]) ** 2).sum(axis=1))
+            d[r["query_id"]] = np.inf
+            hits[share] += r["vec_id"] in set(np.argsort(d, kind="stable")[:10].tolist())
+    assert 180 <= hits[ann.RERANK] < hits[1.0]
 
 
 def test_search_recall_at_more_vectors(spark):
