@@ -7,9 +7,10 @@ vector machines vote for the family; those between the languages of that family
 vote for the language.  The score is the product of the winner's weakest
 pairwise confidences at both levels.
 
-The models are trained on the driver from at most ``per_lang`` labelled texts a
-language, those with the smallest hashes, whose feature vectors (not texts) are
-gathered; prediction reads every whole text.
+The models are trained from at most ``per_lang`` labelled texts a language, those with the
+smallest hashes.  Each machine is a group of its own, with the feature vectors of the languages it
+separates, so machines are trained side by side in tasks; only their weights (bounded
+by the number of languages) come to the driver.  Prediction reads every whole text.
 
 Edge cases: null texts and texts without letters are ``und`` with score 0, and
 so is everything if there is nothing to learn from; one known language is
@@ -30,6 +31,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import stored
+
 UND = "und"
 PER_LANG = 400
 UNIGRAMS, BIGRAMS, TRIGRAMS = 256, 1024, 4096
@@ -106,16 +109,6 @@ class Votes:
     pairs: np.ndarray
     weights: np.ndarray
 
-    @classmethod
-    def train(cls, x: np.ndarray, y: np.ndarray) -> Votes:
-        labels = sorted(set(y.tolist()))
-        pairs, weights = [], []
-        for a, b in combinations(range(len(labels)), 2):
-            rows = (y == labels[a]) | (y == labels[b])
-            weights.append(train_svm(x[rows], np.where(y[rows] == labels[a], 1.0, -1.0)))
-            pairs.append((a, b))
-        return cls(labels, np.array(pairs, dtype=np.int64).reshape(-1, 2), np.array(weights, dtype=np.float32).reshape(len(pairs), x.shape[1] + 1))
-
     def predict(self, x: np.ndarray) -> tuple[str, float]:
         """The label with most votes (ties: larger sum of margins, then label order), and its weakest confidence."""
         if len(self.labels) == 1:
@@ -137,13 +130,6 @@ class Model:
     families: Votes
     languages: dict[str, Votes]
 
-    @classmethod
-    def train(cls, x: np.ndarray, langs: list[str]) -> Model:
-        y = np.array(langs, dtype=object)
-        family = np.array([_FAMILY_OF.get(v, v) for v in langs], dtype=object)
-        within = {f: Votes.train(x[family == f], y[family == f]) for f in sorted(set(family.tolist()))}
-        return cls(Votes.train(x, family), within)
-
     def predict(self, text: str | None) -> tuple[str, float]:
         x = features(text)
         if x is None:
@@ -174,18 +160,52 @@ def training_rows(docs: DataFrame, per_lang: int, id_col: str, text_col: str, la
     return chosen.groupBy("lang", "h").agg(F.min("x").alias("x"))  # repeated rows once
 
 
+def machines(labels: list[str]) -> list[tuple[str | None, str, str, dict[str, float]]]:
+    """(family, or None for those between families; label of each side; the side of every language it separates, +1 or -1)."""
+    families: dict[str, list[str]] = {}
+    for lang in labels:
+        families.setdefault(_FAMILY_OF.get(lang, lang), []).append(lang)
+    out = [(None, a, b, dict.fromkeys(families[a], 1.0) | dict.fromkeys(families[b], -1.0)) for a, b in combinations(sorted(families), 2)]
+    return out + [(f, a, b, {a: 1.0, b: -1.0}) for f in sorted(families) for a, b in combinations(sorted(families[f]), 2)]
+
+
+def train_machines(rows: DataFrame, found: list[tuple[str | None, str, str, dict[str, float]]]) -> dict[int, np.ndarray]:
+    """Weights of every machine, by its place in ``found``, from rows (lang, h, x)."""
+    spark = rows.sparkSession
+    sides = spark.createDataFrame([(lang, m, y) for m, (*_, of) in enumerate(found) for lang, y in of.items()], "lang string, machine int, y double")
+
+    def run(table: pa.Table) -> pa.Table:
+        order = sorted(zip(table["lang"].to_pylist(), table["h"].to_pylist(), table["x"].to_pylist(), table["y"].to_pylist(), strict=True))
+        x = np.empty((len(order), DIMS), dtype=np.float32)
+        for i, (_, _, packed, _) in enumerate(order):
+            x[i] = np.frombuffer(packed, dtype="<f2")
+        weights = train_svm(x, np.array([y for *_, y in order])).astype("<f4").tobytes()
+        return pa.table([table["machine"].slice(0, 1), pa.array([weights], pa.binary())], names=["machine", "weights"])
+
+    # A stated number of parts: the vectors are so small that adaptive execution would train all machines in one task.
+    parts = max(1, min(len(found), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    groups = rows.join(sides, "lang").repartition(parts, "machine").groupBy("machine")
+    return {r["machine"]: np.frombuffer(r["weights"], dtype="<f4") for r in groups.applyInArrow(run, "machine int, weights binary").collect()}
+
+
 def fit(docs: DataFrame, per_lang: int = PER_LANG, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """Train on the rows that are not held out; None if no row has a label and letters."""
-    found: dict[str, list[tuple[int, bytes]]] = {}
-    for row in training_rows(docs, per_lang, id_col, text_col, lang_col).collect():  # about 1.2 times per_lang a language
-        found.setdefault(row["lang"], []).append((row["h"], row["x"]))
-    rows = [(lang, x) for lang in sorted(found) for _, x in sorted(found[lang])[:per_lang]]
-    if not rows:
+    looked_at = training_rows(docs, per_lang, id_col, text_col, lang_col)  # about 1.2 times per_lang a language
+    first = F.expr("row_number() over (partition by lang order by h, x)")
+    rows = stored(looked_at.withColumn("r", first).where(F.col("r") <= per_lang).drop("r"), "language-vectors")
+    labels = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
+    if not labels:
         return None
-    x = np.empty((len(rows), DIMS), dtype=np.float32)
-    for i, (_, packed) in enumerate(rows):
-        x[i] = np.frombuffer(packed, dtype="<f2")
-    return Model.train(x, [lang for lang, _ in rows])
+    found = machines(labels)
+    weights = train_machines(rows, found) if found else {}
+
+    def votes(family: str | None, names: list[str]) -> Votes:
+        own = [(m, names.index(a), names.index(b)) for m, (f, a, b, _) in enumerate(found) if f == family]
+        pairs = np.array([(a, b) for _, a, b in own], dtype=np.int64).reshape(-1, 2)
+        return Votes(names, pairs, np.array([weights[m] for m, _, _ in own], dtype=np.float32).reshape(len(own), DIMS + 1))
+
+    families = {f: [x for x in labels if _FAMILY_OF.get(x, x) == f] for f in sorted({_FAMILY_OF.get(x, x) for x in labels})}
+    return Model(votes(None, list(families)), {f: votes(f, names) for f, names in families.items()})
 
 
 def classify(docs: DataFrame, model: Model | None, keep: list[str], text_col: str = "text", out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

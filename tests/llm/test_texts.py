@@ -184,12 +184,28 @@ def test_contamination_of_nothing(spark, docs, no_docs):
 SPEECH = {"en": "the house and garden with that were there when something which", "de": "das haus und garten mit nicht aber auch wenn etwas welche", "fr": "la maison et le jardin avec pas mais aussi quand quelque chose", "es": "la casa y el jardin con no pero tambien cuando algo cual"}
 
 
+def check_machines(docs, model, per_lang):
+    """The machines that tasks trained are those trained here one after the other, family by family."""
+    rows = sorted((r["lang"], r["h"], r["x"]) for r in langid.training_rows(docs, per_lang, "doc_id", "text", "lang").collect())
+    chosen = [r for k, r in enumerate(rows) if sum(s[0] == r[0] for s in rows[:k]) < per_lang]
+    x = np.array([np.frombuffer(v, dtype="<f2") for *_, v in chosen]).astype(np.float32)
+    langs = np.array([lang for lang, *_ in chosen])
+    family = np.array([langid._FAMILY_OF.get(v, v) for v in langs])
+    for votes, y, inside in [(model.families, family, langs == langs)] + [(v, langs, family == f) for f, v in model.languages.items()]:
+        assert votes.labels == sorted(set(y[inside].tolist())) and len(votes.pairs) == len(votes.weights) == len(votes.labels) * (len(votes.labels) - 1) // 2
+        for (a, b), w in zip(votes.pairs, votes.weights, strict=True):
+            a, b = votes.labels[a], votes.labels[b]
+            these = inside & ((y == a) | (y == b))
+            assert np.allclose(langid.train_svm(x[these], np.where(y[these] == a, 1.0, -1.0)), w, atol=1e-6)
+
+
 def test_language_id_held_out_accuracy(spark):
     rng = random.Random(3)
     rows = [(i, " ".join(rng.choices(SPEECH[lang].split(), k=rng.randint(8, 40))), lang) for i, lang in enumerate(list(SPEECH) * 100)]
     extra = [(1000, None, "en"), (1001, "12 !! €", "en"), (1002, "", None), (None, rows[0][1], "en"), (1003, rows[1][1], None), (1004, "\U0001f600 —", "de")]
     docs = spark.createDataFrame([(*r, "x") for r in rows + extra], "doc_id long, text string, lang string, score string")
     model = langid.fit(docs, per_lang=40)
+    check_machines(docs, model, 40)
     out = langid.classify(docs, model, ["doc_id", "lang", "score"]).withColumn("held", langid.held_out()).collect()
     held = [r for r in out if r["held"] and r["doc_id"] < 1000]
     assert len(held) > 40 and sum(r["lang"] == r["lang_pred"] for r in held) / len(held) > 0.97
