@@ -39,8 +39,8 @@ LEAST_PIVOTS = 128
 LENGTH = 64
 SAMPLE = 8192
 POST = 8
-RERANK = 0.45
-VISITS = 1.6
+RERANK = 0.8
+VISITS = 2.0
 BLOCK = 4096
 QUERY_BLOCK = 1024
 _ENTRY = "file int, block int, chunk int, uid long, vec_id long, vector binary, permutation binary"
