@@ -3,9 +3,11 @@
 Every line is parsed by a tree of fixed depth: its number of tokens, then its DEPTH
 leading tokens; tokens with a digit are variable fields (``<*>``) from the start.  A
 leaf holds all lines that share this path.  Where a leaf has several patterns, a
-position whose commonest token stands in fewer than half of the leaf's
-documents generalises to ``<*>``; a pattern that agrees with at least SIMILAR of all positions
-of this template belongs to it, the others stand for themselves.
+position whose commonest token has fewer than half of them (each counted in as many documents
+as it stands in) generalises to ``<*>``; a pattern that agrees with at least SIMILAR of all positions
+of this template belongs to it.  The others are divided by their token at the position with
+the fewest different ones, those whose token there is too rare to recur staying together, and each part has a template of its own,
+until nothing in it can recur: a leaf has as many templates as it has families of lines.  What no template takes stands for itself.
 
 A template that occurs in at least MIN_DOCS documents is recurring.  Its first
 occurrence (smallest doc_id, then line number) stays, the others are dropped.  Lines with fewer than
@@ -21,6 +23,8 @@ empty table gives an empty result; ties in a position go to the larger token; ot
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,30 +72,52 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, min_tokens: int, short:
     return rows.where(wanted).withColumn("leaf", leaf)
 
 
+def _families(texts: DataFrame, min_docs: int, similar: float) -> DataFrame:
+    """(shape, template) of every pattern that a template takes; texts: shape, node (the leaf), tokens (an array), docs.
+
+    One round gives every node its template and divides what is left.  A part is always smaller than its
+    node, and a node without a token that min_docs documents share and others lack is not divided, so the rounds end.
+    """
+    spark, taken, live = texts.sparkSession, [], texts
+    while True:
+        sizes = live.groupBy("node").agg(F.sum("docs").alias("node_docs"), F.count("*").alias("w")).where((F.col("node_docs") >= min_docs) & (F.col("w") > 1))
+        each = live.select("node", "docs", F.posexplode("tokens").alias("at", "token"))
+        counted = stored(each.groupBy("node", "at", "token").agg(F.sum("docs").alias("docs"), F.count("*").alias("w")), "node-tokens")
+        # Commonest token of each position; ties go to the larger token.
+        top = counted.groupBy("node", "at").agg(F.max(F.struct("docs", "token")).alias("top"), F.count("*").alias("kinds")).join(sizes, "node")
+        constant = F.when(F.col("top.docs") * 2 >= F.col("node_docs"), F.col("top.token"))
+        dividing = F.when((F.col("kinds") > 1) & (F.col("top.docs") >= min_docs), F.struct("kinds", "at"))
+        nodes = top.select("node", "w", "at", constant.alias("token"), dividing.alias("dividing")).groupBy("node", "w")
+        nodes = nodes.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "token"))), lambda x: x["token"]).alias("template"), F.min("dividing")["at"].alias("split"))
+        nodes = stored(nodes, "node-templates")
+        agree = F.size(F.filter(F.zip_with("template", "tokens", lambda a, b: F.coalesce(a == b, F.lit(False))), lambda x: x))
+        held = skew_lookup(live, nodes, "node", "w", F.xxhash64("shape")).where("template is not null")
+        held = stored(held.withColumn("general", agree >= F.size("tokens") * F.lit(similar)).drop("template"), "node-patterns")
+        taken.append(held.where("general").select("shape", F.hex(F.xxhash64("node", F.size("tokens"))).alias("template")))
+        left = held.where("not general and split is not null")
+        if left.isEmpty():
+            return functools.reduce(DataFrame.unionByName, taken)
+        part = F.xxhash64("node", "split", F.element_at("tokens", F.col("split") + 1))
+        shared = counted.where(F.col("docs") >= min_docs).join(nodes.select("node", F.col("split").alias("at")), ["node", "at"])
+        shared = stored(shared.select(F.xxhash64("node", "at", "token").alias("part"), F.lit(True).alias("shared"), "w"), "node-parts")
+        left = skew_lookup(left.withColumn("part", part), shared, "part", "w", F.xxhash64("shape"))
+        left = left.select("shape", F.when(F.col("shared"), F.col("part")).otherwise(F.xxhash64("node", "split")).alias("node"), "tokens", "docs")
+        live = stored(left, "node-rest")
+
+
 def templates(lines: DataFrame, index: DataFrame, min_docs: int, similar: float) -> DataFrame:
     """(shape, n, first_doc, first_line) of every pattern of a recurring template: its hash, its lines, the template's first occurrence."""
     by_doc = index.groupBy("leaf", "shape", "doc").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "doc", "line")).alias("first"))
-    patterns = by_doc.groupBy("leaf", "shape").agg(F.count("*").alias("docs"), F.sum("n").alias("n"), F.min("first").alias("first"))
-    leaves = index.select("leaf", "doc").distinct().groupBy("leaf").agg(F.count("*").alias("leaf_docs"))
-    patterns = stored(patterns.join(leaves.where(F.col("leaf_docs") >= min_docs), "leaf"), "line-patterns")
-    several = patterns.groupBy("leaf").agg(F.count("*").alias("patterns")).where("patterns > 1").select("leaf")
-
-    wanted = patterns.join(several, "leaf", "left_semi").select("shape", "docs", "leaf_docs")
-    texts = lines.select("pattern", "leaf", "tokens").join(several, "leaf", "left_semi").withColumn("shape", F.unhex(F.md5("pattern")))
-    texts = texts.groupBy("shape").agg(F.first("pattern").alias("pattern"), F.first("leaf").alias("leaf"), F.first("tokens").alias("tokens"))
-    texts = stored(texts.join(wanted, "shape"), "pattern-texts")
-    tokens = texts.select("leaf", "docs", "leaf_docs", F.posexplode(F.split("pattern", " ")).alias("at", "token"))
-    counted = tokens.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("docs"), F.max("leaf_docs").alias("leaf_docs"))
-    # Commonest token of each position; ties go to the larger token.
-    top = counted.groupBy("leaf", "at").agg(F.max(F.struct("docs", "token")).alias("top"), F.max("leaf_docs").alias("leaf_docs"))
-    constant = F.when(F.col("top.docs") * 2 >= F.col("leaf_docs"), F.col("top.token"))
-    template = top.select("leaf", "at", constant.alias("token")).groupBy("leaf").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "token"))), lambda x: x["token"]).alias("template"))
-    agree = F.size(F.filter(F.zip_with("template", F.split("pattern", " "), lambda a, b: F.coalesce(a == b, F.lit(False))), lambda x: x))
-    sizes = texts.groupBy("leaf").agg(F.count("*").alias("w"))
-    held = skew_lookup(texts, template.join(sizes, "leaf"), "leaf", "w", F.xxhash64("shape"))
-    general = held.where(agree >= F.col("tokens") * F.lit(similar)).select("shape", F.lit(True).alias("general"))
-
-    grouped = patterns.join(general, "shape", "left").withColumn("template", F.when(F.col("general"), F.hex(F.col("leaf"))).otherwise(F.hex("shape")))
+    patterns = stored(by_doc.groupBy("leaf", "shape").agg(F.count("*").alias("docs"), F.sum("n").alias("n"), F.min("first").alias("first")), "line-patterns")
+    several = patterns.groupBy("leaf").agg(F.count("*").alias("patterns"), F.sum("docs").alias("docs")).where((F.col("patterns") > 1) & (F.col("docs") >= min_docs)).select("leaf")
+
+    wanted = patterns.join(several, "leaf", "left_semi").select("shape", "docs")
+    texts = lines.select("pattern", "leaf").join(several, "leaf", "left_semi").withColumn("shape", F.unhex(F.md5("pattern")))
+    texts = texts.groupBy("shape").agg(F.first("pattern").alias("pattern"), F.first("leaf").alias("leaf"))
+    texts = stored(texts.join(wanted, "shape").select("shape", F.col("leaf").alias("node"), F.split("pattern", " ").alias("tokens"), "docs"), "pattern-texts")
+    general = _families(texts, min_docs, similar).withColumn("general", F.lit(True))
+
+    grouped = patterns.join(general, "shape", "left")
     # Documents of a general template are counted once, whichever of its patterns they hold.
     merged = stored(grouped.where("general").select("shape", "template", "docs"), "general-patterns")
     held = skew_lookup(index.select("shape", "doc").distinct(), merged, "shape", "docs", F.xxhash64("doc")).where("template is not null")

@@ -39,7 +39,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _OP2_SQL = r"""
-with x as (
+with recursive x as (
   select doc_id, unnest(string_split(text, chr(10))) as raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line from documents where text is not null
 ), z as (
   select doc_id, line, raw, folded, list_transform(string_split(folded, ' '), lambda t: case when regexp_matches(t, '[0-9]') then '<*>' else t end) as toks
@@ -47,19 +47,32 @@ with x as (
 ), p as (
   select doc_id, line, toks, len(toks) as n, case when len(toks) >= 4 then array_to_string(toks, ' ') else folded end as pattern,
     case when len(toks) >= 4 then concat(len(toks), '|', array_to_string(toks[1:3], ' ')) else concat('s|', folded) end as leaf from z where folded <> ''
-), leafs as (
-  select leaf, count(distinct doc_id) as leaf_docs, count(distinct pattern) as patterns from p group by 1
 ), pat as (
   select leaf, pattern, any_value(toks) as toks, any_value(n) as n, count(distinct doc_id) as docs from p group by 1, 2
-), tok as (
-  select leaf, i as pos, toks[i] as token, sum(docs) as docs from (select leaf, toks, docs, unnest(range(1, n + 1)) as i from pat) group by 1, 2, 3
-), top as (
-  select leaf, pos, max_by(token, struct_pack(d := docs, t := token)) as token, max(docs) as docs from tok group by 1, 2
-), tmpl as (
-  select leaf, list(case when top.docs * 2 >= leaf_docs then token end order by pos) as template from top join leafs using (leaf) where patterns > 1 group by 1
+), live(node, tid, pattern, toks, n, docs) as (
+  select leaf, cast(null as varchar), pattern, toks, n, docs from pat
+  union all
+  (
+    with a as (
+      select node, pattern, toks, n, docs from live where tid is null
+    ), sizes as (
+      select node, sum(docs) as total from a group by 1 having sum(docs) >= 3 and count(*) > 1
+    ), tok as (
+      select node, i as pos, toks[i] as token, sum(docs) as docs from (select node, toks, docs, unnest(range(1, n + 1)) as i from a join sizes using (node)) group by 1, 2, 3
+    ), top as (
+      select node, pos, max_by(token, struct_pack(d := docs, t := token)) as token, max(docs) as docs, count(*) as kinds from tok group by 1, 2
+    ), tmpl as (
+      select node, list(case when top.docs * 2 >= total then token end order by pos) as template, min(struct_pack(k := kinds, p := pos)) filter (kinds > 1 and top.docs >= 3) as split
+      from top join sizes using (node) group by 1
+    ), held as (
+      select a.*, split.p as pos, toks[split.p] as token, len(list_filter(range(1, n + 1), lambda i: coalesce(template[i] = toks[i], false))) >= n * cast(0.7 as double) as general
+      from a join tmpl using (node)
+    )
+    select case when tok.docs >= 3 then concat(held.node, chr(10), held.pos, ' ', held.token) else concat(held.node, chr(10), held.pos) end, case when general then concat('g', held.node) end, pattern, toks, n, held.docs
+    from held left join tok on tok.node = held.node and tok.pos = held.pos and tok.token = held.token where general or held.pos is not null
+  )
 ), named as (
-  select pat.leaf, pattern, case when template is not null and len(list_filter(range(1, n + 1), lambda i: coalesce(template[i] = toks[i], false))) >= n * cast(0.7 as double) then concat('g', pat.leaf) else concat('p', pattern) end as tid
-  from pat left join tmpl using (leaf)
+  select leaf, pattern, coalesce(tid, concat('p', pattern)) as tid from pat left join (select pattern, tid from live where tid is not null) using (pattern)
 ), occ as (
   select doc_id, line, tid from p join named using (leaf, pattern)
 ), rec as (

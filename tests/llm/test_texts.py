@@ -6,6 +6,7 @@ import re
 import unicodedata
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -271,23 +272,37 @@ def slow_lines(rows, min_tokens=4, min_docs=3, similar=0.7):
             if len(words) >= min_tokens:
                 lines.append(((d, t), n, tuple(words)))
     leaf = lambda p: (len(p), p[:3])
-    leaf_docs, pattern_docs, patterns = defaultdict(set), defaultdict(set), defaultdict(set)
+    pattern_docs, patterns = defaultdict(set), defaultdict(set)
     for d, _, p in lines:
-        leaf_docs[leaf(p)].add(d)
         pattern_docs[p].add(d)
         patterns[leaf(p)].add(p)
-    template = {}
-    for key_, ps in patterns.items():
-        common = []
-        for at in range(key_[0]):
+    template = {p: p for p in pattern_docs}
+
+    def divide(name, ps):
+        total = sum(len(pattern_docs[p]) for p in ps)
+        if len(ps) < 2 or total < min_docs:
+            return
+        common, splits = [], []
+        for at, column in enumerate(zip(*ps, strict=True)):
             counts = Counter()
-            for p in ps:
-                counts[p[at]] += len(pattern_docs[p])
+            for p, w in zip(ps, column, strict=True):
+                counts[w] += len(pattern_docs[p])
             n, w = max((n, w) for w, n in counts.items())
-            common.append(w if 2 * n >= len(leaf_docs[key_]) else None)
+            common.append(w if 2 * n >= total else None)
+            if len(counts) > 1 and n >= min_docs:
+                splits.append((len(counts), at, counts))
+        rest = defaultdict(list)
         for p in ps:
-            general = len(ps) > 1 and sum(a == b for a, b in zip(common, p, strict=True)) >= similar * key_[0]
-            template[p] = key_ if general else p
+            if sum(a == b for a, b in zip(common, p, strict=True)) >= similar * len(p):
+                template[p] = ("family", name)
+            elif splits:
+                _, at, counts = min(splits, key=lambda x: x[:2])
+                rest[(at, p[at] if counts[p[at]] >= min_docs else None)].append(p)
+        for part, ps in rest.items():
+            divide((*name, part), ps)
+
+    for key_, ps in patterns.items():
+        divide((key_,), sorted(ps))
     seen, first = defaultdict(set), {}
     for d, n, p in lines:
         seen[template[p]].add(d)
@@ -311,6 +326,45 @@ def test_line_dedup_against_brute_force(spark, texts):
     assert sum("logged in" in (t or "") for _, t in got) == 1
 
 
+def family_rows(seed, families, docs, words=9):
+    """Rows of one leaf: families with one or two variable words each, and lines that belong to none."""
+    rng = random.Random(seed)
+    shapes = [[rng.choice("abcdefgh") + str("xyz"[rng.randrange(3)]) for _ in range(words - 3)] for _ in range(families)]
+    rows = []
+    for i in range(docs):
+        lines = [f"note {i} is of no further use"]
+        for _ in range(rng.randint(1, 3)):
+            shape = list(rng.choice(shapes)) if rng.random() < 0.8 else [rng.choice("abcdefgh") + rng.choice("xyzuvw") for _ in range(words - 3)]
+            for at in rng.sample(range(words - 3), rng.randint(0, 2)):
+                shape[at] = rng.choice("pqrs") + rng.choice("klmn") + rng.choice("tuvw")
+            lines.append("the log says " + " ".join(shape))
+        rows.append((i, "\n".join(lines)))
+    return rows
+
+
+@pytest.mark.parametrize(("seed", "families", "docs"), [(1, 2, 60), (2, 5, 80), (3, 12, 90)])
+def test_line_families_of_one_leaf(spark, tmp_path, seed, families, docs):
+    rows = family_rows(seed, families, docs)
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = line_dedup.dedup_lines(table)
+    got = sorted(((key(r["doc_id"]), r["text"]) for r in out.collect()), key=repr)
+    assert got == slow_lines(rows)
+    # The registered SQL divides leaves alike.
+    table.write.parquet(str(tmp_path / "documents.parquet"))
+    sql = queries.ORACLES["op2_line_dedup"].replace("from documents", f"from '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted((key(d), t) for d, t in duckdb.sql(f"select doc_id, text from ({sql})").fetchall()) == sorted(got)
+
+
+def test_small_family_beside_large_ones(spark):
+    names = [a + b for a in "klmnpqrst" for b in "aeiou"]
+    large = [f"today we saw {n} reading by the old harbour wall" for n in names]
+    small = [f"today we saw no train that {n} could possibly take" for n in names[:40]]
+    third = [f"today we saw seven of {n} ships leave for home" for n in names]
+    rows = [(i, line) for i, line in enumerate([*large, *small, *third, "today we saw what nobody else has ever seen before"])]
+    kept = [r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["text"]]
+    assert sorted(kept) == sorted([large[0], small[0], third[0], rows[-1][1]])
+
+
 def test_line_dedup_empty(no_docs):
     assert line_dedup.dedup_lines(no_docs).count() == 0
 
