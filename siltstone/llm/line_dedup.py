@@ -105,14 +105,14 @@ def _families(texts: DataFrame, min_docs: int, similar: float) -> DataFrame:
         live = stored(left, "node-rest")
 
 
-def templates(lines: DataFrame, index: DataFrame, min_docs: int, similar: float) -> DataFrame:
-    """(shape, n, first_doc, first_line) of every pattern of a recurring template: its hash, its lines, the template's first occurrence."""
+def templates(patterned: DataFrame, index: DataFrame, min_docs: int, similar: float) -> DataFrame:
+    """(shape, n, first_doc, first_line) of every pattern of a recurring template: its hash, its lines, the template's first occurrence; patterned: leaf, shape, pattern."""
     by_doc = index.groupBy("leaf", "shape", "doc").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "doc", "line")).alias("first"))
     patterns = stored(by_doc.groupBy("leaf", "shape").agg(F.count("*").alias("docs"), F.sum("n").alias("n"), F.min("first").alias("first")), "line-patterns")
     several = patterns.groupBy("leaf").agg(F.count("*").alias("patterns"), F.sum("docs").alias("docs")).where((F.col("patterns") > 1) & (F.col("docs") >= min_docs)).select("leaf")
 
     wanted = patterns.join(several, "leaf", "left_semi").select("shape", "docs")
-    texts = lines.select("pattern", "leaf").join(several, "leaf", "left_semi").withColumn("shape", F.unhex(F.md5("pattern")))
+    texts = patterned.select("pattern", "leaf", "shape").join(several, "leaf", "left_semi")
     texts = texts.groupBy("shape").agg(F.first("pattern").alias("pattern"), F.first("leaf").alias("leaf"))
     texts = stored(texts.join(wanted, "shape").select("shape", F.col("leaf").alias("node"), F.split("pattern", " ").alias("tokens"), "docs"), "pattern-texts")
     general = _families(texts, min_docs, similar).withColumn("general", F.lit(True))
@@ -142,11 +142,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs with recurring lines dropped from text, and lines and dropped (lines before, lines dropped) behind the prefix of prefix_of()."""
     prefix = prefix_of(docs)
     lines = _lines(docs, id_col, text_col, min_tokens, short)
-    index = stored(lines.select("doc", "doc_id", "line", "leaf", F.unhex(F.md5("pattern")).alias("shape")), "line-index")
+    # With the patterns: texts are parsed once.
+    patterned = stored(lines.select("doc", "doc_id", "line", "leaf", F.unhex(F.md5("pattern")).alias("shape"), "pattern"), "line-index")
+    index = patterned.drop("pattern")
     # A leaf with fewer lines than a recurring template needs documents can hold none: most lines go here.
     busy = stored(index.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).withColumn("busy", F.lit(True)), "busy-leaves")
     index = stored(skew_lookup(index, busy, "leaf", "n", F.xxhash64("doc", "line")).where("busy").drop("busy"), "busy-lines")
-    recurring = stored(templates(lines, index, min_docs, similar), "line-templates")
+    recurring = stored(templates(patterned, index, min_docs, similar), "line-templates")
     met = skew_lookup(index.select("doc", "line", "shape"), recurring, "shape", "n", F.xxhash64("doc", "line"))
     dropped = met.where(F.col("first_doc").isNotNull() & ~((F.col("doc") == F.col("first_doc")) & (F.col("line") == F.col("first_line"))))
     doc, drop = f"{prefix}doc", f"{prefix}drop"
