@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import free_name, row_key, stored
+from .common import free_name, row_key, scratch, settled, stored
 
 WINDOW = 10
 RADIUS = WINDOW - 1
@@ -283,11 +283,12 @@ def proximity_matches(docs: DataFrame, items: DataFrame, min_terms: int = 8, id_
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of docs, all columns, that hold no benchmark window."""
-    index = positional_index(docs, id_col, text_col, block_words)
-    found, _ = _matches(index, items, None, False)
     name = free_name(docs, "key")
-    hit = found.where("n_hit is not null").select("block", "doc")
-    dirty = stored(directory(index).select("block", "doc", F.col("key").alias(name)).join(hit, ["block", "doc"], "left_semi").select(name).distinct(), "dirty-rows")
+    with scratch(docs.sparkSession):
+        index = positional_index(docs, id_col, text_col, block_words)
+        found, _ = _matches(index, items, None, False)
+        hit = found.where("n_hit is not null").select("block", "doc")
+        dirty = settled(directory(index).select("block", "doc", F.col("key").alias(name)).join(hit, ["block", "doc"], "left_semi").select(name).distinct(), "dirty-rows")
     return docs.withColumn(name, row_key(id_col, text_col)).join(dirty, name, "left_anti").select(*docs.columns)
 
 

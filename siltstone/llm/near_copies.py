@@ -16,7 +16,8 @@ bytes, so no shared byte is guaranteed.  Here a text's positions are buckets ins
    all but the LEAST - 1 commonest are kept, among which a pair with LEAST must still meet.
 4. Sets of at most SMALL / s shingles are posted by single shingles, the rarest n - ceil(s n) + 1 of each, with the number
    of rarer ones: two sets have nothing in common before the rarest shingle they share, which bounds what they share (no pair is missed).
-5. Classes that meet are verified by their sets: first each with the most typical class it
+5. Pairs that a SimHash index linked before (simhash.deduplicate) are taken with those of the lists.
+   Classes that meet are verified by their sets: first each with the most typical class it
    meets (whose shingles are the commonest), then what is left apart, pair by pair.  Components of all links are groups of near copies.
 
 Edge cases: null and blank texts have the empty set and are copies of each other; a null
@@ -37,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import components, free_name, row_key, skew_lookup, stored
+from .common import components, free_name, row_key, scratch, settled, skew_lookup, stored
 from .substring import Seeder
 
 SHINGLE = 5
@@ -201,25 +202,29 @@ def _apart(lists: DataFrame, roots: DataFrame, name: str) -> DataFrame:
     return skew_lookup(rooted, several, "entry", "w", F.xxhash64("class")).where("several").drop("several")
 
 
-def groups(texts: DataFrame, rows: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """(node, root): the components of all pairs of classes of at least that similarity."""
+def groups(texts: DataFrame, rows: DataFrame, linked: DataFrame | None = None, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, root): the components of all pairs of classes of at least that similarity; linked (u, v): pairs of classes found before, to be verified."""
     lists = stored(_large_lists(rows).unionByName(_small_lists(rows, similarity)), "near-lists")
     # The most typical member of a list is the one that most others are near to.
     typical = F.max(F.struct("weight", "class", "n"))
     ends = lists.groupBy("entry").agg(typical.alias("c"), F.min("class").alias("a"), F.max("class").alias("b"), F.count("*").alias("w")).where("a < b")
     ends = stored(ends.select("entry", "w", F.col("c.weight").alias("c_weight"), F.col("c.class").alias("c_class"), F.col("c.n").alias("c_n")), "near-ends")
     lists = stored(skew_lookup(lists, ends, "entry", "w", F.xxhash64("class")).where("c_class is not null"), "met-lists")
-    met = lists.select("class").distinct()
+    met = lists.select("class")
+    if linked is not None:
+        met = met.union(linked.select("u")).union(linked.select("v"))
+    met = met.distinct()
     picked = stored(rows.groupBy("class").agg(F.min("key").alias("key")).join(met, "class", "left_semi").select("key"), "near-keys")
     if picked.count() <= BROADCAST_KEYS:
         picked = F.broadcast(picked)
     sets = stored(_sets(texts.join(picked, "key", "left_semi").dropDuplicates(["key"]), size), "shingle-sets")
 
-    # Every class with the most typical one that it meets.
+    # Every class with the most typical one that it meets, and what was linked before.
     fits = _fits(F.col("n"), F.col("c_n"), similarity) & (F.col("c_class") != F.col("class"))
     pair = lambda a, b: (F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
     near = lists.where(fits).groupBy("class").agg(F.max(F.struct("c_weight", "c_class")).alias("c"))
-    near = stored(_verified(near.select(*pair("class", "c.c_class")), sets, similarity), "first-links")
+    near = near.select(*pair("class", "c.c_class"))
+    near = stored(_verified(near if linked is None else near.union(linked.select(*pair("u", "v"))), sets, similarity), "first-links")
     roots = components(near)
     # What is still apart, pair by pair, where the shingles from the shared one on are enough.
     apart = stored(_apart(lists.select("entry", "class", "n", "at"), roots, "first-roots"), "first-apart").select("entry", "class", "n", "at", "root")
@@ -230,16 +235,32 @@ def groups(texts: DataFrame, rows: DataFrame, size: int = SHINGLE, similarity: f
     return roots if rest.isEmpty() else components(near.union(rest))
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """One row of every group of near copies, all columns: the one with the smallest id."""
-    texts = docs.select(row_key(id_col, text_col).alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = stored(_posted(texts, size, similarity), "shingle-positions")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
-    classes = stored(rows.groupBy("class").agg(first.alias("k")), "shingle-classes")
-    roots = groups(texts, rows, size, similarity)
-    joined = classes.join(roots, classes["class"] == roots["node"], "left").select(F.coalesce("root", "class").alias("root"), "k")
+def linked_classes(rows: DataFrame, prints: DataFrame, links: DataFrame) -> DataFrame:
+    """Pairs (u, v) of classes whose fingerprints are equal or linked; prints: (key, fp) of every row of rows (key, class), links: (u, v) of fingerprints."""
+    held = rows.select("key", "class").distinct().join(prints.select("key", "fp").distinct(), "key").select("fp", "class").distinct()
+    held = stored(held, "print-classes")
+    first = held.groupBy("fp").agg(F.min("class").alias("first"))
+    equal = held.join(first, "fp").where(F.col("class") != F.col("first")).select(F.col("first").alias("u"), F.col("class").alias("v"))
+    a, b = first.toDF("u", "first_u"), first.toDF("v", "first_v")
+    near = links.join(a, "u").join(b, "v").where(F.col("first_u") != F.col("first_v")).select(F.col("first_u").alias("u"), F.col("first_v").alias("v"))
+    return stored(equal.union(near).distinct(), "linked-classes")
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, similarity: float = SIMILARITY, prints: DataFrame | None = None, links: DataFrame | None = None) -> DataFrame:
+    """One row of every group of near copies, all columns: the one with the smallest id.
+
+    prints (key, fp) and links (u, v) of fingerprints, where given, are pairs found by another index; they are verified like any other.
+    """
     name = free_name(docs, "key")
-    kept = joined.groupBy("root").agg(F.min("k").alias("k")).select(F.col("k.key").alias(name))
+    with scratch(docs.sparkSession):
+        texts = docs.select(row_key(id_col, text_col).alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+        rows = stored(_posted(texts, size, similarity), "shingle-positions")
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
+        classes = stored(rows.groupBy("class").agg(first.alias("k")), "shingle-classes")
+        linked = linked_classes(rows, prints, links) if prints is not None and links is not None else None
+        roots = groups(texts, rows, linked, size, similarity)
+        joined = classes.join(roots, classes["class"] == roots["node"], "left").select(F.coalesce("root", "class").alias("root"), "k")
+        kept = settled(joined.groupBy("root").agg(F.min("k").alias("k")).select(F.col("k.key").alias(name)), "kept-rows")
     marked = docs.withColumn(name, row_key(id_col, text_col))
     # Rows alike in id and text share a key; one of them stays.
     return marked.join(kept, name, "left_semi").dropDuplicates([name]).select(*docs.columns)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from . import near_copies
-from .common import components, free_name, row_key, skew_lookup, stored
+from .common import components, free_name, row_key, scratch, settled, skew_lookup, stored
 
 MAX_DISTANCE = 3
 SHINGLE = 3
@@ -151,15 +151,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
     """One row of every component of docs, all columns: the one with the smallest id.
 
-    With ``similarity``, texts are linked by the Jaccard similarity of their five-word shingles
-    instead of MAX_DISTANCE bits: positions are then buckets of shingles (near_copies), tallied and verified likewise.
+    With ``similarity``, near copies are the texts of that Jaccard similarity of their five-word shingles: the links of the fingerprints
+    are verified by it, and pairs that differ in more bits are added from a positional index over shingle buckets (near_copies), so none is lost.
     """
     if similarity is not None:
-        return near_copies.deduplicate(docs, id_col, text_col, similarity=similarity)
-    rows = stored(near_duplicates(docs, id_col, text_col).drop("fingerprint"), "near-duplicates")
-    group = F.coalesce(F.concat(F.lit("i"), F.col("component_id")), F.concat(F.lit("f"), F.col("fp")))
+        with scratch(docs.sparkSession):
+            prints = settled(fingerprints(docs, id_col, text_col).select("key", "fp"), "fingerprints")
+            found = settled(links(prints.select("fp").distinct()), "fingerprint-links")
+        return near_copies.deduplicate(docs, id_col, text_col, similarity=similarity, prints=prints, links=found)
     name = free_name(docs, "key")
-    kept = rows.groupBy(group.alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("k")).select(F.col("k.key").alias(name))
+    with scratch(docs.sparkSession):
+        rows = stored(near_duplicates(docs, id_col, text_col).drop("fingerprint"), "near-duplicates")
+        group = F.coalesce(F.concat(F.lit("i"), F.col("component_id")), F.concat(F.lit("f"), F.col("fp")))
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
+        kept = settled(rows.groupBy(group.alias("g")).agg(first.alias("k")).select(F.col("k.key").alias(name)), "kept-rows")
     marked = docs.withColumn(name, row_key(id_col, text_col))
     # Rows alike in id and text share a key; one of them stays.
     return marked.join(kept, name, "left_semi").dropDuplicates([name]).select(*docs.columns)

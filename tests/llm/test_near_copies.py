@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 import corpus_pipeline
 import numpy as np
@@ -93,3 +94,28 @@ def test_rows_without_id_and_repeats(spark, no_docs):
     docs = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (None, "x y z")], "doc_id long, text string")
     assert sorted(map(repr, near_copies.deduplicate(docs).collect())) == ["Row(doc_id=3, text='a b c d e f')", "Row(doc_id=None, text='x y z')"]
     assert near_copies.deduplicate(no_docs).count() == 0
+
+
+def test_stage_links_by_fingerprints(spark, monkeypatch):
+    """Without the lists of shingles the stage still unites what three bits tell; a link whose texts are unlike is none."""
+    rng = random.Random(4)
+    words = [f"w{rng.randint(0, 10**6)}" for _ in range(2000)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words, "end"])), (3, "a " * 40 + "b c d e f"), (4, "a " * 40 + "g h i j k")]
+    assert bin(simhash.fingerprint(rows[0][1].encode()) ^ simhash.fingerprint(rows[1][1].encode())).count("1") <= 3
+    assert simhash.fingerprint(rows[2][1].encode()) == simhash.fingerprint(rows[3][1].encode())
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    for name in ("_large_lists", "_small_lists"):
+        whole = getattr(near_copies, name)
+        monkeypatch.setattr(near_copies, name, lambda *a, whole=whole: whole(*a).where("false"))
+    assert {r["doc_id"] for r in corpus_pipeline.dedup_documents(spark, docs, "").collect()} == {1, 3, 4}
+
+
+def test_scratch_tables_are_deleted(spark):
+    from siltstone.session import shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    before = {p.name for p in folder.iterdir()} if folder.exists() else set()
+    docs = spark.createDataFrame([(1, "a b c d e f\nx"), (2, "a b c d e f\ny"), (3, "a b c d e f\nz")], "doc_id long, text string")
+    assert simhash.deduplicate(docs, similarity=0.8).count() == 3
+    left = {p.name.rsplit("-", 1)[0] for p in folder.iterdir() if p.name not in before}
+    assert left == {"fingerprints", "fingerprint-links", "kept-rows"}
