@@ -104,12 +104,23 @@ def backtest(results: DataFrame, cheap: list[str], smart: list[str], policies: t
     return out.select("cheap", "smart", "policy", "n", "escalated", "accuracy", binomial_se(F.col("accuracy"), F.col("n")).alias("se"), (F.col("_cost") * 100_000).alias("cost_per_100k"))
 
 
+#: Models to a word of bits.
+MODEL_BITS = 62
+
+
 def universally_missed(results: DataFrame) -> DataFrame:
     """Ids that every model has and none gets right: (cmplid, n_models, same_answer, answers)."""
-    total = results.agg(F.countDistinct("model").alias("_models"))
-    by_id = results.groupBy("cmplid").agg(F.countDistinct("model").alias("n_models"), F.max(F.col("correct").cast("int")).alias("_any"), F.array_sort(F.collect_set("pred")).alias("answers"))
-    out = by_id.join(F.broadcast(total)).where("n_models = _models and _any = 0")
-    return out.select("cmplid", "n_models", (F.size("answers") == 1).alias("same_answer"), "answers").orderBy(F.desc("same_answer"), "cmplid")
+    models = sorted(r["model"] for r in results.where("model is not null").select("model").distinct().collect())  # as many as there are models
+    words = [models[i : i + MODEL_BITS] for i in range(0, len(models), MODEL_BITS)]
+    bit = lambda word: F.coalesce(*[F.when(F.col("model") == m, F.lit(1 << i)) for i, m in enumerate(word)], F.lit(0)).cast("long")
+    # One row an id leaves each task: the models seen as bits, and whether any was right.
+    seen = [F.bit_or(bit(word)).alias(f"_seen_{i}") for i, word in enumerate(words)]
+    by_id = results.groupBy("cmplid").agg(F.max(F.col("correct").cast("int")).alias("_any"), *seen).where("_any = 0")
+    n_models = sum((F.bit_count(f"_seen_{i}") for i in range(len(words))), F.lit(0)).cast("long")
+    missed = by_id.where(n_models == len(models)).select(F.col("cmplid").alias("_id"), F.lit(len(models)).cast("long").alias("n_models"))
+    wrong = results.where(~F.coalesce("correct", F.lit(False))).select("cmplid", "pred").distinct()
+    answers = wrong.join(missed, wrong["cmplid"].eqNullSafe(missed["_id"])).groupBy("cmplid", "n_models").agg(F.array_sort(F.collect_set("pred")).alias("answers"))
+    return answers.select("cmplid", "n_models", (F.size("answers") == 1).alias("same_answer"), "answers").orderBy(F.desc("same_answer"), "cmplid")
 
 
 def model_table(results: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from siltstone.functions import exprs as X
-from siltstone.operators import cascade, evaluation, labels
+from siltstone.operators import cascade, evaluation, labels, sampling
 from siltstone.schema import COMPLAINT_COLUMNS, PRIMARY_CATEGORIES, RARE_CATEGORIES
 
 
@@ -127,3 +127,17 @@ def test_score_replies(spark):
     gold = spark.createDataFrame([("1", ["TIRES", "WHEELS"]), ("2", ["OTHER"]), ("3", ["TIRES"]), ("4", ["WHEELS"])], "cmplid string, accept array<string>")
     got = {r["cmplid"]: (r["pred"], r["correct"], r["off_list"], r["error"] is not None) for r in evaluation.score_replies(replies, gold).collect()}
     assert got == {"1": ("TIRES", True, False, False), "2": ("OTHER", True, False, False), "3": (None, False, None, True), "4": ("OTHER", False, True, False)}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_universally_missed_sends_one_row_an_id(spark):
+    rows = [(f"m{i}", "a", False, "x") for i in range(70)] + [(f"m{i}", None, None if i else False, "y" if i % 2 else None) for i in range(70)]
+    rows += [(f"m{i}", "b", i == 3, "x") for i in range(70)] + [(f"m{i}", "c", False, "x") for i in range(69)] + [("m0", "c", False, "z"), (None, "a", False, "w")]
+    rows += [(f"m{i}", "d", None, "x") for i in range(70)]  # never judged: not missed
+    found = cascade.universally_missed(spark.createDataFrame(rows, "model string, cmplid string, correct boolean, pred string").repartition(3))
+    assert [tuple(r) for r in found.collect()] == [(None, 70, True, ["y"]), ("a", 70, False, ["w", "x"])]
+    plan = _plan(found)
+    assert "count(distinct" not in plan and "bit_or" in plan
