@@ -71,8 +71,10 @@ def readable_sample(rows: DataFrame, text: str, n: int, key: str, seed: int, low
     if group is None:
         enough = rows.where(readable).limit(n).count() >= n
         return uniform_sample(rows.where(readable) if enough else rows, n, key, seed)
-    counts = rows.groupBy(F.col(group).alias("_group")).agg((F.count_if(readable) >= n).alias("_enough"))
-    pool = rows.join(counts, rows[group].eqNullSafe(counts["_group"])).where(~F.col("_enough") | readable).drop("_enough", "_group")
+    # The first n readable and the first n other rows of a group tell whether n are readable, and hold what is taken either way.
+    best = stratified_sample(rows.withColumn("_readable", readable), [group, "_readable"], n, key, seed)
+    enough = F.count_if("_readable").over(Window.partitionBy(group)) >= n
+    pool = best.withColumn("_enough", enough).where(~F.col("_enough") | F.col("_readable")).drop("_enough", "_readable")
     return stratified_sample(pool, group, n, key, seed)
 
 

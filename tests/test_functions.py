@@ -141,3 +141,16 @@ def test_universally_missed_sends_one_row_an_id(spark):
     assert [tuple(r) for r in found.collect()] == [(None, 70, True, ["y"]), ("a", 70, False, ["w", "x"])]
     plan = _plan(found)
     assert "count(distinct" not in plan and "bit_or" in plan
+
+
+def test_readable_sample_by_group_moves_no_whole_table(spark):
+    rows = [(i, "k" if i % 2 else None, "x" * (200 if i % 10 in (1, 2, 3) and i < 14 else 5)) for i in range(60)]
+    table = spark.createDataFrame(rows, "id long, g string, text string").repartition(3)
+    found = sampling.readable_sample(table, "text", 4, "id", 7, group="g")
+    assert found.columns == ["id", "g", "text"] and "Join" not in _plan(found)
+    for g in ("k", None):
+        own = table.where(F.col("g").eqNullSafe(F.lit(g)))
+        readable = own.where("length(text) = 200")
+        pool = readable if readable.count() >= 4 else own
+        assert {r["id"] for r in found.where(F.col("g").eqNullSafe(F.lit(g))).collect()} == {r["id"] for r in sampling.uniform_sample(pool, 4, "id", 7).collect()}
+    assert sampling.readable_sample(table.where("false"), "text", 4, "id", 7, group="g").count() == 0
