@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from xxhash import xxh3_64_intdigest, xxh64_intdigest
 
-from .common import skew_lookup, stored
+from .common import scratch, settled, skew_lookup, stored
 from .decontaminate import words
 
 K = 6
@@ -387,7 +387,7 @@ def _dealt(occurrences: DataFrame, wanted: DataFrame | None = None) -> tuple[Dat
     ends = occurrences.groupBy("seed").agg(F.min("class").alias("partner"), F.max("class").alias("last"), F.count("*").alias("n"))
     shared = stored(ends.where("partner < last").select("seed", "partner", "last", "n"), "shared-seeds")
     met = skew_lookup(occurrences, shared, "seed", "n", F.xxhash64("class", "at")).where("partner is not null")
-    met = stored(met.distinct(), "seed-matches")  # equal texts once
+    met = settled(met.distinct(), "seed-matches")  # equal texts once
     # All occurrences of a seed in its representative's text are few and in one class; its first one is matched.
     base = met.where("class = partner").groupBy("seed").agg(F.min("at").alias("y"))
     others = met.where("class <> partner")
@@ -412,7 +412,7 @@ def _aligned(matches: DataFrame, rows: DataFrame, min_words: int, min_identity:
     told = skew_lookup(pairs, coded.join(weights, "partner"), "partner", "n", F.xxhash64("class"))
     told = told.select("class", "partner", F.lit(-1).alias("x"), F.col("low").alias("y"), F.substring("codes", F.col("low") + 1, F.col("high") - F.col("low")).alias("codes"))
     matches = matches.withColumn("codes", F.lit(None).cast("binary")).unionByName(told)
-    return stored(_chained(matches, min_words, min_identity), "passages")
+    return settled(_chained(matches, min_words, min_identity), "passages")
 
 
 def _longer(occurrences: DataFrame, places: DataFrame) -> DataFrame:
@@ -445,7 +445,11 @@ def _windows(occurrences: DataFrame, places: DataFrame, rows: DataFrame, min_wor
     wide = runs.groupBy("run").agg(F.count("*").alias("n"), (F.min("class") < F.max("class")).alias("common"))
     common = skew_lookup(runs, stored(wide, "common-runs"), "run", "n", F.xxhash64("class", "at")).where("common").select("class", "at")
     coded = rows.select("class", "codes").join(common.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.max("codes").alias("codes"))
-    starts = common.select("class", F.explode(F.sequence(F.col("at") + first, F.col("at") + last)).alias("at")).where("at >= 0").distinct()
+    # Of the places where a window may begin, each once: those that the run before gives go.
+    common = common.distinct().withColumn("before", F.lag("at").over(Window.partitionBy("class").orderBy("at")))
+    low = F.greatest(F.col("at") + first, F.lit(0), F.coalesce(F.col("before") + last + 1, F.lit(0)))
+    ranges = common.select("class", low.alias("low"), (F.col("at") + last).alias("high")).where("low <= high")
+    starts = ranges.select("class", F.explode(F.sequence("low", "high")).alias("at"))
     window = F.substring(F.col("codes"), F.col("at") + 1, F.lit(min_words))
     cut = starts.join(coded, "class").select(window.alias("window"), "class", "at").where(F.octet_length("window") == min_words)
     return stored(cut.select(F.xxhash64("window").alias("seed"), "class", "at"), "windows")
@@ -462,8 +466,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     classes = stored(rows.groupBy("class").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "passage-representatives")
 
     occurrences = rows.select("class", F.explode(F.arrays_zip("seeds", "places")).alias("s")).select(F.col("s.seeds").alias("seed"), "class", F.col("s.places").alias("at"))
-    matches, occurrences = _dealt(occurrences)
-    found = _aligned(matches, rows, min_words, min_identity)
+    with scratch(docs.sparkSession):
+        matches, occurrences = _dealt(occurrences)
+        found = _aligned(matches, rows, min_words, min_identity)
     single, left = occurrences, found.where(F.col("matched") == _FRAGMENTS)
     found = found.where(F.col("matched") != _FRAGMENTS)
     long = (F.col("end") - F.col("start")) >= min_words
@@ -472,9 +477,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         places = left.where(long) if r < ROUNDS else left
         if places.isEmpty():
             continue
-        longer = _longer(occurrences, places) if r < ROUNDS else _windows(single, places, rows, min_words)
-        matches, occurrences = _dealt(longer, places.select("class").distinct())
-        again = _aligned(matches, rows, min_words, min_identity)
+        with scratch(docs.sparkSession):
+            longer = _longer(occurrences, places) if r < ROUNDS else _windows(single, places, rows, min_words)
+            matches, occurrences = _dealt(longer, places.select("class").distinct())
+            again = _aligned(matches, rows, min_words, min_identity)
         found = found.union(again.where(F.col("matched") != _FRAGMENTS))
         left = left.where(~long).union(again.where(F.col("matched") == _FRAGMENTS))
     found = found.distinct()
