@@ -483,7 +483,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             again = _aligned(matches, rows, min_words, min_identity)
         found = found.union(again.where(F.col("matched") != _FRAGMENTS))
         left = left.where(~long).union(again.where(F.col("matched") == _FRAGMENTS))
-    found = found.distinct()
+    found = stored(found.distinct(), "found-passages")
 
     rep = classes.select("class", "rep")
     named = found.join(rep, "class").withColumnRenamed("rep", "doc_id").drop("class")

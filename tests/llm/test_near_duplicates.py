@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from siltstone.llm import common, simhash
@@ -111,6 +112,16 @@ def test_skew_lookup_is_a_left_join(spark):
     assert sorted(map(repr, (tuple(r) for r in got.select("k", "i", "v").collect()))) == sorted(map(repr, [("hot", i, "H") for i in range(50)] + [("cold", 1, "C"), (None, 2, None), ("none", 3, None)]))
 
 
+@pytest.mark.parametrize("least, joins", [(50, 3), (51, 1)])
+def test_skew_lookup_looks_for_hot_keys_only_if_there_are_any(spark, monkeypatch, least, joins):
+    monkeypatch.setattr(common, "HOT_ROWS", least)
+    left = spark.createDataFrame([("hot", i) for i in range(50)] + [("cold", 1), (None, 2), (None, 3), ("none", 3)], "k string, i int")
+    right = spark.createDataFrame([("hot", "H", 50), ("cold", "C", 1)], "k string, v string, n long")
+    got = common.skew_lookup(left, right, "k", "n", F.xxhash64("i"))
+    assert sorted(map(repr, map(tuple, got.select("k", "i", "v").collect()))) == sorted(map(repr, map(tuple, left.join(right, "k", "left").select("k", "i", "v").collect())))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") == joins
+
+
 def test_fingerprint_of_a_long_text():
     text = " ".join(np.random.default_rng(0).choice(["a", "b", "c"], 200_000)).encode()
     assert simhash.fingerprint(text) == slow_fingerprint(text.decode()[: len(text)])
