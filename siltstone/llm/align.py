@@ -14,7 +14,8 @@ the highest count of each of A's ids, so at most A's vocabulary.
 
 Neither tokenizer joins across a single space or line end between two other characters (A splits
 there before it merges; no piece of B holds a space or line end after another character), so a text is cut there and each
-different chunk is tokenized once while it is remembered; the memory is bounded and changes no result.
+different chunk is tokenized once while it is remembered; the memory is bounded and changes no result.  A Python worker
+keeps both tokenizers and this memory from task to task: loaded anew by each, they left it larger every time.
 
 Edge cases: a null or empty text has no tokens, nor has one that B does not give back byte for byte
 (it holds U+2581): zeros, and '' for the digest; repeated rows are documents each; a null id is kept;
@@ -24,9 +25,11 @@ an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -37,7 +40,7 @@ from pyspark.sql import functions as F
 from .common import fresh_path, stored
 from .warc import filesystem
 
-#: Chunks that a task remembers, beside those of one batch.
+#: Chunks that a worker remembers, beside those of one batch.
 MEMORY = 200_000
 #: Texts that are cut, and chunks that are tokenized, at once.
 TEXTS, CHUNKS = 256, 8192
@@ -69,6 +72,7 @@ class Tokenizers:
         import sentencepiece
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; every further thread keeps memory of its own
         self.a = Tokenizer.from_file(a_path)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
@@ -219,6 +223,12 @@ class Aligner:
         return (*(stats[:4] @ often).tolist(), digest, keys.tobytes(), times.tobytes())
 
 
+@cache
+def worker_aligner(a_path: str, b_path: str) -> Aligner:
+    """The aligner of this Python worker."""
+    return Aligner(Tokenizers(a_path, b_path))
+
+
 _NOTHING: tuple[int, int, int, int, str, bytes, bytes] = (0, 0, 0, 0, "", b"", b"")
 
 
@@ -226,7 +236,7 @@ def linked(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", te
     """A row per document with its groups and links; texts are tokenized once, the result is stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(Tokenizers(a_path, b_path))
+        aligner = worker_aligner(a_path, b_path)
         for batch in batches:
             rows = [row for at in range(0, batch.num_rows, TEXTS) for row in aligner.links(batch.column(1).slice(at, TEXTS).to_pylist())]
             columns = zip(*rows, strict=True) if rows else [[]] * 7

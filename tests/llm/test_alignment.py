@@ -1,6 +1,7 @@
 """Token alignment against whole texts tokenized at once, and counts against a dictionary."""
 
 import hashlib
+import os
 import random
 from collections import Counter
 
@@ -103,3 +104,14 @@ def test_folding_and_shards(spark, tokenizers):
 
 def test_no_documents(spark, no_docs):
     assert align.align(no_docs, *map(tokenizer_path, ALIGNED)).collect() == []
+
+
+def test_worker_keeps_tokenizers_and_memory_from_task_to_task(tokenizers):
+    paths = [*map(tokenizer_path, ALIGNED)]
+    kept = align.worker_aligner(*paths)
+    texts = [" ".join(random.Random(i % 7).choices(ALPHABET, k=50)) for i in range(20)] + [None, "", "the the\nend"]
+    expected = align.Aligner(tokenizers).links(texts)
+    assert kept.links(texts[:9]) == expected[:9]
+    assert align.worker_aligner(*paths) is kept and kept.index
+    assert kept.links(texts) == expected
+    assert os.environ["TOKENIZERS_PARALLELISM"] == "false"
