@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from xxhash import xxh3_64_intdigest, xxh64_intdigest
 
-from .common import scratch, settled, skew_lookup, stored
+from .common import salted_lookup, scratch, settled, stored
 from .decontaminate import words
 
 K = 6
@@ -383,23 +383,23 @@ def _chained(matches: DataFrame, min_words: int, min_identity: float) -> DataFra
 
 
 def _dealt(occurrences: DataFrame, wanted: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Matches (class, partner, x, y) of the occurrences (seed, class, at) that share a seed, of the classes of ``wanted`` only, if given; and those occurrences."""
+    """Matches (class, partner, x, y) of the occurrences (seed, class, at) that share a seed, of the classes of ``wanted`` only, if given; and those occurrences, with the number n of each seed's."""
     ends = occurrences.groupBy("seed").agg(F.min("class").alias("partner"), F.max("class").alias("last"), F.count("*").alias("n"))
     shared = stored(ends.where("partner < last").select("seed", "partner", "last", "n"), "shared-seeds")
-    met = skew_lookup(occurrences, shared, "seed", "n", F.xxhash64("class", "at")).where("partner is not null")
-    met = settled(met.distinct(), "seed-matches")  # equal texts once
+    # Equal texts once; n stays, as the weight of a seed in later lookups.
+    met = salted_lookup(occurrences.select("seed", "class", "at"), shared.withColumn("w", F.col("n")), "seed", "w", F.xxhash64("class", "at"), once=True)
+    met = settled(met.where("partner is not null"), "seed-matches")
     # All occurrences of a seed in its representative's text are few and in one class; its first one is matched.
-    base = met.where("class = partner").groupBy("seed").agg(F.min("at").alias("y"))
+    base = met.where("class = partner").groupBy("seed").agg(F.min("at").alias("y"), F.max("n").alias("n"))
     others = met.where("class <> partner")
     own = met.where("class = partner").drop("partner").withColumnsRenamed({"at": "x", "last": "partner"})
     if wanted is not None:
         others, own = others.join(wanted, "class", "left_semi"), own.join(wanted, "class", "left_semi")
-    weights = others.groupBy("seed").agg(F.count("*").alias("n"))
-    table = stored(base.join(weights, "seed"), "seed-bases")
-    matches = skew_lookup(others.withColumnRenamed("at", "x"), table, "seed", "n", F.xxhash64("class", "x")).select(*_MATCH)
+    others = others.select("seed", "class", "partner", F.col("at").alias("x"))
+    matches = salted_lookup(others, stored(base, "seed-bases"), "seed", "n", F.xxhash64("class", "x")).select(*_MATCH)
     # A representative's own occurrences are matched with the last class, so that its passages have no holes.
     tail = met.where("class = last").groupBy("seed").agg(F.min("at").alias("y"))
-    return stored(matches.unionByName(own.join(tail, "seed").select(*_MATCH)), "passage-matches"), met.select("seed", "class", "at")
+    return stored(matches.unionByName(own.join(tail, "seed").select(*_MATCH)), "passage-matches"), met.select("seed", "class", "at", "n")
 
 
 def _aligned(matches: DataFrame, rows: DataFrame, min_words: int, min_identity: float) -> DataFrame:
@@ -409,17 +409,22 @@ def _aligned(matches: DataFrame, rows: DataFrame, min_words: int, min_identity:
     pairs = stored(pairs.union(whole), "passage-pairs")
     weights = pairs.groupBy("partner").agg(F.count("*").alias("n"))
     coded = rows.select(F.col("class").alias("partner"), "codes").join(weights.select("partner"), "partner", "left_semi").groupBy("partner").agg(F.max("codes").alias("codes"))
-    told = skew_lookup(pairs, coded.join(weights, "partner"), "partner", "n", F.xxhash64("class"))
+    told = salted_lookup(pairs, coded.join(weights, "partner"), "partner", "n", F.xxhash64("class"))
     told = told.select("class", "partner", F.lit(-1).alias("x"), F.col("low").alias("y"), F.substring("codes", F.col("low") + 1, F.col("high") - F.col("low")).alias("codes"))
     matches = matches.withColumn("codes", F.lit(None).cast("binary")).unionByName(told)
     return settled(_chained(matches, min_words, min_identity), "passages")
 
 
+def _kept(occurrences: DataFrame, inside: DataFrame) -> DataFrame:
+    """The occurrences (seed, class, at) whose seed has one inside."""
+    seeds = stored(inside.select("seed", "n").distinct().withColumn("inside", F.lit(True)), "place-seeds")
+    return salted_lookup(occurrences.drop("n"), seeds, "seed", "n", F.xxhash64("class", "at")).where("inside").drop("inside")
+
+
 def _longer(occurrences: DataFrame, places: DataFrame) -> DataFrame:
     """Of the shared seeds that lie in the places (class, start, end), all occurrences in all classes, two consecutive ones as one seed."""
-    inside = occurrences.join(places.select("class", "start", "end"), "class").where("at >= start and at < end").select("seed").distinct()
-    weights = occurrences.groupBy("seed").agg(F.count("*").alias("n")).join(inside, "seed").withColumn("inside", F.lit(True))
-    kept = skew_lookup(occurrences, weights, "seed", "n", F.xxhash64("class", "at")).where("inside")
+    inside = occurrences.join(places.select("class", "start", "end"), "class").where("at >= start and at < end")
+    kept = _kept(occurrences, inside)
     order = Window.partitionBy("class").orderBy("at", "seed")
     pairs = kept.withColumn("next", F.lead("seed").over(order)).withColumn("gap", F.lead("at").over(order) - F.col("at")).where("next is not null")
     return stored(pairs.select(F.xxhash64("seed", "next", "gap").alias("seed"), "class", "at"), "longer-seeds")
@@ -436,14 +441,13 @@ def _windows(occurrences: DataFrame, places: DataFrame, rows: DataFrame, min_wor
     reach = min_words - K - 3 * edge
     first, last = (-2 * edge, -edge) if reach >= 0 else (K - min_words, 0)
     near = places.select("class", (F.col("start") - min_words).alias("low"), (F.col("end") + min_words).alias("high"))
-    inside = occurrences.join(near, "class").where("at >= low and at < high").select("seed").distinct()
-    weights = occurrences.groupBy("seed").agg(F.count("*").alias("n")).join(inside, "seed").withColumn("inside", F.lit(True))
-    kept = skew_lookup(occurrences, weights, "seed", "n", F.xxhash64("class", "at")).where("inside").select("seed", "class", "at")
+    inside = occurrences.join(near, "class").where("at >= low and at < high")
+    kept = _kept(occurrences, inside)
     run = Window.partitionBy("class").orderBy("at").rangeBetween(0, max(0, reach))
     member = F.transform(F.collect_list(F.struct("at", "seed")).over(run), lambda m: F.struct(m["at"] - F.col("at"), m["seed"]))
     runs = stored(kept.select("class", "at", F.xxhash64(member).alias("run")), "seed-runs")
     wide = runs.groupBy("run").agg(F.count("*").alias("n"), (F.min("class") < F.max("class")).alias("common"))
-    common = skew_lookup(runs, stored(wide, "common-runs"), "run", "n", F.xxhash64("class", "at")).where("common").select("class", "at")
+    common = salted_lookup(runs, stored(wide, "common-runs"), "run", "n", F.xxhash64("class", "at")).where("common").select("class", "at")
     coded = rows.select("class", "codes").join(common.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.max("codes").alias("codes"))
     # Of the places where a window may begin, each once: those that the run before gives go.
     common = common.distinct().withColumn("before", F.lag("at").over(Window.partitionBy("class").orderBy("at")))
@@ -474,10 +478,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     long = (F.col("end") - F.col("start")) >= min_words
     for r in range(ROUNDS + 1):
         # Short places need the windows only: the longer seeds of the rounds before are for fuzzy passages.
-        places = left.where(long) if r < ROUNDS else left
-        if places.isEmpty():
-            continue
         with scratch(docs.sparkSession):
+            places = stored(left.where(long) if r < ROUNDS else left, "places")
+            if places.isEmpty():
+                continue
             longer = _longer(occurrences, places) if r < ROUNDS else _windows(single, places, rows, min_words)
             matches, occurrences = _dealt(longer, places.select("class").distinct())
             again = _aligned(matches, rows, min_words, min_identity)
@@ -489,8 +493,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     named = found.join(rep, "class").withColumnRenamed("rep", "doc_id").drop("class")
     partners = rep.select(F.col("class").alias("partner"), F.col("rep").alias("partner_id"))
     uses = found.groupBy("partner").agg(F.count("*").alias("n"))
-    named = skew_lookup(named, partners.join(uses, "partner"), "partner", "n", F.xxhash64("doc_id", "start"))
+    named = salted_lookup(named, partners.join(uses, "partner"), "partner", "n", F.xxhash64("doc_id", "start"))
     fuzzy = named.select("doc_id", "start", "end", "partner_id", F.col("other_start").alias("partner_start"), F.col("other_end").alias("partner_end"), "matched")
-    copies = skew_lookup(rows.select("doc_id", "class", "n_words").where(F.col("n_words") >= min_words).distinct(), classes.where("n > 1"), "class", "n", F.xxhash64("doc_id")).where("rep is not null and doc_id <> rep")
+    copies = salted_lookup(rows.select("doc_id", "class", "n_words").where(F.col("n_words") >= min_words).distinct(), classes.where("n > 1"), "class", "n", F.xxhash64("doc_id")).where("rep is not null and doc_id <> rep")
     whole = F.col("n_words").cast("int")
     return fuzzy.unionByName(copies.select("doc_id", F.lit(0).alias("start"), whole.alias("end"), F.col("rep").alias("partner_id"), F.lit(0).alias("partner_start"), whole.alias("partner_end"), whole.alias("matched")))
