@@ -21,8 +21,8 @@
    places with pairs of consecutive seeds, then with four, as seeds: their representatives share
    longer runs with the text.
 6. Fragments may hide a partner in every round, however long the seeds.  What is still left is matched by
-   whole windows of MIN_WORDS words: classes that have a run of seeds in common with a place are found by
-   that run, and only their windows around it are compared, so an exact passage is never lost, and a window in n classes gives n matches.
+   whole windows of MIN_WORDS words: classes that have a seed in common with a place are found by
+   it, and only their windows around it are compared, so an exact passage is never lost, and a window in n classes gives n matches.
 
 A class's matches, with the codes of its own and its partners' words, are the unit of work.
 
@@ -431,32 +431,30 @@ def _longer(occurrences: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def _windows(occurrences: DataFrame, places: DataFrame, rows: DataFrame, min_words: int) -> DataFrame:
-    """Windows of min_words words (seed, class, at) around the runs of seeds that several classes have in common with the places.
+    """Windows of min_words words (seed, class, at) around the seeds that lie near the places, in all classes that have these.
 
     Texts that share a window have the same seeds in it, but for the WINDOW - 1 places at either end, whose choice depends on what
-    stands outside.  The first such seed is at most WINDOW - 1 places further on, so the seeds that begin within the
-    rest are one run, equal in both texts, and tell where the window may begin.
+    stands outside.  The first such seed is at most WINDOW - 1 places further on and tells where the window may begin.
+    The seeds that begin within the rest are part of the window's key, as a set, for a word said over and over has them at any
+    places: its codes alone, a byte a word, take such a word for another.
     """
     edge = WINDOW - 1
     reach = min_words - K - 3 * edge
     first, last = (-2 * edge, -edge) if reach >= 0 else (K - min_words, 0)
     near = places.select("class", (F.col("start") - min_words).alias("low"), (F.col("end") + min_words).alias("high"))
     inside = occurrences.join(near, "class").where("at >= low and at < high")
-    kept = _kept(occurrences, inside)
     run = Window.partitionBy("class").orderBy("at").rangeBetween(0, max(0, reach))
-    member = F.transform(F.collect_list(F.struct("at", "seed")).over(run), lambda m: F.struct(m["at"] - F.col("at"), m["seed"]))
-    runs = stored(kept.select("class", "at", F.xxhash64(member).alias("run")), "seed-runs")
-    wide = runs.groupBy("run").agg(F.count("*").alias("n"), (F.min("class") < F.max("class")).alias("common"))
-    common = salted_lookup(runs, stored(wide, "common-runs"), "run", "n", F.xxhash64("class", "at")).where("common").select("class", "at")
-    coded = rows.select("class", "codes").join(common.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.max("codes").alias("codes"))
-    # Of the places where a window may begin, each once: those that the run before gives go.
-    common = common.distinct().withColumn("before", F.lag("at").over(Window.partitionBy("class").orderBy("at")))
+    kept = _kept(occurrences, inside).select(F.xxhash64(F.sort_array(F.collect_set("seed").over(run))).alias("seed"), "class", "at")
+    kept = stored(kept, "window-seeds")
+    coded = rows.select("class", "codes").join(kept.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.max("codes").alias("codes"))
+    # Of the places where a window may begin, each once: those that the seed before gives go.
+    before = F.lag("at").over(Window.partitionBy("class").orderBy("at"))
     low = F.greatest(F.col("at") + first, F.lit(0), F.coalesce(F.col("before") + last + 1, F.lit(0)))
-    ranges = common.select("class", low.alias("low"), (F.col("at") + last).alias("high")).where("low <= high")
-    starts = ranges.select("class", F.explode(F.sequence("low", "high")).alias("at"))
+    ranges = kept.withColumn("before", before).select("seed", "class", low.alias("low"), (F.col("at") + last).alias("high")).where("low <= high")
+    starts = ranges.select("seed", "class", F.explode(F.sequence("low", "high")).alias("at"))
     window = F.substring(F.col("codes"), F.col("at") + 1, F.lit(min_words))
-    cut = starts.join(coded, "class").select(window.alias("window"), "class", "at").where(F.octet_length("window") == min_words)
-    return stored(cut.select(F.xxhash64("window").alias("seed"), "class", "at"), "windows")
+    cut = starts.join(coded, "class").select("seed", window.alias("window"), "class", "at").where(F.octet_length("window") == min_words)
+    return stored(cut.select(F.xxhash64("window", "seed").alias("seed"), "class", "at"), "windows")
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, min_identity: float = MIN_IDENTITY) -> DataFrame:
